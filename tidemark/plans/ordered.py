@@ -59,11 +59,11 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", _ROW_BITS))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (ranged.groupBy(*keys, "_pid")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-              .withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+              .agg(F.count(F.lit(1)).alias("_held"), F.min("_mid").alias("_first"))
+              .withColumn("_skip", F.coalesce(F.sum("_held").over(before), F.lit(0))))
     return (_join_on(ranged, pieces, [*keys, "_pid"])
             .withColumn(name, F.col("_mid") - F.col("_first") + F.col("_skip"))
-            .drop("_mid", "_pid", "_n", "_first", "_skip"))
+            .drop("_mid", "_pid", "_held", "_first", "_skip"))
 
 
 def over_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int,
