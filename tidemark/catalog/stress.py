@@ -95,7 +95,7 @@ register("SS13_regulatory_scenarios",
          lambda s, d: S.run_scenarios(_assets(s, d), S.regulatory_scenarios(s), LIMITS).select("portfolio", "scenario", "portfolio_return"),
          sql("sx", "select portfolio, scenario, portfolio_return from sx where scenario like 'ccar%' or scenario like 'basel%'"), "portfolio_return")
 register("SS7_portfolio_impact", lambda s, d: RUN(s, d).select("portfolio", "scenario", "portfolio_return", "pnl", "var_stressed", "liquidity_shortfall"),
-         sql("sx", "select portfolio, scenario, portfolio_return, pnl, var_stressed, liquidity_shortfall from sx"), "portfolio_return pnl:3 var_stressed liquidity_shortfall:3")
+         sql("sx", "select portfolio, scenario, portfolio_return, pnl, var_stressed, liquidity_shortfall from sx"), "portfolio_return pnl:7 var_stressed liquidity_shortfall:7")
 register("SS8_scenario_drawdown", lambda s, d: RUN(s, d).select("portfolio", "scenario", "drawdown"), sql("sx", "select portfolio, scenario, drawdown from sx"), "drawdown")
 register("SS9_recovery_days", lambda s, d: RUN(s, d).select("portfolio", "scenario", "recovery_days"), sql("sx", "select portfolio, scenario, recovery_days from sx"))
 _SEC = " union all ".join(f"select portfolio, asset, weight, '{s}' sector from aw where " + " or ".join(f"contains(asset, '{k}')" for k in kws) for s, kws in S.SECTORS.items())
@@ -104,11 +104,11 @@ register("SS10_sector_impacts", lambda s, d: S.sector_impacts(_assets(s, d), _bo
 register("SS11_limit_breaches", lambda s, d: RUN(s, d).select("portfolio", "scenario", "drawdown_breach", "var_breach", "liquidity_breach"),
          sql("sb2", "select portfolio, scenario, drawdown_breach, var_breach, liquidity_breach from sb2"))
 register("SS12_capital_adequacy", lambda s, d: RUN(s, d).select("portfolio", "scenario", "capital_ratio", "capital_surplus", "leverage"),
-         sql("sb2", "select portfolio, scenario, capital_ratio, capital_surplus, leverage from sb2"), "capital_ratio capital_surplus:3 leverage")
+         sql("sb2", "select portfolio, scenario, capital_ratio, capital_surplus, leverage from sb2"), "capital_ratio capital_surplus:7 leverage")
 register("SS4_result_analysis", lambda s, d: S.analyze(RUN(s, d)),
          sql("sx", """select portfolio, min(pnl) worst, max(pnl) best, avg(pnl) mean, stddev_pop(pnl) std, quantile_cont(pnl, 0.01) p1, quantile_cont(pnl, 0.05) p5,
          quantile_cont(pnl, 0.1) p10, quantile_cont(pnl, 0.9) p90, quantile_cont(pnl, 0.95) p95, quantile_cont(pnl, 0.99) p99 from sx group by 1"""),
-         "worst:3 best:3 mean:3 std:3 p1:3 p5:3 p10:3 p90:3 p95:3 p99:3")
+         "worst best mean std p1 p5 p10 p90 p95 p99")
 register("SS14_cross_scenario_summary", lambda s, d: S.summarize(RUN(s, d)),
          sql("sb2", """select portfolio, min(portfolio_return) worst_loss, max(portfolio_return) best_loss, avg(portfolio_return) average_loss, median(portfolio_return) median_loss,
          stddev_pop(portfolio_return) loss_volatility, max(drawdown) worst_drawdown, avg(recovery_days) average_recovery,
