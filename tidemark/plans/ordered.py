@@ -164,27 +164,35 @@ def full_frame(w: Window, n: int, x: Column, value: Column) -> Column:
     return F.when(F.count(x).over(w.rowsBetween(-(n - 1), 0)) == n, value)
 
 
-def stepwise(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, schema: str) -> DataFrame:
+def stepwise(df: DataFrame, keys: Sequence[str], order: Sequence[str], init: Callable[[], object],
+             advance: Callable, inputs: Sequence[str], keep: Sequence[str], outputs: str) -> DataFrame:
     """Run a sequential rule per key in bounded memory.
 
-    Rows are hash-partitioned by key and sorted; `step(state, frame)` is called with
-    consecutive slices of one key and returns `(state, output frame)`. A key of any
-    size streams through its task one Arrow batch at a time.
+    Rows are hash-partitioned by key and sorted. `advance(state, *input values)` is called row by
+    row and returns `(state, output values)`; `init()` starts a key. Only the current key's state
+    lives in the task, so a key of any size streams through one Arrow batch at a time. The result
+    has the `keep` columns and the `outputs` (DDL).
     """
-    cols = list(keys)
+    keys, inputs, keep = list(keys), list(inputs), list(keep)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [part.split()[0] for part in outputs.split(", ")]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [outputs])
 
     def run(frames):
-        state, current = None, None
+        current, state = None, None
         for frame in frames:
-            if frame.empty:
-                continue
-            starts = frame[cols].ne(frame[cols].shift()).any(axis=1).cumsum()
-            for _, part in frame.groupby(starts, sort=False):
-                key = tuple(part[cols].iloc[0])
-                if key != current:
-                    state, current = None, key
-                state, out = step(state, part)
-                if out is not None and len(out):
-                    yield out
-
-    return df.repartition(*cols).sortWithinPartitions(*cols, *order).mapInPandas(run, schema)
+            rows = []
+            for row in zip(zip(*[frame[k].tolist() for k in keys]), *[frame[c].tolist() for c in inputs]):
+                if row[0] != current:
+                    current, state = row[0], init()
+                state, out = advance(state, *row[1:])
+                rows.append(out)
+            if rows:
+                result = frame[keep].copy()
+                for i, n in enumerate(names):
+                    result[n] = [r[i] for r in rows]
+                yield result
+
+    need = list(dict.fromkeys([*keys, *inputs, *keep]))
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*need)
+    return ordered.mapInPandas(run, schema)
