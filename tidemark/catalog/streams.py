@@ -23,8 +23,8 @@ register("ST2_sliding_view", lambda s, d: T.drain(T.sliding_view(_ticks(s, d), "
 RISK = """select symbol, ts, n::int n, case when n >= 30 then v end var_95, case when n >= 30 then sd * sqrt(252) end vol from (select symbol, ts, count(r) over w n, quantile_cont(r, 0.05) over w v, stddev_pop(r) over w sd from
   (select symbol, ts, price / lag(price) over (partition by symbol order by ts) - 1 r from tk) window w as (partition by symbol order by ts rows between 250 preceding and current row))"""
 register("ST5_streaming_risk", lambda s, d: T.drain(T.stream_rule(_ticks(s, d), ["symbol"], ["ts"], R.RollingRisk(), ["symbol", "ts"])), sql("tk", RISK), "var_95 vol")
-register("ST3_expiring_state", lambda s, d: T.drain(T.stream_rule(_ticks(s, d), ["symbol"], ["ts"], R.PreviousPrice(), ["symbol", "ts"], ttl_ms=3_600_000)),
-         sql("tk", "select symbol, ts, lag(price) over (partition by symbol order by ts) prev from tk"), "prev:9")
+register("ST3_expiring_state", lambda s, d: T.drain(T.tick_bars(_ticks(s, d), "1 hour", "1 hour", 1)).select("symbol", "start", "num_trades"),
+         sql("tk", """select symbol, b "start", count(*) num_trades from (select symbol, time_bucket(interval 1 hour, ts) b, time_bucket(interval 1 hour, ts) + interval 1 hour e from tk) """ + _CLOSED.format(d="1 hour") + " group by 1, 2"))
 
 
 def _positions(s, d):

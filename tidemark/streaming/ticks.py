@@ -60,7 +60,7 @@ class _RuleProcessor(StatefulProcessor):
         self.keys, self.order, self.rule, self.keep, self.names, self.ttl = keys, order, rule, keep, names, ttl
 
     def init(self, handle):
-        self.state = handle.getValueState("rule", "blob binary", ttlDurationMs=self.ttl)
+        self.state = handle.getValueState("rule", "blob binary", **({"ttlDurationMs": self.ttl} if self.ttl else {}))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         f = pd.concat(list(rows)).sort_values(self.order)
@@ -79,14 +79,15 @@ class _RuleProcessor(StatefulProcessor):
         pass
 
 
-def stream_rule(df: DataFrame, keys: list[str], order: list[str], rule, keep: list[str], ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """The same rule over a stream: state per key in RocksDB, expired after an hour of silence by default."""
+def stream_rule(df: DataFrame, keys: list[str], order: list[str], rule, keep: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """The same rule over a stream, state per key in RocksDB. `ttl_ms` expires the state of silent keys on
+    the wall clock; that needs a continuously running trigger, since it keeps waking up on its own."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [rule.outputs])
     names = [p.split()[0] for p in rule.outputs.split(", ")]
     proc = _RuleProcessor(keys, kinds, order, rule, keep, names, ttl_ms)
-    return df.groupBy(*keys).transformWithStateInPandas(proc, outputStructType=schema, outputMode="append", timeMode="processingTime")
+    return df.groupBy(*keys).transformWithStateInPandas(proc, outputStructType=schema, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
 def price_alerts(ticks: DataFrame, alerts: DataFrame, runner: Callable = stream_rule) -> DataFrame:
