@@ -81,3 +81,9 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 
     walk(df.schema.fields, [])
     return df.select(*cols)
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN sorts above every number and poisons averages; missing values are null from here on."""
+    return df.select(*[F.nullif(F.col(f.name), F.lit(float("nan")).cast(f.dataType)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
+                       for f in df.schema.fields])
