@@ -9,7 +9,7 @@ from tidemark.plans import frames as X
 from tidemark.plans.session import read_table
 
 V3 = "quantile_cont(ret, 0.05) var_95, quantile_cont(ret, 0.01) var_99, quantile_cont(ret, 0.001) var_999"
-register("RK1_historical_var", lambda s, d: R.historical_var(X.supplier_returns(s, d)), sql("sr", f"select symbol, {V3} from sr group by symbol"), "var_95 var_99 var_999")
+register("RK1_historical_var", lambda s, d: R.historical_var(X.supplier_returns(s, d), split=False), sql("sr", f"select symbol, {V3} from sr group by symbol"), "var_95 var_99 var_999")
 for _k, _f in ((0, "stddev_pop"), (1, "stddev_samp")):
     register(f"RK2_parametric_var_ddof{_k}", lambda s, d, k=_k: R.parametric_var(X.supplier_returns(s, d), ddof=k),
              sql("sr", "select symbol, " + ", ".join(f"avg(ret) + ({z_value(1 - c)!r}) * {_f}(ret) var_{R.tag(c)}" for c in R.LEVELS) + " from sr group by symbol"),
@@ -26,7 +26,7 @@ ES = """select q.symbol symbol, var_95, var_99, var_999, coalesce(e95, var_95) e
   (select symbol, """ + V3 + """ from {t} group by symbol) q join (select symbol, avg(ret) filter (ret <= (select quantile_cont(y.ret, 0.05) from {t} y where y.symbol = x.symbol)) e95,
   avg(ret) filter (ret <= (select quantile_cont(y.ret, 0.01) from {t} y where y.symbol = x.symbol)) e99,
   avg(ret) filter (ret <= (select quantile_cont(y.ret, 0.001) from {t} y where y.symbol = x.symbol)) e999 from {t} x group by symbol) using (symbol)"""
-register("RK5_expected_shortfall", lambda s, d: R.expected_shortfall(X.supplier_returns(s, d)), sql("sr", ES.format(t="sr")), "var_95 var_99 var_999 es_95 es_99 es_999")
+register("RK5_expected_shortfall", lambda s, d: R.expected_shortfall(X.supplier_returns(s, d), split=False), sql("sr", ES.format(t="sr")), "var_95 var_99 var_999 es_95 es_99 es_999")
 DDW = """select symbol, max_drawdown, duration, coalesce(rec, last) - k recovery from (select t.symbol, t.dd max_drawdown, t.k k,
   t.k - min(w.k) filter (w.close = t.peak and w.k <= t.k) duration, min(w.k) filter (w.k > t.k and w.close >= t.peak) rec, max(w.k) AS last
   from t join w using (symbol) group by t.symbol, t.dd, t.k)"""
@@ -71,7 +71,7 @@ register("RK11_pooled_path_risk", lambda s, d: R.path_risk(_PATHS(s, d)).drop("s
              p0="""select symbol, price, price / lag(price) over w - 1 ret, max(price) over w pk from tk
              window w as (partition by symbol, date_trunc('day', ts) order by event_id)""", pp="select symbol, ret from p0 where ret is not null", es=ES.format(t="pp")),
          "var_95 var_99 var_999 es_95 es_99 es_999 mean volatility max_drawdown sharpe sortino calmar")
-register("RK12_var_report", lambda s, d: R.var_report(X.supplier_returns(s, d)),
+register("RK12_var_report", lambda s, d: R.var_report(X.supplier_returns(s, d), split=False),
          sql("sr", f"""select symbol, "method", case "method" when 'historical' then quantile_cont(ret, 0.05) else avg(ret) + ({z_value(1 - .95)!r}) * stddev_pop(ret) end var_95,
          case "method" when 'historical' then quantile_cont(ret, 0.01) else avg(ret) + ({z_value(1 - .99)!r}) * stddev_pop(ret) end var_99, count(*) n, avg(ret) mean, stddev_pop(ret) std
          from sr, (values ('historical'), ('parametric')) m("method") group by 1, 2"""), "var_95 var_99 mean std")

@@ -14,10 +14,10 @@ register("TS1_jarque_bera", lambda s, d: S.jarque_bera(X.supplier_returns(s, d))
 _RK = "select symbol, n, i, " + norm_cdf_sql("x") + " f from (select symbol, count(*) over w n, row_number() over (partition by symbol order by ret) i, (ret - avg(ret) over w) / {sd}(ret) over w x from sr window w as (partition by symbol))"
 KS = "select symbol, max(greatest(i / n - f, f - (i - 1) / n)) statistic, max(n) n from r group by 1"
 _L = "((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * statistic)"
-register("TS2_kolmogorov_smirnov", lambda s, d: S.ks_normal(X.supplier_returns(s, d)),
+register("TS2_kolmogorov_smirnov", lambda s, d: S.ks_normal(X.supplier_returns(s, d), split=False),
          sql("sr", "select symbol, statistic, n, least(1, greatest(0, " + " + ".join(f"{2 * (-1) ** (k - 1)} * exp(-2 * {k * k} * {_L} * {_L})" for k in range(1, 6)) + ")) p_value from k",
              r=_RK.format(sd="stddev_pop"), k=KS), "statistic p_value")
-register("TS3_anderson_darling", lambda s, d: S.anderson_darling(X.supplier_returns(s, d)),
+register("TS3_anderson_darling", lambda s, d: S.anderson_darling(X.supplier_returns(s, d), split=False),
          sql("sr", "select symbol, n, -n - sum((2 * a.i - 1) * (ln(a.f) + ln(1 - b.f))) / n statistic from r a join r b using (symbol, n) where b.i = n + 1 - a.i group by 1, 2",
              r=_RK.format(sd="stddev_samp")), "statistic:5")
 _LAGS = "select a.symbol, k, sum(a.d * b.d) c from x a join x b on a.symbol = b.symbol, range(1, {h}) t(k) where b.i = a.i - k group by 1, 2"

@@ -35,7 +35,7 @@ register("AG4_integrity", lambda s, d: G.integrity(X.dirty(s, d)), sql("dd", INT
 IQR = """select {t}.symbol, count(*) filter ({c} < a - 1.5 * (b - a) or {c} > b + 1.5 * (b - a)) {o} from {t} join (select symbol,
   quantile_cont({c}, 0.25) a, quantile_cont({c}, 0.75) b from {t} group by symbol) q using (symbol) group by {t}.symbol"""
 register("AG5_outliers_iqr", lambda s, d: G.outliers(X.ticks(s, d), "price"), sql("tk", IQR.format(t="tk", c="price", o="n_outliers")))
-register("AG5_outliers_zscore", lambda s, d: G.outliers(X.supplier_returns(s, d), "ret", "zscore", 2.5),
+register("AG5_outliers_zscore", lambda s, d: G.outliers(X.supplier_returns(s, d), "ret", "zscore", 2.5, split=False),
          sql("sr", """select sr.symbol, count(*) filter (abs((ret - m) / sd) > 2.5) n_outliers from sr join (select symbol, avg(ret) m,
          stddev_pop(ret) sd from sr group by symbol) using (symbol) group by sr.symbol"""))
 register("AG5_outliers_modified_z", lambda s, d: G.outliers(X.ticks(s, d), "price", "mad", 3.5),

@@ -102,20 +102,25 @@ def _gram(frames):
                 ok = ~np.isnan(m)
                 sides.append((names, np.where(ok, m, 0.0), ok.astype(float)))
             (ni, a, ka), (nj, b, kb) = sides
-            out.append(pd.DataFrame({
-                "sym_i": np.repeat(ni, len(nj)), "sym_j": np.tile(nj, len(ni)), "n": (ka.T @ kb).ravel(),
-                "sx": (a.T @ kb).ravel(), "sy": (ka.T @ b).ravel(), "sxx": ((a * a).T @ kb).ravel(),
-                "syy": (ka.T @ (b * b)).ravel(), "sxy": (a.T @ b).ravel()}))
+            i, j = np.repeat(ni, len(nj)), np.tile(nj, len(ni))
+            t = {"n": ka.T @ kb, "sx": a.T @ kb, "sy": ka.T @ b, "sxx": (a * a).T @ kb, "syy": ka.T @ (b * b), "sxy": a.T @ b}
+            t = {k: v.ravel() for k, v in t.items()}
+            use, swap = t["n"] > 0, i > j
+            if g["bi"].iloc[0] == g["bj"].iloc[0]:
+                use &= ~swap
+            for x, y in (("sx", "sy"), ("sxx", "syy")):
+                t[x], t[y] = np.where(swap, t[y], t[x]), np.where(swap, t[x], t[y])
+            out.append(pd.DataFrame({"sym_i": np.where(swap, j, i), "sym_j": np.where(swap, i, j), **t})[use])
         if out:
-            all_ = pd.concat(out)
-            yield all_[(all_["sym_i"] <= all_["sym_j"]) & (all_["n"] > 0)]
+            yield pd.concat(out)
 
 
-def pair_sums(rets: DataFrame, block: int = 256) -> DataFrame:
+def pair_sums(rets: DataFrame, block: int = 256, salt: int = 4) -> DataFrame:
     """n, Σx, Σy, Σx², Σy², Σxy for each pair i<=j over their common dates.
 
     Dates are vectors cut into blocks of about `block` symbols. Blocks, not symbol pairs, meet per
-    date; each Arrow batch reduces its dates to one small matrix before the shuffle.
+    date; a task holds the dates of one block pair (salted by date) and reduces every Arrow batch to
+    one small matrix before the final shuffle.
     """
     n_sym = rets.select("symbol").distinct().count()
     blocks = max(1, math.ceil(n_sym / block))
@@ -127,7 +132,7 @@ def pair_sums(rets: DataFrame, block: int = 256) -> DataFrame:
         both = a.withColumns({"bj": F.col("bi"), "sj": F.col("si"), "vj": F.col("vi")})
     else:
         b = vec.select("ts", F.col("blk").alias("bj"), F.col("s").alias("sj"), F.col("v").alias("vj"))
-        both = a.join(b, "ts")  # both orders: sym_i <= sym_j picks each pair once
+        both = a.join(b, "ts").where("bi <= bj").repartition("bi", "bj", F.pmod(F.xxhash64("ts"), F.lit(salt)))
     sums = both.select("bi", "bj", "si", "vi", "sj", "vj").mapInPandas(
         _gram, "sym_i string, sym_j string, n double, sx double, sy double, sxx double, syy double, sxy double")
     return sums.groupBy("sym_i", "sym_j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])

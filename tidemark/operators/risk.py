@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.mathx import z_value
 from tidemark.operators.indicators import drawdown, worst_drawdown
@@ -41,10 +41,17 @@ def cornish_fisher_var(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS
 
 
 def expected_shortfall(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS, split=None, var: DataFrame | None = None) -> DataFrame:
-    """VaR and the mean of the returns at or below it (VaR itself when that tail is empty)."""
-    var = historical_var(df, ret, keys, levels, split) if var is None else var
-    j = df.join(var, list(keys))
+    """VaR and the mean of the returns at or below it (VaR itself when that tail is empty).
+
+    Bounded keys (`split=False`) take the quantile as a window over the key, so input, quantile and
+    tail mean share one shuffle; otherwise the quantiles are joined back.
+    """
     cols = [f"var_{tag(c)}" for c in levels]
+    if var is None and split is False:
+        q = F.percentile(ret, [round(1 - c, 12) for c in levels]).over(Window.partitionBy(*keys))
+        j = df.where(F.col(ret).isNotNull()).withColumn("_q", q).withColumns({v: F.col("_q")[i] for i, v in enumerate(cols)})
+    else:
+        j = df.join(historical_var(df, ret, keys, levels, split) if var is None else var, list(keys))
     return j.groupBy(*keys).agg(*[F.first(v).alias(v) for v in cols], *[
         F.coalesce(F.avg(F.when(F.col(ret) <= F.col(v), F.col(ret))), F.first(v)).alias(v.replace("var", "es")) for v in cols])
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import deque
 
 import numpy as np
@@ -19,19 +20,26 @@ class RollingRisk:
     inputs, outputs = ["price"], "n int, var_95 double, vol double"
 
     def __init__(self, lookback: int = 252, warm: int = 30, level: float = 0.95):
-        self.lookback, self.warm, self.p = lookback, warm, 100 * (1 - level)
+        self.lookback, self.warm, self.p = lookback, warm, 1 - level
 
     def init(self):
-        return (None, deque(maxlen=self.lookback - 1))
+        return (None, deque(), [])
 
     def advance(self, state, price):
-        last, rets = state
+        last, rets, ranked = state
         if last is not None:
-            rets.append(price / last - 1)
-        if len(rets) < self.warm:
-            return (price, rets), (len(rets), None, None)
-        a = np.fromiter(rets, float)
-        return (price, rets), (len(rets), float(np.percentile(a, self.p)), float(a.std() * math.sqrt(252)))
+            r = price / last - 1
+            rets.append(r)
+            insort(ranked, r)
+            if len(rets) > self.lookback - 1:
+                ranked.pop(bisect_left(ranked, rets.popleft()))
+        n = len(rets)
+        if n < self.warm:
+            return (price, rets, ranked), (n, None, None)
+        at = (n - 1) * self.p
+        k = int(at)
+        var = ranked[k] + (ranked[min(k + 1, n - 1)] - ranked[k]) * (at - k)
+        return (price, rets, ranked), (n, var, float(np.std(ranked)) * math.sqrt(252))
 
 
 class PreviousPrice:
