@@ -214,8 +214,9 @@ def test_files_round_trip(spark, tmp_path):
     assert plan.count() == 3
     for name in ("X", "Y"):
         b.toPandas().assign(symbol="?").to_csv(tmp_path / f"{name}.csv", index=False)
-    many = readers.read_many(spark, [str(tmp_path / "X.csv"), str(tmp_path / "Y.csv")])
+    many = readers.read_many(spark, str(tmp_path), ["X", "Y", "absent"])
     assert {r.symbol for r in many.select("symbol").distinct().collect()} == {"X", "Y"}
+    assert readers.read_many(spark, str(tmp_path), ["absent"]).count() == 0
     risk_rows = spark.createDataFrame([(1, "2024-01-01", 0.1), (2, "2024-01-02", 0.2)], "portfolio int, calculation_date string, var double")
     writers.upsert_risk(risk_rows, str(tmp_path / "risk"))
     writers.upsert_risk(risk_rows.where("portfolio = 1").withColumn("var", F.lit(0.9)), str(tmp_path / "risk"))

@@ -7,6 +7,7 @@ from tidemark.plans import frames as X
 from tidemark.plans.ordered import over_rows
 from tidemark.plans.session import read_table
 from tidemark.sources import readers as RD, writers as WR
+from tidemark.streaming.ticks import shared_folder
 
 
 def _lags(s, d):
@@ -111,3 +112,27 @@ register("SRC15_job_summary",
          lambda s, d: WR.job_summary(read_table(s, d, "orders").select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"),
                                                                       (F.col("o_totalprice") / 1000).alias("seconds"), F.col("o_orderdate").alias("ts")), ["kind"]),
          "select o_orderpriority kind, count(*) jobs, count(*) filter (o_orderstatus = 'F') completed, avg(o_totalprice / 1000) mean_seconds, max(o_orderdate) last_run from orders group by 1", "mean_seconds")
+register("SRC8_bulk_load", lambda s, d: RD.read_many(s, d, ["customer", "supplier", "absent"], "parquet", "c_custkey long, s_suppkey long").groupBy("symbol").agg(F.count("*").alias("n")),
+         "select 'customer' symbol, count(*) n from customer union all select 'supplier', count(*) from supplier")
+
+
+def _written(s, d):
+    out = shared_folder(s, "results")
+    WR.write_results(X.suppliers(s, d).select("symbol", "ts", "close", "volume"), out, "csv", per_symbol=True)
+    return s.read.schema("ts timestamp, close double, volume long, symbol string").option("header", True).csv(out)
+
+
+register("SRC10_result_files", _written, sql("sb", "select symbol, ts, close, volume from sb"), "close:9")
+
+
+def _risk_rows(s, d):
+    """First load, then a second load that replaces the last year's dates."""
+    out = shared_folder(s, "risk")
+    rows = read_table(s, d, "orders").groupBy(F.col("o_custkey").alias("portfolio"), F.year("o_orderdate").alias("calculation_date")).agg(F.sum("o_totalprice").alias("exposure"))
+    WR.upsert_risk(rows, out)
+    WR.upsert_risk(rows.where("calculation_date = 2000").withColumn("exposure", F.col("exposure") * 2), out)
+    return s.read.parquet(out)
+
+
+register("SRC11_risk_upsert", _risk_rows,
+         "select o_custkey portfolio, year(o_orderdate)::int calculation_date, sum(o_totalprice) * case when year(o_orderdate) = 2000 then 2 else 1 end exposure from orders group by 1, 2", "exposure:4")

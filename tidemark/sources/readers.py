@@ -1,6 +1,7 @@
 """Bars and payloads from files."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -25,9 +26,17 @@ def read_bars(spark: SparkSession, path: str | list[str], fmt: str, schema: str
     return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 
-def read_many(spark: SparkSession, paths: list[str], fmt: str = "csv", schema: str | StructType = BAR_SCHEMA) -> DataFrame:
-    """One read over a path list; the symbol is the file name. Paths that do not exist give no rows."""
-    df = (spark.read.schema(schema).option("header", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).format(fmt).load(paths))
+def read_many(spark: SparkSession, folder: str, symbols: list[str], fmt: str = "csv", schema: str | StructType = BAR_SCHEMA) -> DataFrame:
+    """One read over `folder/<symbol>.<fmt>`; the symbol is the file name. A glob of alternatives skips the
+    symbols without a file, and no file at all gives an empty frame."""
+    try:
+        df = (spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).format(fmt)
+              .load(f"{folder}/{{{','.join(symbols)}}}.{fmt}"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        df = spark.createDataFrame([], schema)
+        return df if "symbol" in df.columns else df.withColumn("symbol", F.lit(None).cast("string"))
     return df.withColumn("symbol", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]+$", ""))
 
 
