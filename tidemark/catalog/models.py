@@ -135,4 +135,4 @@ def _risk_rows(s, d):
 
 
 register("SRC11_risk_upsert", _risk_rows,
-         "select o_custkey portfolio, year(o_orderdate)::int calculation_date, sum(o_totalprice) * case when year(o_orderdate) = 2000 then 2 else 1 end exposure from orders group by 1, 2", "exposure:4")
+         "select o_custkey portfolio, year(o_orderdate)::int calculation_date, sum(o_totalprice * case when year(o_orderdate) = 2000 then 2 else 1 end) exposure from orders group by 1, 2", "exposure:4")

@@ -108,7 +108,7 @@ register("SS12_capital_adequacy", lambda s, d: RUN(s, d).select("portfolio", "sc
 register("SS4_result_analysis", lambda s, d: S.analyze(RUN(s, d)),
          sql("sx", """select portfolio, min(pnl) worst, max(pnl) best, avg(pnl) mean, stddev_pop(pnl) std, quantile_cont(pnl, 0.01) p1, quantile_cont(pnl, 0.05) p5,
          quantile_cont(pnl, 0.1) p10, quantile_cont(pnl, 0.9) p90, quantile_cont(pnl, 0.95) p95, quantile_cont(pnl, 0.99) p99 from sx group by 1"""),
-         "worst best mean std p1 p5 p10 p90 p95 p99")
+         "worst best mean:4 std:4 p1:3 p5:3 p10:3 p90:3 p95:3 p99:3")
 register("SS14_cross_scenario_summary", lambda s, d: S.summarize(RUN(s, d)),
          sql("sb2", """select portfolio, min(portfolio_return) worst_loss, max(portfolio_return) best_loss, avg(portfolio_return) average_loss, median(portfolio_return) median_loss,
          stddev_pop(portfolio_return) loss_volatility, max(drawdown) worst_drawdown, avg(recovery_days) average_recovery,
@@ -183,7 +183,7 @@ register("EG5_adjusted_returns", lambda s, d: E.adjusted_returns(_PR(s, d), E.po
          sql("es sr", "select portfolio, ts, ret, ret + momentum * 0.001 - risk_premium / 252 adjusted_ret from nr join pe using (portfolio)", pe=PE, nr=NR), "ret adjusted_ret")
 register("EG6_weighted_scores", lambda s, d: E.weighted_scores(_SUPW(s, d), _scores(s, d).where("carbon_intensity > 100"), 5.0, 900.0),
          sql("ws es", """select portfolio, esg_score, carbon, esg_score >= 5 score_ok, carbon <= 900 carbon_ok from (select ws.portfolio portfolio, sum(weight * coalesce(overall_score, 5)) esg_score,
-         sum(weight * coalesce(carbon_intensity, 1000)) carbon from ws left join (select * from es where carbon_intensity > 100) e using (symbol) group by 1)"""), "esg_score carbon")
+         sum(weight * coalesce(carbon_intensity, 1000)) carbon from ws left join (select * from es where carbon_intensity > 100) e using (symbol) group by 1)"""), "esg_score:9 carbon:9")
 register("EG7_esg_report",
          lambda s, d: E.climate_var(_PR(s, d), E.portfolio_esg(_scores(s, d)), E.climate_scenarios(s)).join(E.portfolio_esg(_scores(s, d)), "portfolio")
          .join(_scores(s, d).select("symbol", "portfolio").join(E.climate_impacts(_scores(s, d), E.climate_scenarios(s)), "symbol").groupBy("portfolio", "scenario").agg(
