@@ -72,10 +72,10 @@ register("ML7_permutation_importance",
 # user hooks
 register("UD5_chunk_function", lambda s, d: G.map_chunks(X.ticks(s, d).select("symbol", "price"), lambda f: f.groupby("symbol", as_index=False).agg(m=("price", "max")), "symbol string, m double",
                                                          lambda o: o.groupBy("symbol").agg(F.max("m").alias("m"))), sql("tk", "select symbol, max(price) m from tk group by 1"))
-register("UD6_path_payoff",
-         lambda s, d: M.payoff(X.ticks(s, d).groupBy("symbol", F.date_trunc("hour", "ts").alias("hour")).agg(F.sort_array(F.collect_list(F.struct("ts", "price"))).alias("v")).select("symbol", "hour", F.col("v.price").alias("path")),
+register("UD6_path_payoff",  # a path is one day of hourly closes: at most 24 values
+         lambda s, d: M.payoff(X.hourly(s, d).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("v")).select("symbol", "day", F.col("v.close").alias("path")),
                                "greatest(aggregate(path, 0D, (a, x) -> a + x) / size(path) - 50, 0D)").drop("path"),
-         sql("tk", "select symbol, date_trunc('hour', ts)::timestamp AS hour, greatest(avg(price) - 50, 0) payoff from tk group by 1, 2"), "payoff")
+         sql("hb", "select symbol, date_trunc('day', ts)::timestamp AS day, greatest(avg(close) - 50, 0) payoff from hb group by 1, 2"), "payoff")
 register("UD7_rolling_metric", lambda s, d: M.rolling_metric(X.hourly_returns(s, d), lambda a: (a * a).mean(), ["ret"], 24).select("symbol", "ts", "metric"),
          sql("hr", "select symbol, ts, m metric from (select symbol, ts, avg(ret * ret) over w m, count(*) over w n from hr window w as (partition by symbol order by ts rows between 23 preceding and current row)) where n = 24"), "metric")
 register("UD4_validation_rule", lambda s, d: X.ticks(s, d).groupBy("symbol").agg((F.min("price") > 0).alias("is_valid")), sql("tk", "select symbol, min(price) > 0 is_valid from tk group by 1"))

@@ -3,22 +3,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read `<root>/<name>.parquet`; zone-less timestamps become UTC event time.
+def utc_schema(schema: StructType) -> StructType:
+    """Zone-less timestamps as UTC instants: `withWatermark`, `unix_micros` and casts to numbers refuse
+    TIMESTAMP_NTZ. Declaring the type at the scan, rather than casting after it, keeps time predicates
+    on the raw column so that they reach Parquet."""
+    return StructType([StructField(f.name, TimestampType(), f.nullable) if isinstance(f.dataType, TimestampNTZType) else f for f in schema.fields])
+
 
-    `withWatermark`, `unix_micros` and casts to numbers refuse TIMESTAMP_NTZ, so
-    the cast happens once, here.
-    """
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Read `<root>/<name>.parquet` with UTC event time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{root}/{name}.parquet")
-    return df.select(*[
-        F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, TimestampNTZType) else F.col(f.name)
-        for f in df.schema.fields
-    ])
+    path = f"{root}/{name}.parquet"
+    return spark.read.schema(utc_schema(spark.read.parquet(path).schema)).parquet(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.plans.ordered import stepwise
-from tidemark.plans.session import ensure_checkpoint_dir
+from tidemark.plans.session import ensure_checkpoint_dir, utc_schema
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -138,11 +138,9 @@ def parse_quotes(raw: DataFrame, col: str = "payload", arrival: Column | None =
 
 def file_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A Parquet table as a stream of files, with UTC event time."""
-    from pyspark.sql.types import TimestampNTZType
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(root)
-    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, TimestampNTZType) else F.col(f.name) for f in schema.fields])
+    schema = utc_schema(spark.read.parquet(f"{root}/{name}.parquet").schema)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
