@@ -115,11 +115,11 @@ def _gram(frames):
             yield pd.concat(out)
 
 
-def pair_sums(rets: DataFrame, block: int = 256, salt: int = 4) -> DataFrame:
+def pair_sums(rets: DataFrame, block: int = 128, salt: int = 1) -> DataFrame:
     """n, Σx, Σy, Σx², Σy², Σxy for each pair i<=j over their common dates.
 
     Dates are vectors cut into blocks of about `block` symbols. Blocks, not symbol pairs, meet per
-    date; a task holds the dates of one block pair (salted by date) and reduces every Arrow batch to
+    date; a task streams the dates of one block pair (`salt` spreads them further) and reduces every Arrow batch to
     one small matrix before the final shuffle.
     """
     n_sym = rets.select("symbol").distinct().count()
