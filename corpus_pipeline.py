@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, simhash, toxicity
+from tidemark.llm import bpe, mixing, simhash, toxicity
 from tidemark.llm.common import fresh, read
 from tidemark.llm.queries import TOKENIZER
 
@@ -21,12 +21,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.simhash_dedup(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training stream: documents as often as the source weights take them, in curriculum order."""
+    mixed = mixing.curriculum(docs)
+    return mixed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")) if "n_chars" in mixed.columns else mixed
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for each document of the mix."""
     return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("toxicity", reject_toxic), ("simhash near-dedup", drop_near_copies), ("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("simhash near-dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 #: The classifier, the fingerprints and the tokenizer have no SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 

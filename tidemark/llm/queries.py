@@ -2,9 +2,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, langid, simhash, toxicity
+from tidemark.llm import bpe, langid, mixing, outliers, simhash, toxicity
 from tidemark.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,16 @@ def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.predict(read(spark, root, "documents"), read(spark, root, "labels"))
 
 
+def op5_outliers(spark: SparkSession, root: str) -> DataFrame:
+    return outliers.quality(read(spark, root, "documents"))
+
+
+def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    mixed = mixing.mix(docs.withColumnRenamed("size", "words"), F.col("words")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.position")
+    return mixing.in_order(mixed, F.col("position"))
+
+
 def op9_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_decode(read(spark, root, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -27,5 +37,24 @@ def op10_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_toxicity, op9_bpe, op10_simhash)}
-ORACLES: dict[str, str] = {}
+_OP8 = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk, sum(source_size) OVER () AS total FROM s),
+w AS (SELECT *, [5, 2, 1][rk % 3 + 1] AS weight, [1.0, 0.5, 1.5][rk % 3 + 1]::DOUBLE AS w0, [1.0, 1.5, 0.5][rk % 3 + 1]::DOUBLE AS w1 FROM r),
+m AS (SELECT *, (source_size * 3)::DOUBLE / weight AS room FROM w),
+l AS (SELECT *, coalesce(sum(source_size * 3) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+  sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM m),
+c AS (SELECT *, (total - used)::DOUBLE / free::DOUBLE AS lev FROM l),
+v AS (SELECT arg_min(lev, (room, source)) AS level FROM c WHERE lev <= room),
+t AS (SELECT source, source_size, w0, w1, least((source_size * 3)::DOUBLE, level * weight) AS target FROM c, v),
+q AS (SELECT doc_id, size, source_size, w0, w1, target, floor(target + 0.5)::BIGINT AS words,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS times FROM q),
+g AS (SELECT *, (times * size + greatest(0, least(size, words - times * source_size - ahead)))::BIGINT AS taken,
+  ahead::DOUBLE / words AS u, 2 * w0 / (w0 + w1) AS p, 2 * w1 / (w0 + w1) AS z FROM e)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN 2 * u / (p + sqrt(p * p + 2 * (z - p) * u)) END AS position FROM g"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_toxicity, op5_outliers, op8_mixing, op9_bpe, op10_simhash)}
+ORACLES = {"op8_mixing": _OP8}
