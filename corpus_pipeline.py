@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, mixing, simhash, toxicity
+from tidemark.llm import bpe, mixing, simhash, suffix, toxicity
 from tidemark.llm.common import fresh, read
 from tidemark.llm.queries import TOKENIZER
 
@@ -21,10 +21,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.simhash_dedup(docs)
 
 
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte strings that repeat; a document of which nothing is left stays, empty."""
+    name = fresh(docs, "cut")
+    cut = suffix.dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col(name)["kept"])).drop(name)
+    return _with_length(cut)
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else docs
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: documents as often as the source weights take them, in curriculum order."""
-    mixed = mixing.curriculum(docs)
-    return mixed.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")) if "n_chars" in mixed.columns else mixed
+    return _with_length(mixing.curriculum(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("toxicity", reject_toxic), ("simhash near-dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("simhash near-dedup", drop_near_copies), ("suffix-array dedup", drop_passages), ("mixing", mix_sources), ("bpe", encode)]
 #: The classifier, the fingerprints and the tokenizer have no SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, langid, mixing, outliers, simhash, toxicity
-from tidemark.llm.common import read
+from tidemark.llm import bpe, htmltext, langid, mixing, multiindex, outliers, rollups, simhash, suffix, toxicity
+from tidemark.llm.common import SPACE, read
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,6 +15,31 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op2_multi_index(spark: SparkSession, root: str) -> DataFrame:
+    return multiindex.near_vectors(read(spark, root, "embeddings"))
+
+
+def op3_token_rollups(spark: SparkSession, root: str) -> DataFrame:
+    """All documents enter under two tokenizer versions, toxic ones leave, poor ones count their distinct words only.
+
+    Two batches are delivered twice.
+    """
+    docs, labels = read(spark, root, "documents"), read(spark, root, "labels")
+    books = rollups.TokenRollup.temporary(spark)
+    words = docs.select("doc_id", "source", "lang", F.lit("words-1").alias("version"), rollups.count_words().alias("tokens"))
+    pieces = docs.select("doc_id", "source", "lang", F.lit("pieces-1").alias("version"), rollups.count_pieces().alias("tokens"))
+    toxic = labels.where("toxic = 1").select("doc_id")
+    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    unique = F.size(F.array_distinct(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")))
+    books.insert("words", words)
+    books.insert("pieces", pieces)
+    books.insert("words", words)
+    books.delete("toxic", toxic)
+    books.revise("poor", poor.select("doc_id", F.lit("words-1").alias("version"), unique.alias("tokens")))
+    books.delete("toxic", toxic)
+    return books.totals()
+
+
 def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.predict(read(spark, root, "documents"), read(spark, root, "labels"))
 
@@ -23,6 +48,15 @@ def op5_outliers(spark: SparkSession, root: str) -> DataFrame:
     return outliers.quality(read(spark, root, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, root: str) -> DataFrame:
+    docs = read(spark, root, "documents").select("doc_id", "text")
+    return suffix.dedup(docs).select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+
+
+def op7_html_text(spark: SparkSession, root: str) -> DataFrame:
+    return htmltext.extract(read(spark, root, "pages"))
+
+
 def op8_mixing(spark: SparkSession, root: str) -> DataFrame:
     docs = read(spark, root, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     mixed = mixing.mix(docs.withColumnRenamed("size", "words"), F.col("words")).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.position")
@@ -56,5 +90,24 @@ g AS (SELECT *, (times * size + greatest(0, least(size, words - times * source_s
   ahead::DOUBLE / words AS u, 2 * w0 / (w0 + w1) AS p, 2 * w1 / (w0 + w1) AS z FROM e)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN 2 * u / (p + sqrt(p * p + 2 * (z - p) * u)) END AS position FROM g"""
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_toxicity, op5_outliers, op8_mixing, op9_bpe, op10_simhash)}
-ORACLES = {"op8_mixing": _OP8}
+_OP3 = r"""
+WITH d AS (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+c AS (SELECT source, lang, 'words-1' AS version, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN len(list_distinct(w)) ELSE len(w) END AS t FROM d
+  UNION ALL SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x09-\x0D\x20]')), 0) FROM d)
+SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(t)::BIGINT AS n_tokens FROM c GROUP BY ALL"""
+_OP6 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, x, unnest(range(greatest(n - 399, 0))) AS i FROM d),
+k AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM w),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM k) WHERE c > 1),
+e AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM s),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+p AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM g GROUP BY r, run),
+q AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS done FROM p),
+a AS (SELECT q.r, count(*) AS spans, sum(hi - lo) AS gone, string_agg(substr(x, 2 * done + 1, 2 * (lo - done)), '' ORDER BY lo) AS head, max(hi) AS last FROM q JOIN d USING (r) GROUP BY q.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (r)"""
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_multi_index, op3_token_rollups, op4_toxicity, op5_outliers, op6_suffix_array, op7_html_text, op8_mixing, op9_bpe, op10_simhash)}
+#: The others have no SQL: learned models, iterated estimates, seeded XXH64, HTML and tokenizer automata.
+ORACLES = {"op3_token_rollups": _OP3, "op6_suffix_array": _OP6, "op8_mixing": _OP8}
