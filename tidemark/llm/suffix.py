@@ -319,10 +319,12 @@ def dedup(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     Matches never cross texts; texts under 400 bytes stay whole. Repeated rows are copies of each other.
     """
     name, key = fresh(docs, "cut"), "key_of_text_"
-    keyed = docs.withColumn(key, text_key(F.col(text)))
-    spans = repeated_windows(keyed, text, key, hot).withColumnRenamed("key", "span_key_")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
+    own = f"c{docs.columns.index(text)}"
+    keyed = plain.withColumn(key, text_key(F.col(own)))
+    spans = repeated_windows(keyed, own, key, hot).withColumnRenamed("key", "span_key_")
     joined = keyed.join(spans, keyed[key] == F.col("span_key_"), "left")
-    at_text, at_spans = joined.columns.index(text), joined.columns.index("spans")
+    at_text, at_spans = joined.columns.index(own), joined.columns.index("spans")
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     schema = StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(fields))])
     width = len(docs.columns)
