@@ -223,6 +223,50 @@ def test_files_round_trip(spark, tmp_path):
     assert {r.portfolio: r["var"] for r in spark.read.parquet(str(tmp_path / "risk")).collect()} == {1: 0.9, 2: 0.2}
 
 
+def test_upsert_keeps_other_rows_and_takes_the_newest(spark, tmp_path):
+    out = str(tmp_path / "risk")
+    rows_ = lambda *r: spark.createDataFrame(list(r), "portfolio int, calculation_date string, var double, loaded int")
+    writers.upsert_risk(rows_((1, "2024-01-01", 0.1, 1), (2, "2024-01-01", 0.2, 1), (1, "2024-01-02", 0.3, 1)), out)
+    writers.upsert_risk(rows_((1, "2024-01-01", 9.0, 2), (1, "2024-01-01", 3.0, 3)), out, version="loaded")
+    got = {(r.portfolio, str(r.calculation_date)): r["var"] for r in spark.read.parquet(out).collect()}
+    assert got == {(1, "2024-01-01"): 3.0, (2, "2024-01-01"): 0.2, (1, "2024-01-02"): 0.3}
+    with pytest.raises(ValueError):
+        writers.upsert_risk(rows_((1, "2024-01-01", 1.0, 1), (1, "2024-01-01", 2.0, 2)), out)
+
+
+def test_damaged_and_missing_files_are_reported(spark, tmp_path):
+    for name in ("A", "B"):
+        bars(spark, [1.0, 2.0]).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    (tmp_path / "B.parquet").write_bytes(b"PAR1 nonsense PAR1")
+    report = {r.symbol: (r.status, r["rows"]) for r in readers.load_report(spark, str(tmp_path), ["A", "B", "C"], "parquet", "close double").collect()}
+    assert report == {"A": ("loaded", 2), "B": ("failed", 0), "C": ("absent", 0)}
+    with pytest.raises(Exception, match="(?i)parquet"):
+        readers.read_many(spark, str(tmp_path), ["A", "B"], "parquet", "close double").count()
+    assert readers.read_many(spark, str(tmp_path), ["A", "C"], "parquet", "close double").count() == 2
+    with pytest.raises(FileNotFoundError):
+        readers.read_many(spark, str(tmp_path / "nowhere"), ["A"])
+
+
+def test_table_folder_streams_whole_and_failed_batches_are_kept(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    ticks_ = lambda: T.file_stream(spark, str(tmp_path), "events")
+    n = spark.read.parquet(str(tmp_path / "events.parquet")).count()
+    assert T.drain(ticks_()).count() == n > 0
+
+    def broken(df):
+        raise ValueError("no")
+
+    out = str(tmp_path / "out")
+    assert T.process_batches(ticks_(), {"all": lambda df: df, "broken": broken}, out) == {"all": 0, "broken": 4}
+    assert spark.read.parquet(f"{out}/all").count() == n
+    lost = T.rejected(spark, out, "broken")
+    assert lost.count() == n and lost.select("batch").distinct().count() == 4 and "no" in lost.first().error
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "events.parquet").mkdir()
+    with pytest.raises(Exception):
+        T.file_stream(spark, str(tmp_path / "empty"), "events")
+
+
 def test_stream_equals_batch_and_late_rows(spark, tmp_path):
     t0 = pd.Timestamp("2024-01-01")
     def part(rows_):

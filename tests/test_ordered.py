@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, indicators as I
-from tidemark.plans.ordered import has_hot_key, over_rows, quantiles, row_index, running, stepwise
+from tidemark.plans.ordered import over_rows, quantiles, row_index, running, stepwise
 
 
 @pytest.fixture(scope="module")
@@ -83,15 +83,13 @@ def test_partition_count_does_not_matter(frame):
     same(got[0], got[2])
 
 
-def test_hot_key_switch(spark, frame):
+def test_unknown_input_takes_the_split_form(spark, frame):
     df, _ = frame
-    spark.conf.set("tidemark.hot.rows", "500")
-    try:
-        assert has_hot_key(df, ["symbol"])
-        same(rows(I.sma(df, 10, "x", split=None), "sma"), rows(I.sma(df, 10, "x", split=False), "sma"))
-    finally:
-        spark.conf.unset("tidemark.hot.rows")
-    assert not has_hot_key(df, ["symbol"])
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    same(rows(I.sma(df, 10, "x", split=None), "sma"), rows(I.sma(df, 10, "x", split=False), "sma"))
+    plain = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    I.sma(df, 10, "x", split=False)
+    assert len(before) <= plain == len(spark.sparkContext.statusTracker().getJobIdsForGroup())  # building a plan runs no job
 
 
 def test_stepwise_carries_state_over_batches(spark, frame):

@@ -126,13 +126,15 @@ register("SRC10_result_files", _written, sql("sb", "select symbol, ts, close, vo
 
 
 def _risk_rows(s, d):
-    """First load, then a second load that replaces the last year's dates."""
+    """First load, then a second load that replaces the large exposures of one year; those of other portfolios stay."""
     out = shared_folder(s, "risk")
     rows = read_table(s, d, "orders").groupBy(F.col("o_custkey").alias("portfolio"), F.year("o_orderdate").alias("calculation_date")).agg(F.sum("o_totalprice").alias("exposure"))
     WR.upsert_risk(rows, out)
-    WR.upsert_risk(rows.where("calculation_date = 2000").withColumn("exposure", F.col("exposure") * 2), out)
+    WR.upsert_risk(rows.where("calculation_date = 2000 and exposure > 200000").withColumn("exposure", F.col("exposure") * 2), out)
     return s.read.parquet(out)
 
 
 register("SRC11_risk_upsert", _risk_rows,
-         "select o_custkey portfolio, year(o_orderdate)::int calculation_date, sum(o_totalprice * case when year(o_orderdate) = 2000 then 2 else 1 end) exposure from orders group by 1, 2", "exposure:4")
+         "select portfolio, calculation_date, case when calculation_date = 2000 and e > 200000 then 2 * e else e end exposure from (select o_custkey portfolio, year(o_orderdate)::int calculation_date, sum(o_totalprice) e from orders group by 1, 2)", "exposure:4")
+register("SRC8_load_report", lambda s, d: RD.load_report(s, d, ["customer", "supplier", "absent"], "parquet", "c_custkey long, s_suppkey long").select("symbol", "status", "rows"),
+         "select 'customer' symbol, 'loaded' status, count(*) AS \"rows\" from customer union all select 'supplier', 'loaded', count(*) from supplier union all select 'absent', 'absent', 0")

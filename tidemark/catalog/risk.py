@@ -64,7 +64,7 @@ register("RK10_risk_report", lambda s, d: R.risk_report(X.hourly(s, d), _hourly_
              es=ES.format(t="hs"), w=_W.format(t="hb"), t=_T, x=DDW, a=_agg("hs", "stddev_pop"), dd=MDD.format(t="hs"), r=RATIO7),
          "var_95 var_99 var_999 es_95 es_99 es_999 price_drawdown " + RC)
 _PATHS = lambda s, d: X.ticks(s, d).select("symbol", F.date_trunc("day", "ts").alias("path_id"), F.col("event_id").alias("step"), "price")
-register("RK11_pooled_path_risk", lambda s, d: R.path_risk(_PATHS(s, d)).drop("skew", "kurt"),
+register("RK11_pooled_path_risk", lambda s, d: R.path_risk(_PATHS(s, d), split=True).drop("skew", "kurt"),
          sql("tk", """select es.*, mean, volatility, max_drawdown, mean / volatility sharpe, mean / dn sortino, mean / abs(max_drawdown) calmar from es join
          (select symbol, avg(ret) mean, stddev_pop(ret) volatility, stddev_pop(ret) filter (ret < 0) dn from pp group by symbol) using (symbol)
          join (select symbol, min(price / pk - 1) max_drawdown from p0 group by symbol) using (symbol)""",

@@ -13,7 +13,7 @@ def _ticks(s, d):
 
 
 _CLOSED = "where e <= (select max(ts) from tk) - interval {d}"
-register("ST1_tick_bars", lambda s, d: T.drain(T.tick_bars(_ticks(s, d), "10 minutes")),
+register("ST1_tick_bars", lambda s, d: T.drain(T.tick_bars(_ticks(s, d), "10 minutes", min_ticks=2)),
          sql("tk", f"""select symbol, b "start", e "end", open, high, low, close, volume, pv / volume vwap, num_trades from (select symbol, time_bucket(interval 10 minute, ts) b, time_bucket(interval 10 minute, ts) + interval 10 minute e,
          arg_min(price, ts) open, max(price) high, min(price) low, arg_max(price, ts) AS close, sum(volume)::double volume, sum(price * volume) pv, count(*) num_trades from tk group by 1, 2, 3 having count(*) >= 2) {_CLOSED.format(d='1 minute')}"""),
          "open:9 high:9 low:9 close:9 vwap")
@@ -86,17 +86,18 @@ register("ST15_user_sessions", lambda s, d: T.drain(T.sessions(T.file_stream(s,
 
 
 def _micro(s, d):
-    """Two processors per micro-batch; one of them fails and is only counted."""
+    """Two processors per micro-batch; one of them fails, and its batches are found whole in the reject table."""
     out = T.shared_folder(s, "micro")
     def broken(df):
         raise ValueError("processor failed")
     errors = T.process_batches(_ticks(s, d), {"counts": lambda df: df.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("price").alias("total")), "broken": broken}, out)
     got = s.read.parquet(f"{out}/counts").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    return got.withColumn("failed", F.lit(errors["broken"] > 0))
+    lost = T.rejected(s, out, "broken").groupBy("symbol").agg(F.count("*").alias("rejected"))
+    return got.join(lost, "symbol").withColumn("failed", F.lit(errors["broken"] > 0))
 
 
 for _n in ("ST4_micro_batch_processors", "UD2_batch_processor"):
-    register(_n, _micro, sql("tk", "select symbol, count(*) n, sum(price) total, true failed from tk group by 1"), "total")
+    register(_n, _micro, sql("tk", "select symbol, count(*) n, sum(price) total, count(*) rejected, true failed from tk group by 1"), "total")
 
 
 def _trade_payload(s, d):

@@ -5,13 +5,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.plans.ordered import row_index, running
 
-BROADCAST_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded probe shows at most `limit` rows; a larger side shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def align_complete(rets: DataFrame) -> DataFrame:
     """Keep the dates on which every symbol has a return (long form of an inner join of all series)."""

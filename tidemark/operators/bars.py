@@ -16,7 +16,8 @@ def ohlcv(ticks: DataFrame, bucket: Column, tie: list[str], price: str = "price"
 
 
 def resample(bars: DataFrame, frequency: str = "D") -> DataFrame:
-    """D/W/M bars; weeks end on Sunday and months on their last day. Empty buckets never appear."""
+    """D/W/M bars; weeks end on Sunday and months on their last day. A bucket needs one row
+    with a value; columns that hold none in it are null."""
     label = {"D": F.date_trunc("day", "ts"),
              "W": F.date_trunc("week", "ts") + F.expr("INTERVAL 6 DAYS"),
              "M": F.last_day("ts").cast("timestamp")}[frequency]
@@ -25,4 +26,4 @@ def resample(bars: DataFrame, frequency: str = "D") -> DataFrame:
                 F.max("high").alias("high"), F.min("low").alias("low"),
                 F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("close"),
                 F.sum("volume").alias("volume")))
-    return out.withColumnRenamed("bucket", "ts").na.drop()
+    return out.withColumnRenamed("bucket", "ts").na.drop("all", subset=[*PRICES, "volume"])

@@ -235,7 +235,7 @@ def chain_paths(start: DataFrame, matrix: DataFrame, values: DataFrame, n_paths:
         run, "symbol string, path_id long, step long, price double")
 
 
-def monte_carlo_var(params: DataFrame, n: int, levels=(0.95, 0.99, 0.999), seed: int = 1, split=None) -> DataFrame:
+def monte_carlo_var(params: DataFrame, n: int, levels=(0.95, 0.99, 0.999), seed: int = 1, split=False) -> DataFrame:
     """Quantiles of n draws from N(mean, std) per key: params(symbol, mean, std)."""
     from tidemark.operators.risk import tag
     x = params.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -1,6 +1,7 @@
 """Threshold regimes, structural breaks and regime-switching fits."""
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.indicators import full_frame, runs
-from tidemark.plans.ordered import over_rows, quantiles, row_index, running
+from tidemark.plans.ordered import over_rows, quantiles, row_index, running, stepwise
 from tidemark.plans.session import materialized
 
 KEYS = ("symbol",)
@@ -101,18 +102,53 @@ def regime_names(params: DataFrame) -> DataFrame:
     return params.withColumn("name", F.when(r == 1, "Bear Market").when(r == last, "Bull Market").otherwise("Sideways Market"))
 
 
+class ExpandingQuantile:
+    """Interpolated quantile of all values so far: the lower part in one heap, the rest in another, so that a new value
+    costs the logarithm of their number."""
+
+    def __init__(self, p: float):
+        self.p, self.low, self.high = p, [], []
+
+    def add(self, x: float) -> float:
+        if self.low and x < -self.low[0]:
+            heapq.heappush(self.low, -x)
+        else:
+            heapq.heappush(self.high, x)
+        at = (len(self.low) + len(self.high) - 1) * self.p
+        want = int(at) + 1
+        while len(self.low) < want:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+        while len(self.low) > want:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        lo, part = -self.low[0], at - int(at)
+        if part == 0 or self.high[0] == lo:
+            return lo
+        return (1 - part) * lo + part * self.high[0]
+
+
 def pseudo_labels(rets: DataFrame, n: int = 20, split=False) -> DataFrame:
     """0 above the expanding 66% quantile of volatility, 2 above the expanding 33% of the mean, else 1.
-    Rows before index n are 1. The expanding quantiles run over one bar series per symbol."""
-    x = row_index(rets, KEYS, ["ts"], split=split)
-    w = Window.partitionBy("symbol").orderBy("ts")
-    f = w.rowsBetween(-(n - 1), 0)
-    live = F.col("_rn") >= n
-    x = x.withColumns({"vol": F.when(live, F.stddev_samp("ret").over(f)), "avg": F.when(live, F.avg("ret").over(f))})
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({"_v": F.percentile("vol", 0.66).over(up), "_m": F.percentile("avg", 0.33).over(up)})
-    label = F.when(~live, 1).when(F.col("vol") > F.col("_v"), 0).when(F.col("avg") > F.col("_m"), 2).otherwise(1)
-    return x.withColumn("label", label).drop("_rn", "_v", "_m")
+    Rows before index n are 1. A quantile over all earlier rows is sequential: rows stream through their symbol's two
+    pairs of heaps, which hold one bar series."""
+    def back(w):
+        f = w.rowsBetween(-(n - 1), 0)
+        return {"vol": F.stddev_samp("ret").over(f), "avg": F.avg("ret").over(f)}
+
+    x = over_rows(row_index(rets, KEYS, ["ts"], name="_at", split=split), KEYS, ["ts"], n - 1, back, split=split)
+    live = F.col("_at") >= n
+    x = x.withColumns({"vol": F.when(live, F.col("vol")), "avg": F.when(live, F.col("avg"))})
+
+    def start():
+        return ExpandingQuantile(0.66), ExpandingQuantile(0.33)
+
+    def advance(state, vol, avg):
+        if vol != vol or vol is None:
+            return state, (1,)
+        high, low = state[0].add(vol), state[1].add(avg)
+        return state, (0 if vol > high else 2 if avg > low else 1,)
+
+    keep = [c for c in x.columns if c != "_at"]
+    return stepwise(x, KEYS, ["ts"], start, advance, ["vol", "avg"], keep, "label int")
 
 
 def segment_cusum(x: DataFrame, seg: list[str], min_len: int) -> DataFrame:
@@ -126,12 +162,12 @@ def segment_cusum(x: DataFrame, seg: list[str], min_len: int) -> DataFrame:
     return j.groupBy(*seg).agg(F.max_by("_rn", F.struct("_s", -F.col("_rn"))).alias("break_at"), F.max("_s").alias("stat"))
 
 
-def structural_breaks(rets: DataFrame, min_len: int = 20, critical: float = 1.36, max_depth: int = 64) -> DataFrame:
-    """Recursive CUSUM splits, one pass per depth over all segments of all symbols.
+def structural_breaks(rets: DataFrame, min_len: int = 20, critical: float = 1.36) -> DataFrame:
+    """Recursive CUSUM splits, one pass per depth over all segments of all symbols, until none splits.
     Segments share their break row, so that row is copied into both halves."""
     x = materialized(row_index(rets, KEYS, ["ts"], split=False).select("symbol", "ts", "_rn", "ret").withColumn("seg", F.lit("")))
     found = None
-    for _ in range(max_depth):
+    while True:
         hits = materialized(segment_cusum(x, ["symbol", "seg"], min_len).where(F.col("stat") > critical))
         if not hits.take(1):
             break

@@ -22,7 +22,7 @@ def _std(c, ddof: int) -> Column:
     return F.stddev_samp(c) if ddof else F.stddev_pop(c)
 
 
-def historical_var(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS, split=None) -> DataFrame:
+def historical_var(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS, split=False) -> DataFrame:
     return quantiles(df, list(keys), ret, {f"var_{tag(c)}": round(1 - c, 12) for c in levels}, split=split)
 
 
@@ -40,7 +40,7 @@ def cornish_fisher_var(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS
     return df.groupBy(*keys).agg(*out)
 
 
-def expected_shortfall(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS, split=None, var: DataFrame | None = None) -> DataFrame:
+def expected_shortfall(df: DataFrame, ret="ret", keys=("symbol",), levels=LEVELS, split=False, var: DataFrame | None = None) -> DataFrame:
     """VaR and the mean of the returns at or below it (VaR itself when that tail is empty).
 
     Bounded keys (`split=False`) take the quantile as a window over the key, so input, quantile and
@@ -125,7 +125,7 @@ def path_risk(paths: DataFrame, keys=("symbol",), path="path_id", order="step",
         "calmar": F.when(F.col("max_drawdown") < 0, F.col("mean") / F.abs("max_drawdown")).otherwise(zero)}).drop("_d")
 
 
-def var_report(df: DataFrame, ret="ret", keys=("symbol",), levels=(0.95, 0.99), split=None) -> DataFrame:
+def var_report(df: DataFrame, ret="ret", keys=("symbol",), levels=(0.95, 0.99), split=False) -> DataFrame:
     """Historical and parametric VaR as rows with n, mean, sigma."""
     meta = df.groupBy(*keys).agg(F.count(ret).alias("n"), F.avg(ret).alias("mean"), F.stddev_pop(ret).alias("std"))
     parts = [historical_var(df, ret, keys, levels, split).withColumn("method", F.lit("historical")),

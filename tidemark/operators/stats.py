@@ -28,7 +28,7 @@ def _ranked(df, col, keys, ddof, split):
     return r.withColumn("_x", (F.col(col) - F.col("_m")) / F.col("_s")).withColumn("_f", norm_cdf("_x")).withColumn("_i", F.col("_rn") + 1)
 
 
-def ks_normal(df: DataFrame, col: str = "ret", keys=K, split=None) -> DataFrame:
+def ks_normal(df: DataFrame, col: str = "ret", keys=K, split=False) -> DataFrame:
     """Kolmogorov-Smirnov distance to the normal of the standardized values, asymptotic p."""
     r = _ranked(df, col, keys, 0, split)
     d = F.greatest(F.col("_i") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("_n"))
@@ -38,7 +38,7 @@ def ks_normal(df: DataFrame, col: str = "ret", keys=K, split=None) -> DataFrame:
     return out.withColumn("p_value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
 
-def anderson_darling(df: DataFrame, col: str = "ret", keys=K, split=None) -> DataFrame:
+def anderson_darling(df: DataFrame, col: str = "ret", keys=K, split=False) -> DataFrame:
     """A² against the normal. Pairing F_i with F_{n+1-i} is moved into the weight of 1-F_i, so each
     row needs only its own rank."""
     r = _ranked(df, col, keys, 1, split)

@@ -5,36 +5,27 @@ bar tables, whose rows per symbol are bounded by the calendar, and wrong for raw
 ticks, where one symbol may hold a third of the table. Each helper here has two
 physical forms with equal results:
 
-* plain - one window per key, used when no key is larger than `hot_rows`;
-* split - rows get an exact position inside their key from a range-partitioned
-  sort, positions are cut into blocks, and windows run per `(key, block)` with
+* plain (`split=False`) - one window per key, for input that is declared bounded per key, as bars are;
+* split (`split=True`, and `None`: input of unknown shape) - rows get an exact position inside their key from a
+  range-partitioned sort, positions are cut into blocks, and windows run per `(key, block)` with
   either copied edge rows (sliding frames) or carried block totals (running frames).
 
-`split=None` decides by counting rows per key (one column-pruned, map-side
-combined pass); callers that know the bound pass `split=False`.
+The caller declares the form; nothing is counted while a plan is built.
 """
 from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.plans.session import materialized
 
-HOT_ROWS = 4_000_000
+#: Positions per block in the split form.
+BLOCK_ROWS = 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
-def hot_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("tidemark.hot.rows", str(HOT_ROWS)))
-
-
-def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
-    limit = hot_rows(df.sparkSession)
-    return bool(df.groupBy(*keys).count().where(F.col("count") > limit).take(1))
-
-
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps one copy of the keys."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
@@ -45,9 +36,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_rn",
               split: bool | None = None) -> DataFrame:
     """Zero-based position of each row inside its key. `order` must be a total order."""
-    if split is None:
-        split = has_hot_key(df, keys)
-    if not split:
+    if split is False:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
     spark = df.sparkSession
@@ -70,11 +59,9 @@ def over_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: in
               build: Callable[[Window], dict[str, Column]], ahead: int = 0,
               split: bool | None = None, block: int | None = None) -> DataFrame:
     """Add window columns that look at most `back` rows behind and `ahead` rows in front."""
-    if split is None:
-        split = has_hot_key(df, keys)
-    if not split:
+    if split is False:
         return df.withColumns(build(Window.partitionBy(*keys).orderBy(*order)))
-    size = max(block or hot_rows(df.sparkSession) // 4, back + ahead + 1)
+    size = max(block or BLOCK_ROWS, back + ahead + 1)
     at, own = F.col("_rn") % size, F.floor(F.col("_rn") / size)
     homes = F.array_compact(F.array(
         own,
@@ -91,14 +78,12 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min, "product": F.product, "count":
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, Column]],
             split: bool | None = None, block: int | None = None) -> DataFrame:
     """Running sum/max/min/product/count/last (last = latest non-null) from the key's first row."""
-    if split is None:
-        split = has_hot_key(df, keys)
-    if not split:
+    if split is False:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({
             n: F.last(c, ignorenulls=True).over(w) if kind == "last" else _AGG[kind](c).over(w)
             for n, (kind, c) in specs.items()})
-    size = block or hot_rows(df.sparkSession) // 4
+    size = block or BLOCK_ROWS
     rows = row_index(df, keys, order, split=True).withColumn("_blk", F.floor(F.col("_rn") / size))
     rows = rows.withColumns({f"_in_{n}": c for n, (_, c) in specs.items()})
     inside = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
@@ -140,9 +125,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     group the values are counted, ordered across tasks and read at two positions.
     """
     df = df.where(F.col(value).isNotNull())
-    if split is None:
-        split = has_hot_key(df, keys)
-    if not split:
+    if split is False:
         names = list(probs)
         got = df.groupBy(*keys).agg(F.percentile(value, [float(probs[n]) for n in names]).alias("_q"))
         return got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])

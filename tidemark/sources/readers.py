@@ -1,7 +1,6 @@
 """Bars and payloads from files."""
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -26,20 +25,43 @@ def read_bars(spark: SparkSession, path: str | list[str], fmt: str, schema: str
     return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 
+def _files(spark: SparkSession, folder: str, symbols: list[str], fmt: str) -> dict[str, str]:
+    """Symbol -> path of the files `folder/<symbol>.<fmt>` that exist; a missing folder is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        raise FileNotFoundError(folder)
+    wanted = {f"{s}.{fmt}": s for s in symbols}
+    return {wanted[n]: f"{folder}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(path)) if n in wanted}
+
+
 def read_many(spark: SparkSession, folder: str, symbols: list[str], fmt: str = "csv", schema: str | StructType = BAR_SCHEMA) -> DataFrame:
-    """One read over `folder/<symbol>.<fmt>`; the symbol is the file name. A glob of alternatives skips the
-    symbols without a file, and no file at all gives an empty frame."""
-    try:
-        df = (spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).format(fmt)
-              .load(f"{folder}/{{{','.join(symbols)}}}.{fmt}"))
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """One read over `folder/<symbol>.<fmt>`; the symbol is the file name. Symbols without a file have no rows; a file
+    that cannot be read fails the read (see `load_report`), and so does a missing folder."""
+    found = _files(spark, folder, symbols, fmt)
+    if not found:
         df = spark.createDataFrame([], schema)
         return df if "symbol" in df.columns else df.withColumn("symbol", F.lit(None).cast("string"))
+    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").format(fmt).load(sorted(found.values()))
     return df.withColumn("symbol", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]+$", ""))
 
 
+def load_report(spark: SparkSession, folder: str, symbols: list[str], fmt: str = "csv", schema: str | StructType = BAR_SCHEMA) -> DataFrame:
+    """symbol, status (loaded, absent, failed), rows, error: each file read on its own, so that one damaged file is
+    named and the others still count. One row per asked symbol."""
+    found, report = _files(spark, folder, symbols, fmt), []
+    for s in dict.fromkeys(symbols):
+        if s not in found:
+            report.append((s, "absent", 0, None))
+            continue
+        try:
+            rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").format(fmt).load(found[s]).agg(F.count(F.struct("*"))).first()[0]
+            report.append((s, "loaded", rows, None))
+        except Exception as e:  # noqa: BLE001 - reported with the symbol
+            report.append((s, "failed", 0, str(e).splitlines()[0][:500]))
+    return spark.createDataFrame(report, "symbol string, status string, rows long, error string")
+
+
 def standardize(df: DataFrame, time: str = "date") -> DataFrame:
     """Lower-case names with underscores, time column parsed to `ts`."""
     out = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])

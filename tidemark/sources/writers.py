@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.plans.session import materialized
+
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", per_symbol: bool = False, mode: str = "overwrite") -> None:
     w = df.write.mode(mode).format(fmt)
@@ -23,10 +25,26 @@ def write_market_data(df: DataFrame, path: str, ts: str = "ts", mode: str = "app
      .write.mode(mode).partitionBy("year", "month").parquet(path))
 
 
-def upsert_risk(df: DataFrame, path: str) -> None:
-    """One row per (portfolio, calculation_date): replaces the partitions of the dates it brings."""
-    one = df.groupBy("portfolio", "calculation_date").agg(F.max(F.struct(*[c for c in df.columns if c not in ("portfolio", "calculation_date")])).alias("r")).select(
-        "portfolio", "r.*", "calculation_date")
+def upsert_risk(df: DataFrame, path: str, version: str | None = None) -> None:
+    """One row per (portfolio, calculation_date): incoming rows replace theirs, all other rows of the store stay.
+
+    Of incoming rows for one key, the one with the largest `version` wins; without a version column a repeated key is
+    an error. The touched dates are merged and cut from their source by a checkpoint before they are written over.
+    """
+    spark, keys = df.sparkSession, ["portfolio", "calculation_date"]
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(*rest), F.col(version) if version else F.lit(1)).alias("_r"))
+    rows = materialized(rows)
+    if not version and rows.where("_n > 1").take(1):
+        raise ValueError("repeated (portfolio, calculation_date); name a version column")
+    one = rows.select("portfolio", "_r.*", "calculation_date")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        dates = one.select("calculation_date").distinct()
+        old = spark.read.parquet(path)
+        kind = one.schema["calculation_date"].dataType
+        old = old.withColumn("calculation_date", F.col("calculation_date").cast(kind)).join(dates, "calculation_date", "left_semi")
+        one = materialized(one.unionByName(old.join(one.select(*keys), keys, "left_anti")))
     one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("calculation_date").parquet(path)
 
 

@@ -16,8 +16,9 @@ from tidemark.plans.session import ensure_checkpoint_dir, utc_schema
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def tick_bars(ticks: DataFrame, width: str = "1 minute", delay: str = "1 minute", min_ticks: int = 2, tie=("ts", "event_id")) -> DataFrame:
-    """One final bar per symbol and window: OHLC, volume, VWAP, trade count. Late rows beyond `delay` are dropped."""
+def tick_bars(ticks: DataFrame, width: str = "1 minute", delay: str = "1 minute", min_ticks: int = 1, tie=("ts", "event_id")) -> DataFrame:
+    """One final bar per symbol and window: OHLC, volume, VWAP, trade count. Late rows beyond `delay` are dropped (the
+    query's progress counts them as `numRowsDroppedByWatermark`); `min_ticks` leaves thinner bars out."""
     at = F.struct(*tie)
     vol = F.sum("volume")
     g = (ticks.withWatermark("ts", delay).withColumn("_at", at).groupBy(F.window("ts", width).alias("w"), "symbol")
@@ -136,11 +137,23 @@ def parse_quotes(raw: DataFrame, col: str = "payload", arrival: Column | None =
         F.coalesce(F.col("_m.volume_24h").try_cast("double"), F.lit(0.0)).alias("volume"), F.col("_m.bid").alias("bid"), F.col("_m.ask").alias("ask"))
 
 
-def file_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A Parquet table as a stream of files, with UTC event time."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def file_stream(spark: SparkSession, root: str, name: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, as a stream of files with UTC event time.
+
+    `files_per_trigger` bounds a micro-batch (None: all that is there). A table without files is an error, not an
+    empty stream.
+    """
     schema = utc_schema(spark.read.parquet(f"{root}/{name}.parquet").schema)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if fs.getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    if not any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(path)):
+        raise ValueError(f"no Parquet file in {root}/{name}.parquet")
+    return reader.parquet(f"{root}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
@@ -159,22 +172,31 @@ def drain(stream: DataFrame) -> DataFrame:
 
 
 def process_batches(stream: DataFrame, processors: dict[str, Callable[[DataFrame], DataFrame]], out: str) -> dict[str, int]:
-    """Each micro-batch goes to every processor; results append per processor, failures are counted and do not
-    stop the others. A batch is written under its id, so a retried batch overwrites itself."""
-    errors = {name: 0 for name in processors}
-
+    """Each micro-batch goes to every processor; results append per processor under the batch id, so a retried batch
+    overwrites itself. A processor that fails does not stop the others: its batch goes to `<out>/_rejects/<name>` with
+    the error, to be run again from there. A batch is committed only when results or rejects of all are written.
+    Returns the number of rejected batches that `<out>` holds, by processor."""
     def each(df: DataFrame, batch_id: int) -> None:
-        df.persist()
         for name, fn in processors.items():
             try:
                 fn(df).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-            except Exception:  # noqa: BLE001 - a failing processor must not stop the stream
-                errors[name] += 1
-        df.unpersist()
+            except Exception as e:  # noqa: BLE001 - kept with its rows
+                df.withColumn("error", F.lit(f"{type(e).__name__}: {e}"[:2000])).write.mode("overwrite").parquet(f"{out}/_rejects/{name}/batch={batch_id}")
 
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", out + "/_state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return errors
+    spark = stream.sparkSession
+    counts = {}
+    for name in processors:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/_rejects/{name}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        counts[name] = len(fs.listStatus(path)) if fs.exists(path) else 0
+    return counts
+
+
+def rejected(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Rows, batch id and error of a processor's rejected batches."""
+    return spark.read.option("basePath", f"{out}/_rejects/{name}").parquet(f"{out}/_rejects/{name}/batch=*")
 
 
 def smooth(bars: DataFrame) -> DataFrame:
