@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import fresh, partitions
+from tidemark.llm.common import fresh, partitions, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -84,9 +84,9 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
 
 
 def in_order(df: DataFrame, position: Column) -> DataFrame:
-    """Range-sort by training position: part files in turn are the order; rows without a position come last."""
+    """Range-sort by training position: part files in turn are the order; rows without a position come last, spread by a hash."""
     name = fresh(df, "at")
-    df = df.withColumn(name, F.coalesce(position, F.lit(2.0)))
+    df = df.withColumn(name, F.coalesce(position, 2 + unit_hash(F.col(df.columns[0]).cast("string"), 1)))
     return df.repartitionByRange(partitions(df.sparkSession), name).sortWithinPartitions(name).drop(name)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidemark.llm.common import buffers, fresh, pieces
+from tidemark.llm.common import buffers, checkpointed, fresh, pieces
 from tidemark.llm.hashing import BASE, INVERSE, gram_hash, mixed, powers, prefix_hash, span_hash
 
 LENGTH = 400
@@ -60,7 +60,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "f1", "f2", "key", "span"]
+    names = ["anchor", "f1", "key", "span"]
     for batch in batches:
         data, at = buffers(batch.column(1))
         for lo, hi in pieces(at, _PIECE):
@@ -68,10 +68,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, first, last, place, h = anchors(part, sub)
             if not len(text):
                 continue
-            raw, digest = part.tobytes(), xxhash.xxh3_128_digest
-            same = np.frombuffer(b"".join([digest(raw[a:b], s) for a, b, s in zip(first.tolist(), (last + LENGTH).tolist(), (place - first).tolist())]), np.int64).reshape(-1, 2)
+            raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
+            same = np.fromiter((digest(raw[a:b], s) for a, b, s in zip(first.tolist(), (last + LENGTH).tolist(), (place - first).tolist())), np.uint64, len(first))
             span = (place - sub[text]) << 20 | (place - last) << 10 | (place - first)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), batch.column(0).take(pa.array(text + lo)), pa.array(span)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same.view(np.int64)), batch.column(0).take(pa.array(text + lo)), pa.array(span)], names=names)
 
 
 class Suffixes:
@@ -275,15 +275,17 @@ def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT) -> Da
     """(key, spans): for each text with one, the runs (lo, hi) of starts of windows that also start elsewhere.
 
     `key` is a column of `docs` made by `text_key`. Windows owned by one anchor form a region of under 737 bytes.
-    Regions whose bytes are all the same are counted before any shuffle and repeat whole. Anchors with different
+    Only anchors that stand twice go on; regions with the same anchor and bytes (two 64-bit hashes) repeat whole. Anchors with different
     regions send one of each to one place, where their suffixes are sorted; anchors with more than `hot` of them (near
     copies by the thousand) send their windows' 128-bit hashes instead, which are counted map-side.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchor_rows, "anchor long, f1 long, f2 long, key binary, span long")
-    kinds = rows.groupBy("anchor", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "span")).alias("one"))
-    twice = kinds.where("n > 1").select("anchor", "f1", "f2")
-    whole = rows.join(twice, ["anchor", "f1", "f2"], "left_semi").select("key", (F.shiftright("span", 20) - F.col("span").bitwiseAND(1023)).alias("lo"),
-                                                                        (F.shiftright("span", 20) - F.shiftright("span", 10).bitwiseAND(1023)).alias("hi"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchor_rows, "anchor long, f1 long, key binary, span long")
+    met = rows.groupBy("anchor").count().where("count > 1").select("anchor")
+    rows = checkpointed(rows.join(met, "anchor"))
+    kinds = rows.groupBy("anchor", "f1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "span")).alias("one"))
+    twice = kinds.where("n > 1").select("anchor", "f1")
+    whole = rows.join(twice, ["anchor", "f1"], "left_semi").select("key", (F.shiftright("span", 20) - F.col("span").bitwiseAND(1023)).alias("lo"),
+                                                                  (F.shiftright("span", 20) - F.shiftright("span", 10).bitwiseAND(1023)).alias("hi"))
     various = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     asked = kinds.join(various, "anchor").select("one.key", F.struct("anchor", "f1", "one.span").alias("ask"), (F.col("kinds") > hot).alias("hot"))
 
@@ -321,7 +323,7 @@ def dedup(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     name, key = fresh(docs, "cut"), "key_of_text_"
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
     own = f"c{docs.columns.index(text)}"
-    keyed = plain.withColumn(key, text_key(F.col(own)))
+    keyed = plain.withColumn(key, text_key(F.col(own))).where(F.col(key).isNotNull())  # never null; said here so that all joins below share one exchange of the texts
     spans = repeated_windows(keyed, own, key, hot).withColumnRenamed("key", "span_key_")
     joined = keyed.join(spans, keyed[key] == F.col("span_key_"), "left")
     at_text, at_spans = joined.columns.index(own), joined.columns.index("spans")
