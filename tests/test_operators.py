@@ -79,7 +79,7 @@ def test_covariance_blocks(spark):
     rng = np.random.default_rng(2)
     m = pd.DataFrame(rng.normal(size=(60, 7)), columns=list("ABCDEFG")).mask(rng.random((60, 7)) < 0.1)
     long = m.reset_index().melt("index", var_name="symbol", value_name="ret").rename(columns={"index": "ts"}).dropna()
-    sums = G.pair_sums(spark.createDataFrame(long), block=2).toPandas()
+    sums = G.pair_sums(spark.createDataFrame(long), blocks=3).toPandas()
     assert len(sums) == 28
     for _, r in sums.iterrows():
         a = m[[r.sym_i, r.sym_j]].dropna() if r.sym_i != r.sym_j else m[[r.sym_i]].dropna()

@@ -218,7 +218,7 @@ register("PT13_rebalance", lambda s, d: P.rebalance(_cur(s, d), _w3(s, d).select
          "trade_value:3 quantity:4 max_drift")
 register("PT17_exposure_summary", lambda s, d: P.summary(_cur(s, d)),
          sql("cw", "select portfolio, sum(market_value) exposure, max(total_value) total_value, count(*) positions, max(total_value) - sum(market_value) cash from cw group by 1"),
-         "exposure:3 total_value:3 cash:3")
+         "exposure:2 total_value:2 cash:2")
 _dense = lambda s, d: X.panel_returns(s, d).groupBy("symbol", F.date_trunc("week", "ts").alias("ts")).agg(F.avg("ret").alias("ret"))
 _grid = lambda s: P.weight_grid(s, ["A", "N", "R"])
 _EV = dict(

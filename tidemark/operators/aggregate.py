@@ -1,12 +1,11 @@
 """Descriptive aggregates, matrices, contingency tables and chunked user functions."""
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.mathx import z_value
 from tidemark.functions.scalar import equal_width_bin
@@ -63,7 +62,12 @@ def outliers(df: DataFrame, col: str, method: str = "iqr", limit: float = 3.0, k
     keys = list(keys)
     rows = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias(col))
     x = F.col(col)
-    if method == "iqr":
+    own = Window.partitionBy(*keys)
+    if method == "iqr" and split is False:
+        j = rows.withColumn("_q", F.percentile(col, [0.25, 0.75]).over(own)).withColumns({"_a": F.col("_q")[0], "_b": F.col("_q")[1]})
+        iqr = F.col("_b") - F.col("_a")
+        bad = (x < F.col("_a") - 1.5 * iqr) | (x > F.col("_b") + 1.5 * iqr)
+    elif method == "iqr":
         b = quantiles(rows, keys, col, {"_a": 0.25, "_b": 0.75}, split=split)
         iqr = F.col("_b") - F.col("_a")
         bad = (x < F.col("_a") - 1.5 * iqr) | (x > F.col("_b") + 1.5 * iqr)
@@ -115,24 +119,19 @@ def _gram(frames):
             yield pd.concat(out)
 
 
-def pair_sums(rets: DataFrame, block: int = 128, salt: int = 1) -> DataFrame:
+def pair_sums(rets: DataFrame, blocks: int = 8, salt: int = 4) -> DataFrame:
     """n, Σx, Σy, Σx², Σy², Σxy for each pair i<=j over their common dates.
 
-    Dates are vectors cut into blocks of about `block` symbols. Blocks, not symbol pairs, meet per
-    date; a task streams the dates of one block pair (`salt` spreads them further) and reduces every Arrow batch to
-    one small matrix before the final shuffle.
+    Dates are vectors cut into `blocks` blocks of symbols; choose them so that a block has some hundred symbols.
+    Blocks, not symbol pairs, meet per date; a task streams a share of the dates (one of `salt`) of one block pair and
+    reduces every Arrow batch to one small matrix before the final shuffle. One plan for every number of symbols.
     """
-    n_sym = rets.select("symbol").distinct().count()
-    blocks = max(1, math.ceil(n_sym / block))
     vec = (rets.where("ret is not null").withColumn("blk", F.pmod(F.hash("symbol"), F.lit(blocks)))
            .groupBy("ts", "blk").agg(F.collect_list(F.struct("symbol", "ret")).alias("v"))
            .select("ts", "blk", F.col("v.symbol").alias("s"), F.col("v.ret").alias("v")))
     a = vec.select("ts", F.col("blk").alias("bi"), F.col("s").alias("si"), F.col("v").alias("vi"))
-    if blocks == 1:
-        both = a.withColumns({"bj": F.col("bi"), "sj": F.col("si"), "vj": F.col("vi")})
-    else:
-        b = vec.select("ts", F.col("blk").alias("bj"), F.col("s").alias("sj"), F.col("v").alias("vj"))
-        both = a.join(b, "ts").where("bi <= bj").repartition("bi", "bj", F.pmod(F.xxhash64("ts"), F.lit(salt)))
+    b = vec.select("ts", F.col("blk").alias("bj"), F.col("s").alias("sj"), F.col("v").alias("vj"))
+    both = a.join(b, "ts").where("bi <= bj").repartition("bi", "bj", F.pmod(F.xxhash64("ts"), F.lit(salt)))
     sums = both.select("bi", "bj", "si", "vi", "sj", "vj").mapInPandas(
         _gram, "sym_i string, sym_j string, n double, sx double, sy double, sxx double, syy double, sxy double")
     return sums.groupBy("sym_i", "sym_j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
@@ -154,9 +153,10 @@ def correlation(rets: DataFrame) -> DataFrame:
 
 
 def symmetric(pairs: DataFrame, value: str) -> DataFrame:
-    """Add the mirrored half of an i<=j matrix."""
-    flip = pairs.where("sym_i <> sym_j").select(F.col("sym_j").alias("sym_i"), F.col("sym_i").alias("sym_j"), value)
-    return pairs.select("sym_i", "sym_j", value).unionByName(flip)
+    """Add the mirrored half of an i<=j matrix, in one pass."""
+    i, j = F.col("sym_i"), F.col("sym_j")
+    both = F.array_compact(F.array(F.struct(i.alias("i"), j.alias("j")), F.when(i != j, F.struct(j.alias("i"), i.alias("j")))))
+    return pairs.select(F.explode(both).alias("_p"), value).select(F.col("_p.i").alias("sym_i"), F.col("_p.j").alias("sym_j"), value)
 
 
 def contingency(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:

@@ -73,11 +73,17 @@ def cap_outliers(df: DataFrame, z: float = 5.0, cols=PRICES, split=False) -> Dat
     df = over_rows(df, ("symbol",), ["ts"], 1, lambda w: {
         **{f"_p_{c}": F.lag(c).over(w) for c in cols},
         **{f"_r_{c}": F.try_divide(F.col(c), F.lag(c).over(w)) - 1 for c in cols}}, split=split)
-    stats = df.groupBy("symbol").agg(
-        *[a for c in cols for a in (F.avg(f"_r_{c}").alias(f"_m_{c}"), F.stddev_pop(f"_r_{c}").alias(f"_s_{c}"))])
-    df = df.join(stats, "symbol")
-    for c in cols:
-        df = df.join(quantiles(df, ["symbol"], f"_r_{c}", {f"_lo_{c}": 0.01, f"_hi_{c}": 0.99}, split=split), "symbol", "left")
+    if split is False:  # bounded keys: moments and quantiles are windows over the symbol, in the shuffle of the lags
+        w = Window.partitionBy("symbol")
+        df = df.withColumns({k: v for c in cols for k, v in ((f"_m_{c}", F.avg(f"_r_{c}").over(w)), (f"_s_{c}", F.stddev_pop(f"_r_{c}").over(w)),
+                                                             (f"_q_{c}", F.percentile(f"_r_{c}", [0.01, 0.99]).over(w)))})
+        df = df.withColumns({k: v for c in cols for k, v in ((f"_lo_{c}", F.col(f"_q_{c}")[0]), (f"_hi_{c}", F.col(f"_q_{c}")[1]))}).drop(*[f"_q_{c}" for c in cols])
+    else:
+        stats = df.groupBy("symbol").agg(
+            *[a for c in cols for a in (F.avg(f"_r_{c}").alias(f"_m_{c}"), F.stddev_pop(f"_r_{c}").alias(f"_s_{c}"))])
+        df = df.join(stats, "symbol")
+        for c in cols:
+            df = df.join(quantiles(df, ["symbol"], f"_r_{c}", {f"_lo_{c}": 0.01, f"_hi_{c}": 0.99}, split=split), "symbol", "left")
     out = {}
     for c in cols:
         r = F.col(f"_r_{c}")
@@ -97,8 +103,11 @@ def cap_returns(df: DataFrame, k: float = 3.0, split=False) -> DataFrame:
     keys = ("symbol",)
     df = over_rows(df, keys, ["ts"], 1,
                    lambda w: {"_r": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1}, split=split)
-    stats = df.groupBy(*keys).agg(F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"))
-    df = df.join(stats, list(keys))
+    if split is False:
+        w = Window.partitionBy(*keys)
+        df = df.withColumns({"_m": F.avg("_r").over(w), "_s": F.stddev_samp("_r").over(w)})
+    else:
+        df = df.join(df.groupBy(*keys).agg(F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s")), list(keys))
     hi, lo = F.col("_m") + k * F.col("_s"), F.col("_m") - k * F.col("_s")
     df = df.withColumn("_f", F.when(F.col("_r") > hi, 1 + hi).when(F.col("_r") < lo, 1 + lo))
     df = running(df, keys, ["ts"], {"_isle": ("sum", F.when(F.col("_f").isNull(), 1).otherwise(0))}, split=split)

@@ -2,7 +2,7 @@
 
 Inputs are bars with one row per (symbol, ts), so the rows per symbol are bounded by
 the calendar and one window per symbol is a bounded task; that is why `split` defaults
-to False. Pass `split=None` for tick-level input: the same columns are then computed
+to False. Pass `split=True` for tick-level input: the same columns are then computed
 block by block (see tidemark.plans.ordered).
 """
 from __future__ import annotations
@@ -66,12 +66,15 @@ def ema(df: DataFrame, span: int, col: str = "close", out: str = "ema", keys=KEY
     w = Window.partitionBy(*keys, "_b").orderBy("_rn")
     scaled = F.col(col) * F.pow(F.lit(q), -F.col("_j"))
     rows = rows.withColumn("_s", F.sum(scaled).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tail = (rows.groupBy(*keys, (F.col("_b") + 1).alias("_b"))
+    if split is False:  # the block before, as a range frame: evaluated once a block, in the same shuffle
+        near = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
+        rows = rows.withColumn("_prev", F.sum(scaled).over(near) * F.pow(F.lit(q), F.lit(m - 1.0)))
+    tail = None if split is False else (rows.groupBy(*keys, (F.col("_b") + 1).alias("_b"))
             .agg((F.sum(scaled) * F.pow(F.lit(q), F.lit(m - 1.0))).alias("_prev")))
     num = F.col("_s") * F.pow(F.lit(q), F.col("_j")) + F.coalesce("_prev", F.lit(0.0)) * F.pow(F.lit(q), F.col("_j") + 1)
     den = (1 - F.pow(F.lit(q), F.col("_rn") + 1)) / (1 - q)
-    return (rows.join(tail, [*keys, "_b"], "left").withColumn(out, num / den)
-            .drop("_b", "_j", "_s", "_prev", "_rn"))
+    rows = rows if tail is None else rows.join(tail, [*keys, "_b"], "left")
+    return rows.withColumn(out, num / den).drop("_b", "_j", "_s", "_prev", "_rn")
 
 
 def rsi(df: DataFrame, n: int = 14, price: str = "close", keys=KEYS, split=False) -> DataFrame:

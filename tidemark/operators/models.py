@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.regression import ols
-from tidemark.plans.ordered import over_rows, row_index, stepwise
+from tidemark.plans.ordered import over_rows, row_index, running, stepwise
 
 def _err() -> Column:
     return F.col("y") - F.col("yhat")
@@ -100,12 +100,26 @@ def score_summary(cv: DataFrame, keys=("symbol",), z: float = 1.96) -> DataFrame
 
 
 def rolling_scores(df: DataFrame, x: str, y: str, window: int, keys=("symbol",), split=False) -> DataFrame:
-    """Fit on the previous `window` rows, predict the current one: squared error per row."""
-    def build(w):
-        f = w.rowsBetween(-window, -1)
-        full = F.count(y).over(f) == window
-        return {"yhat": F.when(full, F.regr_intercept(y, x).over(f) + F.regr_slope(y, x).over(f) * F.col(x))}
-    out = over_rows(df, keys, ["ts"], window, build, split=split)
+    """Fit on the previous `window` rows, predict the current one: squared error per row.
+
+    The sums of a window are differences of running sums, centred by the key's means, so a row costs the same for any
+    window."""
+    keys = list(keys)
+    if split is False:
+        own = Window.partitionBy(*keys)
+        df = df.withColumns({"_mx": F.avg(x).over(own), "_my": F.avg(y).over(own)})
+    else:
+        df = df.join(df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my")), keys)
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    u, v = F.when(ok, F.col(x) - F.col("_mx")), F.when(ok, F.col(y) - F.col("_my"))
+    sums = {"n": F.when(ok, F.lit(1.0)), "x": u, "y": v, "xx": u * u, "xy": u * v, "f": F.when(F.col(y).isNotNull(), F.lit(1.0))}
+    df = running(df, keys, ["ts"], {f"_c{k}": ("sum", F.coalesce(c, F.lit(0.0))) for k, c in sums.items()}, split=split)
+    lags = lambda w: {f"_d{k}": F.lag(f"_c{k}", 1).over(w) - F.coalesce(F.lag(f"_c{k}", window + 1).over(w), F.lit(0.0)) for k in sums}
+    df = over_rows(df, keys, ["ts"], window + 1, lags, split=split)
+    n, sx, sy = F.col("_dn"), F.col("_dx"), F.col("_dy")
+    slope = F.try_divide(n * F.col("_dxy") - sx * sy, n * F.col("_dxx") - sx * sx)
+    yhat = F.when(F.col("_df") == window, F.col("_my") + sy / n + slope * (F.col(x) - F.col("_mx") - sx / n))
+    out = df.withColumn("yhat", yhat).drop("_mx", "_my", *[f"_{p}{k}" for k in sums for p in "cd"])
     return out.where("yhat is not null").withColumn("error2", (F.col(y) - F.col("yhat")) * (F.col(y) - F.col("yhat")))
 
 

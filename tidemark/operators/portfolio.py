@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.functions.mathx import z_value
 from tidemark.operators.aggregate import symmetric
 from tidemark.operators.regression import ols
+from tidemark.plans.session import materialized
 
 Z95 = z_value(0.05)
 
@@ -18,13 +19,12 @@ def normalize(pos: DataFrame, weight="weight", key="portfolio") -> DataFrame:
 
 
 def marginal(weights: DataFrame, cov: DataFrame) -> DataFrame:
-    """(Σw)_i and Σ_ii per (portfolio, symbol); `cov` holds pairs i<=j."""
+    """(Σw)_i and Σ_ii per (portfolio, symbol); `cov` holds pairs i<=j with their diagonal, and is read once."""
     full = symmetric(cov, "cov")
     w = weights.select("portfolio", F.col("symbol").alias("sym_j"), F.col("weight").alias("wj"))
     row = (w.join(full, "sym_j").groupBy("portfolio", F.col("sym_i").alias("symbol"))
-           .agg(F.sum(F.col("cov") * F.col("wj")).alias("sw"), F.max(F.when(F.col("sym_i") == F.col("sym_j"), F.col("cov"))).alias("_own")))
-    diag = cov.where("sym_i = sym_j").select(F.col("sym_i").alias("symbol"), F.col("cov").alias("var"))
-    return weights.join(row.drop("_own"), ["portfolio", "symbol"]).join(diag, "symbol")
+           .agg(F.sum(F.col("cov") * F.col("wj")).alias("sw"), F.max(F.when(F.col("sym_i") == F.col("sym_j"), F.col("cov"))).alias("var")))
+    return weights.join(row, ["portfolio", "symbol"])
 
 
 def portfolio_risk(weights: DataFrame, cov: DataFrame, bump: float = 0.01) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +34,7 @@ def portfolio_risk(weights: DataFrame, cov: DataFrame, bump: float = 0.01) -> tu
     Raising w_k by `bump` and renormalizing changes the variance to
     (w'Σw + 2 bump (Σw)_k + bump² Σ_kk) / (W + bump)², so no second quadratic form is needed.
     """
-    m = marginal(weights, cov)
+    m = materialized(marginal(weights, cov))  # read twice below; the covariance behind it is not
     top = m.groupBy("portfolio").agg(
         F.sum(F.col("weight") * F.col("sw")).alias("variance"), F.sum("weight").alias("_w"),
         F.sum(F.col("weight") * F.sqrt("var")).alias("_wv"), F.sum(F.col("weight") * F.col("weight")).alias("concentration"))

@@ -10,6 +10,7 @@ from tidemark.operators import aggregate as G
 from tidemark.operators.align import missing_day_gaps
 from tidemark.operators.bars import PRICES
 from tidemark.operators.indicators import simple_return
+from tidemark.plans.session import materialized
 
 # Accepted ranges per column.
 RANGES = {"open": (0.01, 1e6), "high": (0.01, 1e6), "low": (0.01, 1e6), "close": (0.01, 1e6), "volume": (0.0, 1e12)}
@@ -109,6 +110,7 @@ def outlier_rule(df: DataFrame, cols, method: str = "iqr", max_pct: float = 5.0,
 def quality_report(df: DataFrame, method: str = "iqr", split=False) -> DataFrame:
     """Per symbol: missing share, integrity counters, outliers, gaps, score, issues, warnings, advice."""
     keys = ["symbol"]
+    df = materialized(df)  # read by every counter below
     base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     miss = G.missing_report(df).select("symbol", F.col("any_pct").alias("missing_pct"))
     outl = {c: G.outliers(df, c, method, split=split).withColumnRenamed("n_outliers", f"{name}_outliers")
