@@ -199,6 +199,8 @@ def test_word_buckets_do_not_cross_rows():
     at = np.cumsum([0, *map(len, texts)])
     row, bucket = toxicity.word_buckets(np.frombuffer(b"".join(texts), np.uint8), at)
     assert row.tolist() == [0, 0, 1, 3, 4] and bucket[0] == bucket[3] == bucket[4] and len(set(bucket.tolist())) == 3
+    row, bucket = toxicity.word_buckets(np.frombuffer(b"stems stemmed", np.uint8), np.array([0, 13]))
+    assert len(row) == 2 + 2 + 1 + 1 and len(set(bucket.tolist())) == 5  # `stem` is shared
 
 
 def test_negative_risk_is_walked_back():

@@ -16,6 +16,7 @@ BITS = 20
 THRESHOLD = 0.3
 LEAST_Z = 5.0
 LEAST_SHARE = 0.02
+STEMS = (4, 5, 6, 8)
 #: A byte of a word: letters, digits and all of UTF-8's upper half; A-Z are lowered.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,7 +34,8 @@ class Classifier:
 
 
 def word_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word of a piece of rows; words never cross rows."""
+    """(row, bucket) of every word of a piece of rows and of its beginnings of `STEMS` bytes, which stand for inflected
+    forms; words never cross rows."""
     inside = _IN_WORD[data]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
@@ -41,8 +43,14 @@ def word_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start = np.sort(np.concatenate((np.flatnonzero(edge == 1), cuts)))
     stop = np.sort(np.concatenate((np.flatnonzero(edge == -1), cuts)))
     row = np.searchsorted(at, start, side="right") - 1
-    h = mixed(span_hash(prefix_hash(_LOWER[data]), start, stop))
-    return row, (h >> np.uint64(64 - BITS)).astype(np.int64)
+    prefix = prefix_hash(_LOWER[data])
+    rows, hashes = [row], [span_hash(prefix, start, stop)]
+    for n in STEMS:
+        long = stop - start > n
+        rows.append(row[long])
+        hashes.append(span_hash(prefix, start[long], start[long] + n) + np.uint64(n << 48))
+    h = mixed(np.concatenate(hashes))
+    return np.concatenate(rows), (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +115,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, keep: i
     return Classifier(buckets, w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 16000, prior: float | None = None,
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, prior: float | None = None,
           doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Classifier:
     """Fit on the rows outside the held-out fold: confirmed positives, and texts of any kind as the unlabelled.
 
@@ -127,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     unlabelled = ids.where(unit_hash(F.col("doc_id"), 11) < take_u).select(F.lit(False).alias("positive"), "text")
     sample = positives.union(unlabelled).mapInArrow(_features, "positive boolean, words array<int>").toArrow()
     distinct = sorted({(bool(y), np.asarray(x.values, np.int32).tobytes()) for y, x in zip(sample["positive"].to_pylist(), sample["words"])})  # copies once, and the same sums in every run
-    return fit_nnpu([np.frombuffer(x, np.int32).astype(np.int64) for _, x in distinct], np.array([y for y, _ in distinct], bool), share)
+    return fit_nnpu([np.frombuffer(x, np.int32) for _, x in distinct], np.array([y for y, _ in distinct], bool), share)
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", name: str = "score") -> DataFrame:
