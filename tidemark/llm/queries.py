@@ -29,13 +29,14 @@ def op3_token_rollups(spark: SparkSession, root: str) -> DataFrame:
     words = docs.select("doc_id", "source", "lang", F.lit("words-1").alias("version"), rollups.count_words().alias("tokens"))
     pieces = docs.select("doc_id", "source", "lang", F.lit("pieces-1").alias("version"), rollups.count_pieces().alias("tokens"))
     toxic = labels.where("toxic = 1").select("doc_id")
-    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     unique = F.size(F.array_distinct(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")))
+    counts = docs.select("doc_id", F.lit("words-1").alias("version"), unique.alias("tokens"))  # counted where they are read: texts stay put
+    poor = counts.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     books.insert("words", words)
     books.insert("pieces", pieces)
     books.insert("words", words)
     books.delete("toxic", toxic)
-    books.revise("poor", poor.select("doc_id", F.lit("words-1").alias("version"), unique.alias("tokens")))
+    books.revise("poor", poor)
     books.delete("toxic", toxic)
     return books.totals()
 
