@@ -304,8 +304,8 @@ def brute_cuts(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_suffix_cuts_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("limits", [(256, 65536), (2, 65536), (2, 3)])
+def test_suffix_cuts_equal_brute_force(spark, limits):
     rng = np.random.default_rng(4)
     base = "".join(rng.choice(list("abcdefgh é"), 2500))
     texts = []
@@ -316,7 +316,7 @@ def test_suffix_cuts_equal_brute_force(spark, hot):
         texts.append("".join(t))
     texts += [base[:700], base[100:499], base[100:500], "a" * 1000, "a" * 399, "ab" * 600, "x" + base[500:1500] + "y" + base[500:1500], None, "", "é" * 300, base[2000:] + base[:2000]]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.cut.n_bytes, r.cut.n_removed, r.cut.n_spans, r.cut.kept_sha256) for r in suffix.dedup(table, hot=hot).collect()}
+    got = {r.doc_id: (r.cut.n_bytes, r.cut.n_removed, r.cut.n_spans, r.cut.kept_sha256) for r in suffix.dedup(table, hot=limits[0], huge=limits[1]).collect()}
     assert [got[i] for i in range(len(texts))] == brute_cuts(texts)
 
 

@@ -15,9 +15,11 @@ from tidemark.llm.hashing import BASE, INVERSE, gram_hash, mixed, powers, prefix
 
 LENGTH = 400
 GRAM = 64
-#: An anchor with more different surroundings than this is dealt out window by window.
-HOT = 256
-_CHUNK = 400_000
+#: Anchors with more different regions than the first are split by the bytes that blocks of their windows share, and
+#: with more than the second by window.
+HOT, HUGE = 256, 65_536
+BLOCK = 64
+_CHUNK = 150_000
 _PIECE = 1_000_000
 
 
@@ -194,6 +196,15 @@ def _by_bytes(regions, group, before, count, wrong: set[int], length: int) -> np
     return np.array([x for v in seen.values() if len(v) > 1 for x in v], np.int64)
 
 
+def _blocks(raw: bytes, anchor: int, off: int, a0: int, a1: int) -> Iterator[tuple[int, int, int]]:
+    """A region's windows by blocks of distance from the anchor: (group, first and last distance). All windows of a
+    block hold the bytes between its outermost ones, so equal windows have equal groups."""
+    for b in range(a0 // BLOCK, a1 // BLOCK + 1):
+        core = raw[off - b * BLOCK:off - (b + 1) * BLOCK + 1 + LENGTH]
+        group = xxhash.xxh3_64_intdigest(core, (anchor + b) & 0xFFFFFFFFFFFFFFFF)
+        yield group - (1 << 64) if group >> 63 else group, max(a0, b * BLOCK), min(a1, (b + 1) * BLOCK - 1)
+
+
 def _regions(at_text: int, at_list: int):
     """Texts with the spans asked of them -> the regions of bytes that hold the spans' windows, once per text."""
     names = ["anchor", "f1", "key", "span", "region"]
@@ -210,11 +221,11 @@ def _regions(at_text: int, at_list: int):
                 last = k
                 raw = (batch.column(at_text)[i].as_py() or "").encode()
                 for x in batch.column(at_list)[i].as_py():
-                    span = x["span"]
-                    off, a0, a1 = span >> 20, span >> 10 & 1023, span & 1023
-                    for c, v in zip(out, (x["anchor"], x["f1"], k, span, raw[off - a1:off - a0 + LENGTH])):
-                        c.append(v)
-                if len(out[0]) >= 5000:
+                    off, a0, a1 = x["span"] >> 20, x["span"] >> 10 & 1023, x["span"] & 1023
+                    for group, lo, hi in _blocks(raw, x["anchor"], off, a0, a1) if x["split"] else [(x["anchor"], a0, a1)]:
+                        for c, v in zip(out, (group, x["f1"], k, off << 20 | lo << 10 | hi, raw[off - hi:off - lo + LENGTH])):
+                            c.append(v)
+                if len(out[0]) >= 2000:
                     yield _region_batch(out, names)
                     out = [[], [], [], [], []]
             if out[0]:
@@ -257,7 +268,7 @@ def _sort_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of hot anchors -> two hashes of each window, with its start in the text."""
+    """Regions of huge anchors -> two hashes of each window, with its start in the text."""
     rng = np.random.default_rng(17)
     table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
     for batch in batches:
@@ -271,13 +282,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array((span >> 20) - (span & 1023) + np.arange(n))], names=["w1", "w2", "key", "lo"])
 
 
-def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT) -> DataFrame:
+def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT, huge: int = HUGE) -> DataFrame:
     """(key, spans): for each text with one, the runs (lo, hi) of starts of windows that also start elsewhere.
 
     `key` is a column of `docs` made by `text_key`. Windows owned by one anchor form a region of under 737 bytes.
     Only anchors that stand twice go on; regions with the same anchor and bytes (two 64-bit hashes) repeat whole. Anchors with different
-    regions send one of each to one place, where their suffixes are sorted; anchors with more than `hot` of them (near
-    copies by the thousand) send their windows' 128-bit hashes instead, which are counted map-side.
+    regions send one of each to one place, where their suffixes are sorted. Anchors with more than `hot` of them (near
+    copies by the hundred) are split into groups of windows that share some 340 bytes, and sorted there; anchors with
+    more than `huge` send their windows' 128-bit hashes, which are counted map-side.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchor_rows, "anchor long, f1 long, key binary, span long")
     met = rows.groupBy("anchor").count().where("count > 1").select("anchor")
@@ -287,15 +299,15 @@ def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT) -> Da
     whole = rows.join(twice, ["anchor", "f1"], "left_semi").select("key", (F.shiftright("span", 20) - F.col("span").bitwiseAND(1023)).alias("lo"),
                                                                   (F.shiftright("span", 20) - F.shiftright("span", 10).bitwiseAND(1023)).alias("hi"))
     various = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    asked = kinds.join(various, "anchor").select("one.key", F.struct("anchor", "f1", "one.span").alias("ask"), (F.col("kinds") > hot).alias("hot"))
+    asked = kinds.join(various, "anchor").select("one.key", F.struct("anchor", "f1", "one.span", (F.col("kinds") > hot).alias("split")).alias("ask"), (F.col("kinds") > huge).alias("huge"))
 
     def regions(want: Column) -> DataFrame:
         lists = asked.where(want).groupBy("key").agg(F.collect_list("ask").alias("asks_")).withColumnRenamed("key", "text_key_")
         joined = docs.join(lists, docs[key] == F.col("text_key_"))
         return joined.mapInArrow(_regions(joined.columns.index(text), joined.columns.index("asks_")), "anchor long, f1 long, key binary, span long, region binary")
 
-    sorted_ = regions(~F.col("hot")).repartition("anchor").sortWithinPartitions("anchor", "f1").mapInArrow(_sort_regions, "key binary, lo long, hi long")
-    windows = regions(F.col("hot")).mapInArrow(_windows, "w1 long, w2 long, key binary, lo long")
+    sorted_ = regions(~F.col("huge")).repartition("anchor").sortWithinPartitions("anchor", "f1").mapInArrow(_sort_regions, "key binary, lo long, hi long")
+    windows = regions(F.col("huge")).mapInArrow(_windows, "w1 long, w2 long, key binary, lo long")
     again = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     single = windows.join(again, ["w1", "w2"], "left_semi").select("key", "lo", F.col("lo").alias("hi"))
     return whole.union(sorted_).union(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -312,7 +324,7 @@ def covered(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", hot: int = HOT, huge: int = HUGE) -> DataFrame:
     """All columns of `docs` and the struct `cut`: n_bytes, n_removed, n_spans, kept_sha256, kept (the text that is left).
 
     Texts are UTF-8 bytes (null: none). Each byte covered by a 400-byte string that starts anywhere else as well, in the
@@ -324,7 +336,7 @@ def dedup(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
     own = f"c{docs.columns.index(text)}"
     keyed = plain.withColumn(key, text_key(F.col(own))).where(F.col(key).isNotNull())  # never null; said here so that all joins below share one exchange of the texts
-    spans = repeated_windows(keyed, own, key, hot).withColumnRenamed("key", "span_key_")
+    spans = repeated_windows(keyed, own, key, hot, huge).withColumnRenamed("key", "span_key_")
     joined = keyed.join(spans, keyed[key] == F.col("span_key_"), "left")
     at_text, at_spans = joined.columns.index(own), joined.columns.index("spans")
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
