@@ -52,29 +52,33 @@ def sma(df, n: int, price: str = "close", **kw) -> DataFrame:
     return rolling(df, n, price, {"sma": F.avg(price)}, **kw)
 
 
-def ema(df: DataFrame, span: int, col: str = "close", out: str = "ema", keys=KEYS, split=False) -> DataFrame:
-    """Normalized exponential mean (first value = first input) without a sequential pass.
+def decayed_sum(df: DataFrame, q: float, value: Column, out: str, keys=KEYS, order: str = "ts", split=False) -> DataFrame:
+    """`out` = sum of q^(age in rows) * value over all rows so far, without a sequential pass; adds the row number `_rn`.
 
-    With q = 1 - alpha, rows are cut into blocks of m rows where q^m < 1e-17. Inside a block
-    the weighted sum is a running sum scaled by q^j; only the block just before can still
-    matter, because q^m is below double precision.
+    Rows are cut into blocks of m rows where q^m < 1e-17. Inside a block the weighted sum is a running sum scaled by
+    q^j; only the block just before can still matter, because q^m is below double precision. `value` may use `_rn`.
     """
-    q = 1 - 2 / (span + 1)
     m = max(math.ceil(math.log(1e-17) / math.log(q)), 2)
-    rows = row_index(df, keys, ["ts"], split=split)
+    rows = row_index(df, keys, [order], split=split)
     rows = rows.withColumn("_b", F.floor(F.col("_rn") / m)).withColumn("_j", (F.col("_rn") % m).cast("double"))
     w = Window.partitionBy(*keys, "_b").orderBy("_rn")
-    scaled = F.col(col) * F.pow(F.lit(q), -F.col("_j"))
+    scaled = value * F.pow(F.lit(q), -F.col("_j"))
     rows = rows.withColumn("_s", F.sum(scaled).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.pow(F.lit(q), F.lit(m - 1.0))
     if split is False:  # the block before, as a range frame: evaluated once a block, in the same shuffle
         near = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
-        rows = rows.withColumn("_prev", F.sum(scaled).over(near) * F.pow(F.lit(q), F.lit(m - 1.0)))
-    tail = None if split is False else (rows.groupBy(*keys, (F.col("_b") + 1).alias("_b"))
-            .agg((F.sum(scaled) * F.pow(F.lit(q), F.lit(m - 1.0))).alias("_prev")))
+        rows = rows.withColumn("_prev", F.sum(scaled).over(near) * last)
+    else:
+        rows = rows.join(rows.groupBy(*keys, (F.col("_b") + 1).alias("_b")).agg((F.sum(scaled) * last).alias("_prev")), [*keys, "_b"], "left")
     num = F.col("_s") * F.pow(F.lit(q), F.col("_j")) + F.coalesce("_prev", F.lit(0.0)) * F.pow(F.lit(q), F.col("_j") + 1)
-    den = (1 - F.pow(F.lit(q), F.col("_rn") + 1)) / (1 - q)
-    rows = rows if tail is None else rows.join(tail, [*keys, "_b"], "left")
-    return rows.withColumn(out, num / den).drop("_b", "_j", "_s", "_prev", "_rn")
+    return rows.withColumn(out, num).drop("_b", "_j", "_s", "_prev")
+
+
+def ema(df: DataFrame, span: int, col: str = "close", out: str = "ema", keys=KEYS, split=False) -> DataFrame:
+    """Normalized exponential mean (first value = first input)."""
+    q = 1 - 2 / (span + 1)
+    rows = decayed_sum(df, q, F.col(col), out, keys, split=split)
+    return rows.withColumn(out, F.col(out) * (1 - q) / (1 - F.pow(F.lit(q), F.col("_rn") + 1))).drop("_rn")
 
 
 def rsi(df: DataFrame, n: int = 14, price: str = "close", keys=KEYS, split=False) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.indicators import decayed_sum
 from tidemark.operators.regression import ols
-from tidemark.plans.ordered import over_rows, row_index, running, stepwise
+from tidemark.plans.ordered import over_rows, row_index, running
 
 def _err() -> Column:
     return F.col("y") - F.col("yhat")
@@ -43,20 +44,6 @@ def combine(pred: DataFrame, weights: DataFrame, keys=("symbol",)) -> DataFrame:
     return g.withColumn("between_std", F.sqrt(F.greatest(F.col("_q") - F.col("yhat") * F.col("yhat"), F.lit(0.0)))).drop("_q")
 
 
-class _Blend:
-    """Exponential update of a weight, starting at the first value."""
-
-    def __init__(self, rate):
-        self.rate = rate
-
-    def init(self):
-        return None
-
-    def advance(self, state, new):
-        w = new if state is None else (1 - self.rate) * state + self.rate * new
-        return w, (w,)
-
-
 def adaptive_weights(pred: DataFrame, batch: Column, window: int = 10, rate: float = 0.1, keys=("symbol",)) -> DataFrame:
     """Inverse mean error over the last `window` batches, normalized over models, then blended."""
     b = pred.groupBy(*keys, "model", batch.alias("batch")).agg(F.avg(_err() * _err()).alias("mse"))
@@ -64,8 +51,9 @@ def adaptive_weights(pred: DataFrame, batch: Column, window: int = 10, rate: flo
     b = b.withColumn("_i", 1 / (F.col("_a") + 1e-8))
     tot = b.groupBy(*keys, "batch").agg(F.sum("_i").alias("_t"))
     b = b.join(tot, [*keys, "batch"]).withColumn("new_weight", F.col("_i") / F.col("_t"))
-    rule = _Blend(rate)
-    return stepwise(b, [*keys, "model"], ["batch"], rule.init, rule.advance, ["new_weight"], [*keys, "model", "batch", "new_weight"], "weight double")
+    first = F.when(F.col("_rn") == 0, F.col("new_weight")).otherwise(rate * F.col("new_weight"))  # the blend starts at its first value
+    out = decayed_sum(b, 1 - rate, first, "weight", [*keys, "model"], "batch")
+    return out.select(*keys, "model", "batch", "new_weight", "weight")
 
 
 def time_folds(df: DataFrame, folds: int, keys=("symbol",), split=False) -> DataFrame:
