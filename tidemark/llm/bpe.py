@@ -15,8 +15,8 @@ from pyspark.sql.types import StructField, StructType
 #: Fixed value: the pattern by which byte-level BPE splits a text before any merge.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 30
-WORDS_KEPT = 200_000
-ARCS_KEPT = 300_000
+WORDS_KEPT = 150_000
+ARCS_KEPT = 200_000
 CHUNK_CHARS = 1 << 20
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.plans.session import materialized
 
 SPACE = r"[\x20\x09-\x0D]+"
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:

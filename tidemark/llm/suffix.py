@@ -20,7 +20,7 @@ GRAM = 64
 HOT, HUGE = 256, 65_536
 BLOCK = 64
 _CHUNK = 150_000
-_PIECE = 1_000_000
+_PIECE = 300_000
 
 
 def text_key(text: Column) -> Column:
