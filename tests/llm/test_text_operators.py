@@ -122,6 +122,35 @@ def test_multi_index_equals_brute_force(spark, part):
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("crowd", [0, 600])
+def test_sparse_links_near_the_threshold_are_all_found(spark, crowd):
+    """Far more vectors than are sampled, few of them linked; a crowd of close vectors says nothing about the others."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8000, 24))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for i in range(60):
+        side = rng.normal(size=24)
+        side -= side @ x[i] * x[i]
+        cos = rng.uniform(0.9501, 0.955)
+        x[4000 + i] = cos * x[i] + np.sqrt(1 - cos * cos) * side / np.sqrt(side @ side)
+    x[7000:7000 + crowd] = x[7000] + rng.normal(size=(crowd, 24)) * 1e-3
+    want = (x @ x.T / np.outer(*[np.sqrt((x * x).sum(axis=1))] * 2) >= 0.95).sum(axis=1) - 1
+    assert (want > 0).sum() >= 120
+    got = multiindex.near_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()
+    assert [r.n_links for r in sorted(got)] == want.tolist()
+
+
+def test_fitted_reach_needs_links_between_different_vectors(spark):
+    rng = np.random.default_rng(12)
+    lone = rng.normal(size=(3000, 24))
+    paired = np.repeat(rng.normal(size=(1500, 24)), 2, axis=0) + rng.normal(size=(3000, 24)) * 0.05
+    fitted = []
+    for x in (lone, paired):
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "cid long, embedding array<double>")
+        fitted.append(multiindex.fit(table, 3000, target=0.9).reach)
+    assert fitted[1] < 0.1 <= fitted[0] < 0.1001
+
+
 def test_multi_index_of_nothing(spark):
     table = spark.createDataFrame([(1, None), (None, [0.0])], "vec_id long, embedding array<float>")
     got = multiindex.near_vectors(table).collect()

@@ -18,6 +18,10 @@ SAMPLE_BYTES = 16 << 20
 QUERIES = 256
 STEPS = 256
 PART = 1024
+#: A reach below the sure bound is fitted only if so many of the sampled vectors have a link to another vector.
+LEAST_LINKED = 64
+#: Rows that a task sends on at once.
+SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -99,47 +103,50 @@ def valid(vector: Column) -> Column:
 
 
 def fit(classes: DataFrame, total: int, target: float = 1.0, cosine: float = COSINE) -> Index:
-    """Codebooks from about `SAMPLE` vectors, and the reach that finds the share `target` of a sample's true links.
-
-    `QUERIES` sampled vectors meet all vectors by brute force, in blocks. For each true link, the border bound at which
-    the traversal finds it is counted in steps; the reach is the step at which the target is met, one step further, and
-    never beyond the bound that is sure to find all (the squared chord of the threshold). Without links it is that.
+    """Codebooks from about `SAMPLE` vectors, and how far the traversal goes to find the share `target` of the links.
+
+    All links (target 1) need the bound that is sure to find them, the squared chord of the threshold; a sample cannot
+    vouch for that. Cells then hold about `PART` vectors, since most cells near the home cell are visited. For a smaller
+    target, `QUERIES` sampled vectors meet all others by brute force, in blocks. For each link between different
+    vectors, the border bound at which the traversal finds it is counted in steps; the reach is the step at which the
+    target is met, one step further, and never beyond the sure bound. It is the sure bound where fewer than
+    `LEAST_LINKED` of the sampled vectors have a link.
     """
-    sure = 2 - 2 * cosine
+    sure = 2 - 2 * cosine + 1e-9
     widest = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
     share = min(1.0, min(SAMPLE, SAMPLE_BYTES // (8 * widest)) / max(total, 1))
     sample = classes.where(unit_hash(F.col("cid"), 5) < share).select("cid", "embedding").toArrow().sort_by("cid")
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    k = int(min(256, max(4, 2 ** int(np.log2(max(total, 1) ** 0.5 / 4 + 1)))))
+    k = int(min(256, max(4, round((total / PART) ** 0.5) if target >= 1 else 2 ** int(np.log2(max(total, 1) ** 0.5 / 4 + 1)))))
     for batch in sample.combine_chunks().to_batches():
         for _, x, dim in _by_dim(batch, 1):
             if dim > 1 and len(x) >= k:
                 books[dim] = (_kmeans(x[:, :dim // 2], k), _kmeans(x[:, dim // 2:], k))
     index = Index(books, sure)
-    picked = classes.where(unit_hash(F.col("cid"), 9) < min(1.0, QUERIES / max(total, 1))).select("cid", "embedding").toArrow().sort_by("cid")
-    if not picked.num_rows:
+    if target >= 1:
         return index
-    asked = {dim: x for batch in picked.combine_chunks().to_batches() for _, x, dim in _by_dim(batch, 1)}
+    picked = classes.where(unit_hash(F.col("cid"), 9) < min(1.0, QUERIES / max(total, 1))).select("cid", "embedding").toArrow().sort_by("cid")
+    asked = {dim: (batch.column(0).to_numpy()[rows], x) for batch in picked.combine_chunks().to_batches() for rows, x, dim in _by_dim(batch, 1)}
 
     def found_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            steps = np.zeros(STEPS + 1, np.int64)
-            for _, x, dim in _by_dim(batch, 0):
+            cids = batch.column(0).to_numpy()
+            for rows, x, dim in _by_dim(batch, 1):
                 if dim in asked and dim in books:
-                    q = asked[dim]
+                    q_cid, q = asked[dim]
                     cell, one, two = _homes(index, x, dim)
                     q_cell, q_one, q_two = _homes(index, q, dim)
-                    i, j = np.nonzero(x @ q.T >= cosine)
+                    i, j = np.nonzero((x @ q.T >= cosine) & (cids[rows][:, None] != q_cid[None]))
                     width = two.shape[1]
                     ours = cell[i] < q_cell[j]  # the vector of the smaller cell visits
                     bound = np.where(ours, one[i, q_cell[j] // width] + two[i, q_cell[j] % width], q_one[j, cell[i] // width] + q_two[j, cell[i] % width])
-                    steps += np.bincount(np.minimum(STEPS, np.ceil(bound / sure * STEPS)).astype(int), minlength=STEPS + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(steps)], names=["step", "n"])
+                    step = np.minimum(STEPS, np.ceil(bound / sure * STEPS)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_cid[j]), pa.array(step)], names=["cid", "step"])
 
-    got = classes.select("embedding").mapInArrow(found_at, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
-    n = np.array([r["n"] for r in got])
-    if not n.sum():
+    got = classes.select("cid", "embedding").mapInArrow(found_at, "cid long, step long").groupBy("cid", "step").count().collect()
+    if len({r["cid"] for r in got}) < LEAST_LINKED:
         return index
+    n = np.bincount([r["step"] for r in got], weights=[r["count"] for r in got], minlength=STEPS + 1)
     need = int(np.searchsorted(np.cumsum(n), target * n.sum()))
     return Index(books, sure * min(STEPS, need + 1) / STEPS)
 
@@ -152,16 +159,28 @@ def _visits(index: Index):
             for rows, x, dim in _by_dim(batch, 2):
                 cell, one, two = _homes(index, x, dim)
                 width = two.shape[1]
-                row, to = list(range(len(rows))), [(dim << 20) + int(c) for c in cell]
-                guest = [0] * len(rows)
-                for r in range(len(rows)):
+                row, to, guest = [], [], []
+
+                def sent() -> pa.RecordBatch:
+                    picked = pa.array(rows[row])
+                    out = pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(guest, pa.int32()), *(batch.column(c).take(picked) for c in range(3))], names=names)
+                    for x in (row, to, guest):
+                        x.clear()
+                    return out
+
+                for r, home in enumerate(cell.tolist()):
+                    row.append(r)
+                    to.append((dim << 20) + home)
+                    guest.append(0)
                     for i, j, _ in multi_sequence(one[r], two[r], index.reach):
-                        if i * width + j > cell[r]:
+                        if i * width + j > home:
                             row.append(r)
                             to.append((dim << 20) + i * width + j)
                             guest.append(1)
-                picked = pa.array(rows[row])
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(guest, pa.int32()), *(batch.column(c).take(picked) for c in range(3))], names=names)
+                    if len(row) >= SENT:
+                        yield sent()
+                if row:
+                    yield sent()
 
     return run
 
@@ -175,16 +194,24 @@ def _meet(cosine: float):
         a, b = np.flatnonzero(side % 2 == 0), np.flatnonzero(side % 2 == 1)
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         near = []
+
+        def linked(rows: np.ndarray, cols: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            r, c = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+            return rows[r], cols[c], mask[np.ix_(r, c)]
+
         if len(a) > 1 and (side == 0).any():  # among themselves
             mask = x[a] @ x[a].T >= cosine
             np.fill_diagonal(mask, False)
-            links[a] += mask @ n[a]
-            near.append((a, a, mask))
+            rows, cols, mask = linked(a, a, mask)
+            links[rows] += mask @ n[cols]
+            near.append((rows, cols, mask))
         if len(a) and len(b):
             mask = x[a] @ x[b].T >= cosine
-            links[a] += mask @ n[b]
-            links[b] += mask.T @ n[a]
-            near.append((a, b, mask))
+            rows, cols, mask = linked(a, b, mask)
+            links[rows] += mask @ n[cols]
+            links[cols] += mask.T @ n[rows]
+            near.append((rows, cols, mask))
+        near = [x for x in near if x[2].size]
         while True:
             before = label.copy()
             for rows, cols, mask in near:
