@@ -306,6 +306,22 @@ def test_outliers_equal_brute_force(spark):
     assert all(got[i].kept == (i % 40 != 0) for i in range(400))
 
 
+def plain_text(rng, words):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(words))
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_a_third_of_one_extreme_template_is_rejected(spark, copies):
+    import random
+    rng = random.Random(9)
+    rows = [(i, plain_text(rng, int(np.exp(rng.gauss(5, 0.4))) + 20), "en", "s", 1) for i in range(200)]
+    template = plain_text(rng, 150).replace(" ", " ### ")
+    rows += [(1000 + i, template if copies else template + " " + plain_text(rng, rng.randint(1, 30)), "en", "s", 1) for i in range(100)]
+    rows.append((2000, plain_text(rng, 150).replace(" ", " ##### "), "en", "s", 1))
+    got = {r.doc_id: r.kept for r in outliers.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, kept in got.items() if kept] == [i for i in got if i < 1000]
+
+
 def test_small_groups_and_base_rule(odd, none):
     got = {r.doc_id: r for r in outliers.quality(odd).collect()}
     assert got[6].base_failed and not got[6].kept and got[2].base_failed and got[9].base_failed
