@@ -322,6 +322,15 @@ def test_a_third_of_one_extreme_template_is_rejected(spark, copies):
     assert [i for i, kept in got.items() if kept] == [i for i in got if i < 1000]
 
 
+def test_small_groups_are_judged_by_their_language_or_all_rows(spark):
+    import random
+    rng = random.Random(10)
+    rows = [(i, plain_text(rng, int(np.exp(rng.gauss(5, 0.4))) + 20), "de" if i < 5 else "en", f"s{i % 9}", 1) for i in range(200)]
+    rows += [(1000 + i, plain_text(rng, 150).replace(" ", " ### "), lang, f"s{i}", 1) for i, lang in enumerate(("en", "de", "fr"))]
+    got = {r.doc_id: r for r in outliers.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(r.distance is not None and r.kept == (i < 1000) for i, r in got.items())
+
+
 def test_small_groups_and_base_rule(odd, none):
     got = {r.doc_id: r for r in outliers.quality(odd).collect()}
     assert got[6].base_failed and not got[6].kept and got[2].base_failed and got[9].base_failed

@@ -22,6 +22,8 @@ CUTOFF = 30.8562
 #: so that their variance over the inner rows is zero.
 FLOOR = 625.0
 LEAST_ROWS = 50
+#: Stands for any language or source; names of groups are empty or begin with "=".
+POOLED = "*"
 
 
 def _words(text: Column) -> Column:
@@ -157,7 +159,7 @@ def _inner_sums(measured: DataFrame) -> DataFrame:
 
 
 def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """Per group (g1, g2): mean and factor of the minimum-covariance-determinant estimate of x0..x4.
+    """Per group (g1, g2) of rows counted by `w`: mean and factor of the minimum-covariance-determinant estimate of x0..x4.
 
     Three runs of concentration steps per group: over three quarters of the rows from medians and median deviations
     (run 0), and over half of them from there and from the directions' covariance (runs 1 and 2), of which the smaller
@@ -165,7 +167,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     steadier and stands unless one of its inner rows is an outlier by the other. Steps of run 0 go on until no group's
     inner rows change; in the others a step counts only if it lowers the determinant. Sums are whole numbers.
     """
-    rows = checkpointed(rows.groupBy("g1", "g2", *FEATURES).agg(F.count(F.lit(1)).alias("w")))
+    rows = checkpointed(rows.groupBy("g1", "g2", *FEATURES).agg(F.sum("w").alias("w")))
     medians = checkpointed(_medians(rows))
     second = _signs(rows, medians).select(*medians.columns)
     shape = medians.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).unionByName(second.withColumn("run", F.lit(2)))
@@ -201,15 +203,23 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     judged within their language and source (nulls are groups of their own) by the squared Mahalanobis distance from
     the group's minimum-covariance-determinant estimate, fitted on its rows that pass the base rule; rows beyond the
     0.99999 quantile of chi-square(5) go. Groups with fewer than `least_rows` such rows say nothing about their shape:
-    their rows stay, with a null distance. DataFrame functions only; repeated rows and null ids are rows like others.
+    they are judged by the estimate over all such rows of their language, or over all rows where the language has too
+    few. Only where even those are fewer do rows stay with a null distance. DataFrame functions only; repeated rows and null ids are rows like others.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")).alias("g1"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("g2"), F.col(text).alias("text"))
     stats = text_statistics(d).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     stats = checkpointed(stats.withColumns(features()))
-    passed = stats.where(~F.col("base_failed")).select("g1", "g2", *FEATURES)
-    large = passed.groupBy("g1", "g2").count().where(F.col("count") >= least_rows).select("g1", "g2")
-    shape = minimum_covariance(passed.join(large, ["g1", "g2"]))
-    d_shape = shape.select("g1", "g2", *[c for c in shape.columns if c[0] in "ml" and c[1:].isdigit()])
-    judged = _with_distance(stats, stats.select("g1", "g2").distinct().join(d_shape, ["g1", "g2"], "left"))
+    passed = stats.where(~F.col("base_failed")).groupBy("g1", "g2", *FEATURES).agg(F.count(F.lit(1)).alias("w"))
+    sizes = stats.groupBy("g1", "g2").agg(F.count_if(~F.col("base_failed")).alias("one"))
+    groups = sizes.withColumn("lang", F.sum("one").over(Window.partitionBy("g1"))).crossJoin(sizes.agg(F.sum("one").alias("every")))
+    one, lang, every = (F.coalesce(F.col(c) >= least_rows, F.lit(False)) for c in ("one", "lang", "every"))
+    level = F.when(one, 0).when(lang, 1).when(every, 2)
+    groups = checkpointed(groups.select("g1", "g2", F.when(level < 2, F.col("g1")).when(level == 2, F.lit(POOLED)).alias("e1"), F.when(level == 0, F.col("g2")).when(level > 0, F.lit(POOLED)).alias("e2")))
+    wanted = groups.select("e1", "e2").distinct()
+    pools = F.explode(F.array(*[F.struct(a.alias("e1"), b.alias("e2")) for a, b in ((F.col("g1"), F.col("g2")), (F.col("g1"), F.lit(POOLED)), (F.lit(POOLED), F.lit(POOLED)))]))
+    members = passed.withColumn("e", pools).select("e.e1", "e.e2", "w", *FEATURES).join(wanted, ["e1", "e2"])
+    shape = minimum_covariance(members.withColumnsRenamed({"e1": "g1", "e2": "g2"}))
+    d_shape = groups.join(shape.withColumnsRenamed({"g1": "e1", "g2": "e2"}), ["e1", "e2"], "left").drop("e1", "e2")
+    judged = _with_distance(stats, d_shape)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
