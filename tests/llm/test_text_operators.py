@@ -417,6 +417,15 @@ def test_page_structure():
     assert htmltext.page_lines("<div id='sidebar'><p>x</div><ul><li>1<li>2</ul><form>f</form>z") == [("1", False), ("2", False), ("z", False)]
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post comments-open'><p>a</p></article>", "<main class='has-sidebar'><p>a</p></main>", "<main class='sidebar'><p>a</p></main>", "<article id='search-results-article'><p>a</p></article>",
+    "<div class='layout-with-sidebar'><article><p>a</p></article></div>", "<div class='sidebar'><div>m</div><article><p>a</p></article></div>", "<article class='comments'><div class='article-header'><h1>a</h1></div></article>",
+    "<article title='the hidden truth'><p>a</p><p hidden>b</p><p data-x='1' hidden=''>c</p></article>", "<article><p>a</p><div class='comment-list'><article class='comment'>r</article></div></article>",
+    "<article><p>a</p></article><div id='comments'><article>r</article></div><div class='site-footer'>f</div>", "<article><p>a</p><div class='share social'>s</div><div class='cookie_banner'>c</div></article>"])
+def test_class_words_do_not_drop_the_article(page):
+    assert [line for line, sure in htmltext.page_lines(page) if sure] == ["a"]
+
+
 def test_longest_common_lines():
     rng = np.random.default_rng(8)
     for _ in range(200):
