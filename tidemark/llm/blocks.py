@@ -60,9 +60,11 @@ def one_each(table: pa.Table, by: list[str], dim: int) -> pa.Table:
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as float64 where all product sums stay below 2^53 (then exact, and fast), else as they are."""
-    if x.size and y.size and x.shape[-1] * float(np.abs(x).max()) * float(np.abs(y).max()) < 2.0 ** 53:
-        return x.astype(np.float64), y.astype(np.float64)
+    """Both as floats where all product sums stay whole in them (then exact, and fast), else as they are."""
+    most = x.shape[-1] * float(np.abs(x).max()) * float(np.abs(y).max()) if x.size and y.size else np.inf
+    for kind, whole in ((np.float32, 2.0 ** 24), (np.float64, 2.0 ** 53)):
+        if most < whole:
+            return x.astype(kind), y.astype(kind)
     return x, y
 
 

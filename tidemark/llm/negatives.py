@@ -62,79 +62,69 @@ def _angles(refs: dict[int, np.ndarray]):
 
 
 class Rows:
-    """Rows of a shard with what their stored angles say."""
+    """Rows of a shard by label, then id, with what their stored angles say."""
 
     def __init__(self, table: pa.Table, dim: int):
+        self.table = table = table.take(pa.array(np.lexsort((table["vec_id"].to_numpy(), table["label"].to_numpy()))))
         self.ids = table["vec_id"].to_numpy()
         self.label = table["label"].to_numpy()
         self.x = matrix(table["v"], dim)
         self.norm = table["norm"].to_numpy()
         angles = table["angles"].combine_chunks()
         angles = angles.flatten().to_numpy(zero_copy_only=False).reshape(len(angles), -1)
-        self.cos, self.sin = np.cos(angles).T.copy(), np.sin(angles).T.copy()
+        self.cos, self.sin = (np.ascontiguousarray(f(angles).T, np.float32) for f in (np.cos, np.sin))
 
-    def bounds(self, anchor: "Rows", a: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of_label(self, label: int) -> slice:
+        return slice(int(np.searchsorted(self.label, label)), int(np.searchsorted(self.label, label, side="right")))
+
+    def bounds(self, anchor: "Rows", a: int, at: slice) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest score that the rows `at` can have with anchor `a`.
 
         An angle is at least the difference and at most the sum of the angles to a reference direction; the narrowest
         interval of all directions counts. Its cosines, times both norms, are widened by more than the rounding of
-        stored angles can shift them.
+        angles and cosines can shift them.
         """
         size = anchor.norm[a] * self.norm[at]
-        low, high = np.full(len(at), -1.0), np.ones(len(at))
+        low, high = np.full(len(size), -1, np.float32), np.ones(len(size), np.float32)
         for r in range(len(self.cos)):
             c, s = anchor.cos[r, a] * self.cos[r, at], anchor.sin[r, a] * self.sin[r, at]
             np.maximum(low, c - s, out=low)
             np.minimum(high, c + s, out=high)
-        slack = 1e-7 * size + 1e-3
+        slack = 2e-6 * size + 1e-2
         return np.ceil(size * low - slack), np.floor(size * high + slack)
 
-    def top(self, v: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, least: float = -np.inf, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Places and exact scores of the k best rows of `at` with least <= score <= most.
 
-        Rows whose bounds miss the window are never scored. k rows that lie in it surely raise its lower end. The rest
-        is scored from the highest upper bound down until k scores lie above all further bounds.
-        """
-        near = (high >= least) & (low <= most)
-        at, low, high = at[near], low[near], high[near]
-        sure = low[(low >= least) & (high <= most)]
-        if len(sure) > k:
-            least = max(least, np.partition(sure, len(sure) - k)[len(sure) - k])
-            near = high >= least
-            at, high = at[near], high[near]
-        order = np.argsort(-high, kind="stable")
-        at, high = at[order], high[order]
-        places, scores, done, step = at[:0], np.zeros(0, np.int64), 0, STEP
-        while done < len(at):
-            part = at[done:done + step]
-            x, y = exact(self.x[part], v)
-            score = (x @ y).astype(np.int64)
-            ok = (score >= least) & (score <= most)
-            places, scores = np.append(places, part[ok]), np.append(scores, score[ok])
-            done, step = done + step, step * 2
-            if len(scores) >= k:
-                first = best(scores, self.ids[places], k)
-                places, scores = places[first], scores[first]
-                if done < len(at) and high[done] < scores[-1]:
-                    break
-        first = best(scores, self.ids[places], k)
-        return places[first], scores[first]
+def _reached(low: np.ndarray, k: int, least: float) -> float:
+    """A score that k rows surely reach, given their lower bounds, or `least`."""
+    return max(least, np.partition(low, len(low) - k)[len(low) - k]) if len(low) >= k else least
 
 
 def _positives(k: int):
     def solve(dim: int, anchors: pa.Table, rows: pa.Table) -> tuple:
-        """The k best rows of each anchor's label in this shard."""
+        """The k best rows of each anchor's label in this shard.
+
+        Rows whose upper bound stays below k lower bounds are never scored; the rows with the highest upper bounds come
+        first and raise the threshold for the rest.
+        """
         anchor, row = Rows(one_each(anchors, ["label"], dim), dim), Rows(one_each(rows, ["label"], dim), dim)
-        order = np.argsort(row.label, kind="stable")
-        sorted_ = row.label[order]
+        q, x = exact(anchor.x, row.x)
         of, found, scores = [], [], []
         for a, (i, label) in enumerate(zip(anchor.ids.tolist(), anchor.label.tolist())):
-            at = np.sort(order[np.searchsorted(sorted_, label):np.searchsorted(sorted_, label, side="right")])
-            at = at[row.ids[at] != i]
-            places, score = row.top(anchor.x[a], at, *row.bounds(anchor, a, at), k)
-            of.append(np.full(len(places), i))
-            found.append(row.ids[places])
-            scores.append(score)
+            alike = row.of_label(label)
+            low, high = row.bounds(anchor, a, alike)
+            own = row.ids[alike] == i
+            low[own] = high[own] = -np.inf
+            at = np.flatnonzero(high >= _reached(low, k, np.finfo(float).min))
+            if len(at) > STEP:
+                lead = np.argpartition(high[at], len(at) - STEP)[-STEP:]
+                reached = np.partition(x[alike.start + at[lead]] @ q[a], STEP - k)[STEP - k] if STEP >= k else -np.inf
+                at = at[high[at] >= reached]
+            at += alike.start
+            score = (x[at] @ q[a]).astype(np.int64)
+            first = best(score, row.ids[at], k)
+            of.append(np.full(len(first), i))
+            found.append(row.ids[at[first]])
+            scores.append(score[first])
         return tuple(map(np.concatenate, (of, found, scores)))
 
     return solve
@@ -142,20 +132,28 @@ def _positives(k: int):
 
 def _negatives(k: int, low: int, high: int):
     def solve(dim: int, anchors: pa.Table, rows: pa.Table) -> tuple:
-        """For each anchor and positive, the k best rows of other labels in the positive's window in this shard."""
-        anchors = one_each(anchors, ["label"], dim)
-        anchor, row = Rows(anchors, dim), Rows(one_each(rows, ["label"], dim), dim)
+        """For each anchor and positive, the k best rows of other labels in the positive's window in this shard.
+
+        k rows whose bounds lie inside a window raise its lower end. A row is scored if its bounds overlap a window of
+        the anchor, once for all of them.
+        """
+        anchor, row = Rows(one_each(anchors, ["label"], dim), dim), Rows(one_each(rows, ["label"], dim), dim)
+        q, x = exact(anchor.x, row.x)
         out: list[list] = [[], [], [], [], []]
-        for a, (i, label, positives) in enumerate(zip(anchor.ids.tolist(), anchor.label.tolist(), anchors["positives"].to_pylist())):
-            at = np.flatnonzero((row.label != label) & (row.ids != i))
-            floor, ceil = row.bounds(anchor, a, at)
-            windows = {}
+        for a, (i, label, positives) in enumerate(zip(anchor.ids.tolist(), anchor.label.tolist(), anchor.table["positives"].to_pylist())):
+            floor, ceil = row.bounds(anchor, a, slice(None))
+            floor[row.of_label(label)] = ceil[row.of_label(label)] = -np.inf  # inside no window
+            windows = {p["score"]: (-(-low * p["score"] // 100), high * p["score"] // 100) for p in positives}  # -(-a // b) rounds up
+            asked = np.zeros(len(floor), bool)
+            for least, most in windows.values():
+                asked |= (floor <= most) & (ceil >= _reached(floor[(floor >= least) & (ceil <= most)], k, least))
+            at = np.flatnonzero(asked)
+            score = (x[at] @ q[a]).astype(np.int64)
             for p in positives:
-                score = p["score"]
-                if score not in windows:  # -(-a // b) rounds up
-                    windows[score] = row.top(anchor.x[a], at, floor, ceil, k, -(-low * score // 100), high * score // 100)
-                places, scores = windows[score]
-                for column, values in zip(out, (np.full(len(places), i), np.full(len(places), p["id"]), row.ids[places], np.full(len(places), score), scores)):
+                least, most = windows[p["score"]]
+                inside = np.flatnonzero((score >= least) & (score <= most))
+                first = inside[best(score[inside], row.ids[at[inside]], k)]
+                for column, values in zip(out, (np.full(len(first), i), np.full(len(first), p["id"]), row.ids[at[first]], np.full(len(first), p["score"]), score[first])):
                     column.append(values)
         return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
 
