@@ -105,80 +105,83 @@ def siblings(tree: bytes, height: int, n: int) -> tuple[list[str], list[str], np
     return before, after, path
 
 
+def _height(levels: int, block: int, nodes: int) -> int:
+    """Only the first block of a group can be lower than the others: if it is the only one and not full."""
+    return levels if block else min(levels, height_of(nodes))
+
+
 def _plant(levels: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """The nodes of one block -> its tree."""
-        table = table.sort_by("pos")
-        height = min(levels, height_of(table["n"][0].as_py()))
-        tree = build(table["node"].to_pylist(), height)
-        return pa.table({"g": [key[0].as_py()], "block": [key[1].as_py()], "n": [table["n"][0].as_py()], "tree": [tree], "root": [tree[:32].hex()]},
-                        schema=pa.schema([("g", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("tree", pa.binary()), ("root", pa.string())]))
+        nodes, block = table.sort_by("pos")["node"].to_pylist(), key[1].as_py()
+        tree = build(nodes, _height(levels, block, len(nodes)))
+        return pa.table({"g": [key[0].as_py()], "block": [block], "tree": [tree], "root": [tree[:32].hex()]}, schema=pa.schema([("g", pa.string()), ("block", pa.int64()), ("tree", pa.binary()), ("root", pa.string())]))
 
     return run
 
 
-def _read(levels: int, names: Sequence[str]):
+def _read(levels: int, names: Sequence[str], more: Sequence[str]):
     def run(key: tuple, nodes: pa.Table, block: pa.Table) -> pa.Table:
         """The nodes of one block, each with its siblings in the block and those of the block's root above it."""
         nodes = nodes.sort_by("pos")
-        height = min(levels, height_of(block["n"][0].as_py()))
-        before, after, path = siblings(block["tree"][0].as_py(), height, nodes.num_rows)
+        n = nodes.num_rows
+        before, after, path = siblings(block["tree"][0].as_py(), _height(levels, key[1].as_py(), n), n)
         upper = block["proof"][0].as_py()
-        path = np.hstack((path, np.broadcast_to(len(before) + np.arange(len(upper)), (nodes.num_rows, len(upper)))))
+        path = np.hstack((path, np.broadcast_to(len(before) + np.arange(len(upper)), (n, len(upper)))))
         before += [s["before"] for s in upper]
         after += [s["after"] for s in upper]
         steps = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(after, pa.string())], names=["before", "after"]).take(pa.array(path.ravel()))
-        proof = pa.ListArray.from_arrays(pa.array(np.arange(nodes.num_rows + 1, dtype=np.int32) * path.shape[1]), steps)
-        return nodes.select(names).append_column("proof", proof)
+        out = nodes.select(names).append_column("proof", pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * path.shape[1]), steps))
+        for name in more:
+            out = out.append_column(name, pa.array([block[name][0].as_py()] * n, pa.string()))
+        return out
 
     return run
 
 
 class Forest:
-    """Trees of all groups of `nodes` (g, pos from 0, n nodes of the group, node), in tiers of blocks.
+    """Trees of all groups of `nodes` (g, pos from 0 on, node), in tiers of blocks.
 
     A tier cuts the nodes of each group into aligned blocks of 3^levels; the roots of its blocks are the nodes of the
-    next tier, until each group has one root. `nodes` is read once here and once by `proofs`.
+    next tier, until each group has one root. `nodes` is read once here and once by `proofs`. Rows are always dealt
+    by group and block, so a hot group is spread over all tasks.
     """
 
     def __init__(self, nodes: DataFrame, levels: int = LEVELS):
-        self.levels, self.tiers, self.size = levels, [], ARITY ** levels
-        tier, most = nodes, None
+        self.levels, self.tiers = levels, []
         while True:
-            blocks = checkpointed(self._blocks(tier).select("g", "block", "pos", "n", "node").groupBy("g", "block")
-                                  .applyInArrow(_plant(levels), "g string, block long, n long, tree binary, root string"))
-            self.tiers.append(blocks)
-            most = blocks.agg(F.max("n")).first()[0] if most is None else -(-most // self.size)
-            if not most or most <= self.size:
+            blocks = checkpointed(self._dealt(nodes).select("g", "block", "pos", "node").groupBy("g", "block").applyInArrow(_plant(levels), "g string, block long, tree binary, root string"))
+            slim = blocks.select("g", "block", "root").join(blocks.groupBy("g").agg(F.max("block").alias("last")), "g")  # trees stay where they are
+            self.tiers.append((blocks.select("g", "block", "tree"), slim))
+            if not blocks.agg(F.max("block")).first()[0]:
                 break
-            tier = (blocks.where(F.col("n") > self.size)  # a group of one block has its root
-                    .select("g", F.col("block").alias("pos"), F.ceil(F.col("n") / self.size).cast("long").alias("n"), F.col("root").alias("node")))
+            nodes = slim.where("last > 0").select("g", F.col("block").alias("pos"), F.col("root").alias("node"))  # a group of one block has its root
 
-    def _blocks(self, nodes: DataFrame) -> DataFrame:
-        return nodes.withColumn("block", F.floor(F.col("pos") / self.size).cast("long"))
+    def _dealt(self, nodes: DataFrame) -> DataFrame:
+        return nodes.withColumn("block", F.floor(F.col("pos") / ARITY ** self.levels).cast("long")).repartition("g", "block")
 
     def roots(self) -> DataFrame:
         """(g, root) of all groups."""
-        return functools.reduce(DataFrame.unionByName, [t.where(F.col("n") <= self.size).select("g", "root") for t in self.tiers])
+        return functools.reduce(DataFrame.unionByName, [slim.where("last = 0").select("g", "root") for _, slim in self.tiers])
 
     def proofs(self, nodes: DataFrame, above: DataFrame) -> DataFrame:
-        """`nodes` with `proof`: its siblings up to the group's root, then `above` (g, proof) from there on."""
+        """`nodes` with `proof`, its siblings up to the group's root and from there on those of `above` (g, proof), and
+        with the further text columns of `above`."""
+        more = [c for c in above.columns if c not in ("g", "proof")]
         upper = None
         for k in range(len(self.tiers) - 1, -1, -1):
-            tops = self.tiers[k].where(F.col("n") <= self.size).join(above, "g").select("g", "block", "n", "tree", "proof")
-            if upper is not None:
-                tops = tops.unionByName(self.tiers[k].join(upper, ["g", "block"]).select("g", "block", "n", "tree", "proof"))
-            if k:
-                own = self.tiers[k - 1].where(F.col("n") > self.size).select("g", F.col("block").alias("pos"))  # the nodes of a tier are the blocks below it
-                upper = checkpointed(self._join(own, tops).select("g", F.col("pos").alias("block"), "proof"))
-            else:
-                return self._join(nodes, tops)
-
-    def _join(self, nodes: DataFrame, tops: DataFrame) -> DataFrame:
-        nodes = self._blocks(nodes)
-        names = [c for c in nodes.columns if c != "block"]
-        schema = StructType([*[nodes.schema[c] for c in names], StructField("proof", PROOF)])
-        return nodes.groupBy("g", "block").cogroup(tops.groupBy("g", "block")).applyInArrow(_read(self.levels, names), schema)
+            trees, slim = self.tiers[k]
+            tops = slim.where("last = 0").select("g", "block").join(above, "g").select("g", "block", "proof", *more)
+            tops = trees.join(tops if upper is None else tops.unionByName(upper), ["g", "block"])
+            if k:  # the nodes of a tier are the blocks of the one below
+                own = self.tiers[k - 1][1].where("last > 0").select("g", F.col("block").alias("pos"))
+                upper = checkpointed(self._joined(own, tops, more).select("g", F.col("pos").alias("block"), "proof", *more))
+        return self._joined(nodes, tops, more)
+
+    def _joined(self, nodes: DataFrame, tops: DataFrame, more: Sequence[str]) -> DataFrame:
+        schema = StructType([*nodes.schema.fields, StructField("proof", PROOF), *[StructField(c, StringType()) for c in more]])
+        left = self._dealt(nodes).groupBy("g", "block")
+        return left.cogroup(tops.repartition("g", "block").groupBy("g", "block")).applyInArrow(_read(self.levels, nodes.columns, more), schema)
 
 
 def manifest(leaves: DataFrame, leaf: str = "leaf", group: str = "source", order: str = "doc_id", levels: int = LEVELS) -> DataFrame:
@@ -198,19 +201,11 @@ def manifest(leaves: DataFrame, leaf: str = "leaf", group: str = "source", order
     plain = leaves.toDF(*own)
     of = dict(zip(leaves.columns, own))
     g = F.coalesce(F.concat(F.lit("1"), F.col(of[group]).cast("string")), F.lit("0"))
-    placed = row_index(plain.withColumn("g", g), ["g"], [of[order], of[leaf]], "pos", split=True)
-    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    nodes = placed.join(sizes, "g").withColumn("node", F.col(of[leaf]))
+    nodes = row_index(plain.withColumn("g", g), ["g"], [of[order], of[leaf]], "pos", split=True).withColumn("node", F.col(of[leaf]))
     forest = Forest(nodes, levels)
     subroots = checkpointed(forest.roots())
-    top = row_index(subroots.withColumn("all", F.lit("0")), ["all"], ["g"], "pos", split=True).select("g", "pos", F.col("root").alias("node"))
-    count = top.agg(F.count(F.lit(1)).alias("n"))
-    top = top.join(F.broadcast(count)).select(F.lit("0").alias("g"), "pos", "n", "node", F.col("g").alias("name"))
+    top = row_index(subroots.withColumn("all", F.lit("0")), ["all"], ["g"], "pos", split=True).select(F.lit("0").alias("g"), "pos", F.col("root").alias("node"), F.col("g").alias("name"))
     crown = Forest(top, levels)
-    root = crown.roots().withColumnRenamed("g", "all_")
-    start = F.broadcast(root.select(F.col("all_").alias("g"), F.from_json(F.lit("[]"), PROOF).alias("proof")))  # one row
-    ends = crown.proofs(top, start).select(F.col("name").alias("g"), F.col("node").alias("subroot"), "proof")
-    ends = checkpointed(ends.join(F.broadcast(root.select("root"))))
-    proven = forest.proofs(nodes.select("g", "pos", *own), ends.select("g", "proof"))
-    out = proven.join(ends.select("g", "subroot", "root"), "g")
-    return out.select(*own, "subroot", "root", "proof").toDF(*leaves.columns, *names)
+    root = crown.roots().select("g", F.from_json(F.lit("[]"), PROOF).alias("proof"), "root")  # one row
+    ends = checkpointed(crown.proofs(top, root).select(F.col("name").alias("g"), "proof", F.col("node").alias("subroot"), "root"))
+    return forest.proofs(nodes.select("g", "pos", *own), ends).select(*own, "subroot", "root", "proof").toDF(*leaves.columns, *names)
