@@ -72,7 +72,9 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, keep: i
     Risk: prior * L+(P) + max(0, L-(U) - prior * L-(P)), where P are the positives and U the unlabelled rows. When the
     second part falls below zero, its gradient is walked backwards, as the estimator asks. Features are the buckets in
     three positives and 2 % of them, or more, whose presence differs by `LEAST_Z` standard errors between P and U, the
-    `keep` best: words of one group of near copies are no evidence.
+    `keep` best: words of one group of near copies are no evidence. The weights of the step with the least risk count,
+    and the bias is then set so that the unlabelled rows score the prior on average (as they do at the minimum of the
+    plain PU risk): with few positives, texts without evidence score below the prior, whatever the walk has done.
     """
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
     if not len(p) or not len(u):
@@ -96,11 +98,15 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, keep: i
     which, cols = which[cols >= 0], cols[cols >= 0]
     w, m, v = (np.zeros(len(buckets) + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
+    least, chosen = np.inf, w
     for step in range(1, steps + 1):
         f = np.bincount(which, w[cols], minlength=len(rows)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
         loss_neg = np.logaddexp(0, f)
         rest = loss_neg[u].mean() - prior * loss_neg[p].mean()
+        risk = prior * np.logaddexp(0, -f[p]).mean() + max(0.0, rest) + shrink * prior / 2 * (w[:-1] @ w[:-1])
+        if risk < least:
+            least, chosen = risk, w
         pull = np.zeros(len(rows))
         if rest >= 0:
             pull[p] = prior * (s[p] - 1) / len(p) - prior * s[p] / len(p)
@@ -112,7 +118,12 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, keep: i
         g[:-1] += shrink * prior * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Classifier(buckets, w[:-1], float(w[-1]))
+    f = np.bincount(which, chosen[cols], minlength=len(rows))[u]
+    lo, hi = -60.0 - np.abs(f).max(), 60.0 + np.abs(f).max()
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (1 / (1 + np.exp(-np.clip(f + mid, -50, 50)))).mean() < prior else (lo, mid)
+    return Classifier(buckets, chosen[:-1], float(lo))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, prior: float | None = None,
