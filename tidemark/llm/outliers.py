@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import SPACE, checkpointed
+from tidemark.llm.common import SPACE, checkpointed, partitions
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -167,8 +167,10 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     steadier and stands unless one of its inner rows is an outlier by the other. Steps of run 0 go on until no group's
     inner rows change; in the others a step counts only if it lowers the determinant. Sums are whole numbers.
     """
-    rows = checkpointed(rows.groupBy("g1", "g2", *FEATURES).agg(F.sum("w").alias("w")))
-    medians = checkpointed(_medians(rows))
+    spread = partitions(rows.sparkSession)
+    some, few = max(8, spread // 4), max(8, spread // 16)  # counted vectors are narrow, shapes are one row a group and run: each step leaves a file per partition and exchange
+    rows = checkpointed(rows.groupBy("g1", "g2", *FEATURES).agg(F.sum("w").alias("w")).coalesce(some))
+    medians = checkpointed(_medians(rows).coalesce(few))
     second = _signs(rows, medians).select(*medians.columns)
     shape = medians.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).unionByName(second.withColumn("run", F.lit(2)))
     best, seen = None, set()
@@ -183,7 +185,7 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
         if best is not None:
             both = ranked(best, columns, False).union(ranked(new, columns, True))
             new = both.groupBy("g1", "g2", "run").agg(F.min("x").alias("x")).select("g1", "g2", "run", *[F.col(f"x.{c}").alias(c) for c in columns])
-        best = shape = checkpointed(new)
+        best = shape = checkpointed(new.coalesce(few))
         sums = ["g1", "g2", "run", "n", *[c for c in columns if c[0] in "sq" and c[1:].isdigit()]]
         mark = tuple(best.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sums).cast("decimal(38,0)"))).first())
         if mark in seen:  # the same sums in every group as after an earlier step
