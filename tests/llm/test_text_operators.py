@@ -240,6 +240,23 @@ def test_negative_risk_is_walked_back():
     assert weight[1] > 0 and np.isfinite(model.weights).all()
 
 
+@pytest.mark.parametrize("positives", [0, 5, 11, 50])
+def test_few_positives_accuse_few(positives):
+    """Clean texts stay below the threshold however few toxic ones are known; with 50, most toxic ones are found."""
+    rng = np.random.default_rng(positives)
+    clean = lambda: np.unique(rng.integers(0, 3000, 60))
+    toxic = lambda: np.unique(np.concatenate((rng.integers(0, 3000, 50), rng.choice(np.arange(5000, 5030), 6))))
+    known = [toxic() for _ in range(positives)]
+    unlabelled = [toxic() if i % 10 == 0 else clean() for i in range(400)]
+    model = toxicity.fit_nnpu(known + unlabelled, np.arange(positives + 400) < positives, 0.1)
+    table = np.zeros(1 << toxicity.BITS)
+    table[model.buckets] = model.weights
+    score = lambda rows: np.array([1 / (1 + np.exp(-table[r].sum() - model.bias)) for r in rows])
+    assert (score([clean() for _ in range(300)]) >= toxicity.THRESHOLD).mean() < 0.1
+    assert positives < 50 or (score([toxic() for _ in range(300)]) >= toxicity.THRESHOLD).mean() > 0.8
+    assert model.bias < np.log(0.3 / 0.7)
+
+
 # outliers ------------------------------------------------------------------
 
 def brute_statistics(text):
@@ -544,12 +561,21 @@ def test_fingerprints_and_groups(odd, none):
     assert got == sorted((i or 0, f"{brute_print(t):016x}") for i, t, *_ in EDGE)
     kept = simhash.simhash_dedup(odd)
     assert kept.columns == odd.columns
-    ids = sorted(r.doc_id or 0 for r in kept.collect())
-    groups = {r.component_id for r in simhash.simhash_groups(odd).collect() if r.doc_id is not None}
-    assert ids == sorted([0, *(g for g in groups if g is not None)])
+    rows = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_groups(odd).collect()]
+    lone = {f for _, f, c in rows if c is None}  # groups of null ids only
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([*{c for _, _, c in rows if c is not None}, *(0 for _ in lone)])
     assert simhash.simhash_groups(none).count() == 0 and simhash.simhash_dedup(none).count() == 0
 
 
+def test_one_row_stays_of_each_group(spark):
+    """One id on two texts of different groups, copies under null ids, and rows that only differ in another column."""
+    rows = [(1, BASE, "en", "a", 1), (1, "other words of another kind altogether in this one", "en", "a", 1), (None, BASE, "en", "a", 1), (1, BASE, "en", "b", 2), (2, BASE, "en", "a", 1),
+            (None, "nobody has this text but two rows without an id", "en", "a", 1), (None, "nobody has this text but two rows without an id", "en", "z", 1), (3, "other words of another kind altogether in this one", "en", "a", 1)]
+    kept = [simhash.simhash_dedup(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect() for n in (1, 5)]
+    assert sorted(kept[0], key=str) == sorted(kept[1], key=str)
+    assert sorted((r.doc_id or 0, r.text) for r in kept[0]) == sorted([(1, BASE), (1, rows[1][1]), (0, rows[5][1])])
+
+
 @pytest.mark.parametrize("hot", [2000, 5])
 def test_trie_join_links_as_brute_force(spark, hot):
     rng = np.random.default_rng(9)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import buffers, checkpointed
+from tidemark.llm.common import buffers, checkpointed, fresh
 from tidemark.llm.components import components
 
 BUDGET = 4
@@ -225,11 +225,19 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` with the smallest id of their group: one row a group, and one row an id.
+def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
+    """One row of each group of near-equal fingerprints, with all its columns.
 
-    Rows with a null id have no name to be chosen by and stay. All columns are kept as they are.
+    The row with the smallest id stays (null ids come last); of rows that share it, texts equal or not, the one with the
+    least hash of all columns, so that reruns agree. An empty table stays empty.
     """
-    chosen = simhash_groups(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(chosen, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.union(docs.where(F.col(doc_id).isNull()))
+    one, two = fresh(docs, "one"), fresh(docs, "two")
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [*cells, *[c.isNull() for c in cells]]
+    named = docs.withColumns({one: F.xxhash64(F.lit(1), *parts), two: F.xxhash64(F.lit(2), *parts)})
+    rows = named.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(one).alias("one"), F.col(two).alias("two"))
+    prints = checkpointed(with_fingerprints(rows, "text", "fp", width).select("doc_id", "one", "two", "fp"))
+    roots = components(links(prints.select("fp").distinct(), budget))
+    chosen = prints.join(roots, prints.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "one", "two")).alias("least"))
+    chosen = chosen.select(F.col("least.one").alias(one), F.col("least.two").alias(two))
+    return named.join(chosen, [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)

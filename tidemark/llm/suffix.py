@@ -61,19 +61,23 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     return long[which], cut, end - 1, place, h[place]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(length: int):
     names = ["anchor", "f1", "key", "span"]
-    for batch in batches:
-        data, at = buffers(batch.column(1))
-        for lo, hi in pieces(at, _PIECE):
-            part, sub = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
-            text, first, last, place, h = anchors(part, sub)
-            if not len(text):
-                continue
-            raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
-            same = np.fromiter((digest(raw[a:b], s) for a, b, s in zip(first.tolist(), (last + LENGTH).tolist(), (place - first).tolist())), np.uint64, len(first))
-            span = (place - sub[text]) << 20 | (place - last) << 10 | (place - first)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same.view(np.int64)), batch.column(0).take(pa.array(text + lo)), pa.array(span)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = buffers(batch.column(1))
+            for lo, hi in pieces(at, _PIECE):
+                part, sub = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+                text, first, last, place, h = anchors(part, sub, length)
+                if not len(text):
+                    continue
+                raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
+                same = np.fromiter((digest(raw[a:b], s) for a, b, s in zip(first.tolist(), (last + length).tolist(), (place - first).tolist())), np.uint64, len(first))
+                span = (place - sub[text]) << 20 | (place - last) << 10 | (place - first)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(same.view(np.int64)), batch.column(0).take(pa.array(text + lo)), pa.array(span)], names=names)
+
+    return run
 
 
 class Suffixes:
@@ -196,16 +200,16 @@ def _by_bytes(regions, group, before, count, wrong: set[int], length: int) -> np
     return np.array([x for v in seen.values() if len(v) > 1 for x in v], np.int64)
 
 
-def _blocks(raw: bytes, anchor: int, off: int, a0: int, a1: int) -> Iterator[tuple[int, int, int]]:
+def _blocks(raw: bytes, anchor: int, off: int, a0: int, a1: int, length: int) -> Iterator[tuple[int, int, int]]:
     """A region's windows by blocks of distance from the anchor: (group, first and last distance). All windows of a
     block hold the bytes between its outermost ones, so equal windows have equal groups."""
     for b in range(a0 // BLOCK, a1 // BLOCK + 1):
-        core = raw[off - b * BLOCK:off - (b + 1) * BLOCK + 1 + LENGTH]
+        core = raw[off - b * BLOCK:off - (b + 1) * BLOCK + 1 + length]
         group = xxhash.xxh3_64_intdigest(core, (anchor + b) & 0xFFFFFFFFFFFFFFFF)
         yield group - (1 << 64) if group >> 63 else group, max(a0, b * BLOCK), min(a1, (b + 1) * BLOCK - 1)
 
 
-def _regions(at_text: int, at_list: int):
+def _regions(at_text: int, at_list: int, length: int):
     """Texts with the spans asked of them -> the regions of bytes that hold the spans' windows, once per text."""
     names = ["anchor", "f1", "key", "span", "region"]
 
@@ -222,8 +226,8 @@ def _regions(at_text: int, at_list: int):
                 raw = (batch.column(at_text)[i].as_py() or "").encode()
                 for x in batch.column(at_list)[i].as_py():
                     off, a0, a1 = x["span"] >> 20, x["span"] >> 10 & 1023, x["span"] & 1023
-                    for group, lo, hi in _blocks(raw, x["anchor"], off, a0, a1) if x["split"] else [(x["anchor"], a0, a1)]:
-                        for c, v in zip(out, (group, x["f1"], k, off << 20 | lo << 10 | hi, raw[off - hi:off - lo + LENGTH])):
+                    for group, lo, hi in _blocks(raw, x["anchor"], off, a0, a1, length) if x["split"] else [(x["anchor"], a0, a1)]:
+                        for c, v in zip(out, (group, x["f1"], k, off << 20 | lo << 10 | hi, raw[off - hi:off - lo + length])):
                             c.append(v)
                 if len(out[0]) >= 2000:
                     yield _region_batch(out, names)
@@ -239,59 +243,65 @@ def _region_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
 
-def _sort_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor -> repeated starts; whole anchors are gathered until there is work for a round."""
-    held: list[tuple] = []
-    starts, seen = 0, None
-
-    def solve() -> pa.RecordBatch:
-        group = np.cumsum([0] + [int(x[0] != y[0]) for x, y in zip(held[1:], held)]).astype(np.int64)
-        span = np.array([x[3] for x in held], np.int64)
-        before = span & 1023
-        found = repeated_starts([x[4] for x in held], group, before, before - (span >> 10 & 1023) + 1)
-        zero = (span >> 20) - before
-        return pa.RecordBatch.from_arrays([pa.array([held[r][2] for r, _, _ in found], pa.binary()), pa.array([int(zero[r]) + a for r, a, _ in found], pa.int64()),
-                                           pa.array([int(zero[r]) + b for r, _, b in found], pa.int64())], names=["key", "lo", "hi"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[0] != held[-1][0] and starts >= _CHUNK:
-                yield solve()
-                held, starts = [], 0
-            if (row[0], row[1]) == seen:  # a region sent twice
-                continue
-            seen = (row[0], row[1])
-            held.append(row)
-            starts += (row[3] & 1023) - (row[3] >> 10 & 1023) + 1
-    if held:
-        yield solve()
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of huge anchors -> two hashes of each window, with its start in the text."""
-    rng = np.random.default_rng(17)
-    table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            raw = np.frombuffer(batch.column(4)[i].as_py(), np.uint8)
-            span = batch.column(3)[i].as_py()
-            n = len(raw) - LENGTH + 1
-            second = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * powers(BASE, len(raw)))))
-            one, two = (gram_hash(s, LENGTH)[:n] if n <= len(s) - LENGTH - 1 else span_hash(s, np.arange(n), np.arange(n) + LENGTH) for s in (prefix_hash(raw), second))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(one).view(np.int64)), pa.array(mixed(two).view(np.int64)), pa.array([batch.column(2)[i].as_py()] * n, pa.binary()),
-                                              pa.array((span >> 20) - (span & 1023) + np.arange(n))], names=["w1", "w2", "key", "lo"])
-
-
-def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT, huge: int = HUGE) -> DataFrame:
+def _sort_regions(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by anchor -> repeated starts; whole anchors are gathered until there is work for a round."""
+        held: list[tuple] = []
+        starts, seen = 0, None
+
+        def solve() -> pa.RecordBatch:
+            group = np.cumsum([0] + [int(x[0] != y[0]) for x, y in zip(held[1:], held)]).astype(np.int64)
+            span = np.array([x[3] for x in held], np.int64)
+            before = span & 1023
+            found = repeated_starts([x[4] for x in held], group, before, before - (span >> 10 & 1023) + 1, length)
+            zero = (span >> 20) - before
+            return pa.RecordBatch.from_arrays([pa.array([held[r][2] for r, _, _ in found], pa.binary()), pa.array([int(zero[r]) + a for r, a, _ in found], pa.int64()),
+                                               pa.array([int(zero[r]) + b for r, _, b in found], pa.int64())], names=["key", "lo", "hi"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[-1][0] and starts >= _CHUNK:
+                    yield solve()
+                    held, starts = [], 0
+                if (row[0], row[1]) == seen:  # a region sent twice
+                    continue
+                seen = (row[0], row[1])
+                held.append(row)
+                starts += (row[3] & 1023) - (row[3] >> 10 & 1023) + 1
+        if held:
+            yield solve()
+
+    return run
+
+
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Regions of huge anchors -> two hashes of each window, with its start in the text."""
+        rng = np.random.default_rng(17)
+        table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(batch.column(4)[i].as_py(), np.uint8)
+                span = batch.column(3)[i].as_py()
+                n = len(raw) - length + 1
+                second = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[raw] * powers(BASE, len(raw)))))
+                one, two = (gram_hash(s, length)[:n] if n <= len(s) - length - 1 else span_hash(s, np.arange(n), np.arange(n) + length) for s in (prefix_hash(raw), second))
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(one).view(np.int64)), pa.array(mixed(two).view(np.int64)), pa.array([batch.column(2)[i].as_py()] * n, pa.binary()),
+                                                  pa.array((span >> 20) - (span & 1023) + np.arange(n))], names=["w1", "w2", "key", "lo"])
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT, huge: int = HUGE, length: int = LENGTH) -> DataFrame:
     """(key, spans): for each text with one, the runs (lo, hi) of starts of windows that also start elsewhere.
 
-    `key` is a column of `docs` made by `text_key`. Windows owned by one anchor form a region of under 737 bytes.
+    `key` is a column of `docs` made by `text_key`. Windows owned by one anchor form a region of under twice their length.
     Only anchors that stand twice go on; regions with the same anchor and bytes (two 64-bit hashes) repeat whole. Anchors with different
     regions send one of each to one place, where their suffixes are sorted. Anchors with more than `hot` of them (near
     copies by the hundred) are split into groups of windows that share some 340 bytes, and sorted there; anchors with
     more than `huge` send their windows' 128-bit hashes, which are counted map-side.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchor_rows, "anchor long, f1 long, key binary, span long")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_anchor_rows(length), "anchor long, f1 long, key binary, span long")
     met = rows.groupBy("anchor").count().where("count > 1").select("anchor")
     rows = checkpointed(rows.join(met, "anchor"))
     kinds = rows.groupBy("anchor", "f1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "span")).alias("one"))
@@ -304,10 +314,10 @@ def repeated_windows(docs: DataFrame, text: str, key: str, hot: int = HOT, huge:
     def regions(want: Column) -> DataFrame:
         lists = asked.where(want).groupBy("key").agg(F.collect_list("ask").alias("asks_")).withColumnRenamed("key", "text_key_")
         joined = docs.join(lists, docs[key] == F.col("text_key_"))
-        return joined.mapInArrow(_regions(joined.columns.index(text), joined.columns.index("asks_")), "anchor long, f1 long, key binary, span long, region binary")
+        return joined.mapInArrow(_regions(joined.columns.index(text), joined.columns.index("asks_"), length), "anchor long, f1 long, key binary, span long, region binary")
 
-    sorted_ = regions(~F.col("huge")).repartition("anchor").sortWithinPartitions("anchor", "f1").mapInArrow(_sort_regions, "key binary, lo long, hi long")
-    windows = regions(F.col("huge")).mapInArrow(_windows, "w1 long, w2 long, key binary, lo long")
+    sorted_ = regions(~F.col("huge")).repartition("anchor").sortWithinPartitions("anchor", "f1").mapInArrow(_sort_regions(length), "key binary, lo long, hi long")
+    windows = regions(F.col("huge")).mapInArrow(_windows(length), "w1 long, w2 long, key binary, lo long")
     again = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     single = windows.join(again, ["w1", "w2"], "left_semi").select("key", "lo", F.col("lo").alias("hi"))
     return whole.union(sorted_).union(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -324,19 +334,19 @@ def covered(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, text: str = "text", hot: int = HOT, huge: int = HUGE) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", hot: int = HOT, huge: int = HUGE, length: int = LENGTH) -> DataFrame:
     """All columns of `docs` and the struct `cut`: n_bytes, n_removed, n_spans, kept_sha256, kept (the text that is left).
 
-    Texts are UTF-8 bytes (null: none). Each byte covered by a 400-byte string that starts anywhere else as well, in the
-    same or another text, goes; strings are judged on the input, so copies of a text of 400 bytes go with all their
-    bytes. Where a cut splits a character, `kept` leaves its remaining bytes out; the digest covers all bytes kept.
-    Matches never cross texts; texts under 400 bytes stay whole. Repeated rows are copies of each other.
+    Texts are UTF-8 bytes (null: none). Each byte covered by a string of `length` bytes (65 to 1,023) that starts anywhere
+    else as well, in the same or another text, goes; strings are judged on the input, so copies of a text that long go
+    with all their bytes. Where a cut splits a character, `kept` leaves its remaining bytes out; the digest covers all bytes kept.
+    Matches never cross texts; shorter texts stay whole. Repeated rows are copies of each other.
     """
     name, key = fresh(docs, "cut"), "key_of_text_"
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
     own = f"c{docs.columns.index(text)}"
     keyed = plain.withColumn(key, text_key(F.col(own))).where(F.col(key).isNotNull())  # never null; said here so that all joins below share one exchange of the texts
-    spans = repeated_windows(keyed, own, key, hot, huge).withColumnRenamed("key", "span_key_")
+    spans = repeated_windows(keyed, own, key, hot, huge, length).withColumnRenamed("key", "span_key_")
     joined = keyed.join(spans, keyed[key] == F.col("span_key_"), "left")
     at_text, at_spans = joined.columns.index(own), joined.columns.index("spans")
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -350,7 +360,7 @@ def dedup(docs: DataFrame, text: str = "text", hot: int = HOT, huge: int = HUGE)
                 rows = []
                 for value, runs in zip(part.column(at_text), part.column(at_spans).to_pylist()):
                     raw = (value.as_py() or "").encode()
-                    gone = covered([(x["lo"], x["hi"]) for x in runs or []])
+                    gone = covered([(x["lo"], x["hi"]) for x in runs or []], length)
                     kept, done = [], 0
                     for lo, hi in gone:
                         kept.append(raw[done:lo])
