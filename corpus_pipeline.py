@@ -5,9 +5,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import bpe, mixing, simhash, suffix, toxicity
-from tidemark.llm.common import fresh, read
+from tidemark.llm.common import checkpointed, fresh, read
 from tidemark.llm.queries import TOKENIZER
 
+#: Bytes of a repeated string that goes: passages of 50 words have 300 and more.
+PASSAGE = 250
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; the model learns from `labels` of the sf_dir."""
@@ -17,14 +20,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-equal fingerprints."""
+    """One row, that with the smallest id, of each group of near-equal fingerprints."""
     return simhash.simhash_dedup(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that repeat; a document of which nothing is left stays, empty."""
+    """Documents without the strings of `PASSAGE` bytes that repeat; a document of which nothing is left stays, empty."""
     name = fresh(docs, "cut")
-    cut = suffix.dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col(name)["kept"])).drop(name)
+    cut = suffix.dedup(docs, length=PASSAGE).withColumn("text", F.when(F.col("text").isNotNull(), F.col(name)["kept"])).drop(name)
     return _with_length(cut)
 
 
@@ -48,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on `documents`."""
+    """All stages in turn on `documents`. What a stage keeps is written before the next one, which reads it several times."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
