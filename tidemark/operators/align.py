@@ -1,9 +1,13 @@
 """Joins of the analytics model: alignment, lookups with defaults, as-of, calendars."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.plans.ordered import row_index, running
+from tidemark.plans.session import materialized
 
 
 def align_complete(rets: DataFrame) -> DataFrame:
@@ -79,7 +83,48 @@ def missing_day_gaps(df: DataFrame, min_days: int = 2, business: bool = False) -
     return out.drop("_g").where(F.date_diff("end", "start") >= min_days)
 
 
-def portfolio_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum of aligned returns: (portfolio, ts, ret)."""
-    return (rets.join(weights, "symbol").groupBy("portfolio", "ts")
-            .agg(F.sum(F.col("weight") * F.col("ret")).alias("ret")))
+def _product(key: tuple, w: pa.Table, r: pa.Table) -> pa.Table:
+    """One block of portfolios times one block of dates, as two dense products: the sums, and whether there is a term."""
+    if not w.num_rows or not r.num_rows:
+        return pa.table({"portfolio": w["portfolio"].slice(0, 0), "ts": r["ts"].slice(0, 0), "ret": pa.array([], pa.float64())})
+    symbols = pa.chunked_array([*w["symbol"].chunks, *r["symbol"].chunks]).combine_chunks().dictionary_encode()
+    portfolios, dates = (t[c].combine_chunks().dictionary_encode(null_encoding="encode") for t, c in ((w, "portfolio"), (r, "ts")))
+    at, n = symbols.indices.to_numpy(), len(symbols.dictionary)
+
+    def dense(rows: int, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, known = np.zeros((rows, n)), np.zeros((rows, n), np.float32)
+        np.add.at(m, (i, j), values)
+        known[i, j] = 1
+        return m, known
+
+    a, ka = dense(len(portfolios.dictionary), portfolios.indices.to_numpy(), at[:w.num_rows], w["weight"].to_numpy())
+    b, kb = dense(len(dates.dictionary), dates.indices.to_numpy(), at[w.num_rows:], r["ret"].to_numpy())
+    i, j = np.nonzero(ka @ kb.T)
+    return pa.table({"portfolio": portfolios.dictionary.take(pa.array(i)), "ts": dates.dictionary.take(pa.array(j)), "ret": (a @ b.T)[i, j]})
+
+
+def portfolio_returns(rets: DataFrame, weights: DataFrame, cells: int = 1 << 22, portfolios: int = 2048, dates: int = 512) -> DataFrame:
+    """Weighted sum of aligned returns: (portfolio, ts, ret), for dates on which a held symbol has a return.
+
+    A product of the matrices portfolio x symbol and symbol x date. Blocks of at most about `portfolios` portfolios meet
+    blocks of `dates` dates, fewer where there are more symbols than `cells` allows, so that a block is some tens of
+    megabytes whatever the data. A return is sent once per block of portfolios and a weight once per block of dates;
+    no (weight, return) pair ever becomes a row, and each result row is made in one place. Null weights and returns
+    are absent ones, as are null symbols; repeated rows add up. The two inputs are written once and counted when the plan is built.
+    """
+    r = materialized(rets.where("ret is not null and symbol is not null").select("symbol", "ts", F.col("ret").cast("double").alias("ret")))
+    w = materialized(weights.where("weight is not null and symbol is not null").select("portfolio", "symbol", F.col("weight").cast("double").alias("weight")))
+    n_symbols, n_dates = r.agg(F.approx_count_distinct("symbol"), F.approx_count_distinct("ts")).first()
+    n_portfolios = w.agg(F.approx_count_distinct("portfolio")).first()[0]
+    side = max(1, cells // max(1, n_symbols))
+    across, down = (max(1, -(-n // min(most, side))) for n, most in ((n_portfolios, portfolios), (n_dates, dates)))
+    spark = rets.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(across * down, 10_000))
+
+    def copies(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = w.select("*", F.pmod(F.xxhash64("portfolio"), F.lit(across)).cast("int").alias("_p"), copies(down).alias("_d"))
+    right = r.select("*", F.pmod(F.xxhash64("ts"), F.lit(down)).cast("int").alias("_d"), copies(across).alias("_p"))
+    schema = StructType([w.schema["portfolio"], r.schema["ts"], r.schema["ret"]])
+    return left.repartition(n, "_p", "_d").groupBy("_p", "_d").cogroup(right.repartition(n, "_p", "_d").groupBy("_p", "_d")).applyInArrow(_product, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.operators import indicators as I
 from tidemark.operators.aggregate import kurt_unbiased, skew_unbiased
 from tidemark.plans.ordered import over_rows, running, stepwise
+from tidemark.plans.ranges import in_ranges, scan_before
 
 K = ("symbol",)
 
@@ -98,13 +99,21 @@ def execute_orders(orders: DataFrame, capital: float = 1_000_000.0, commission:
 
 def average_cost(trades: DataFrame) -> DataFrame:
     """Running quantity, average cost and realized gain per (portfolio, symbol); a position at or below
-    1e-8 is removed, so a sale without shares leaves nothing behind. `n` numbers the fills of a position."""
-    def advance(state, action, q, p):
-        held, avg, gain = _after(state[0], state[1], action, q, p)
-        return (held, avg, state[2] + 1), (held, avg, gain, state[2])
+    1e-8 is removed, so a sale without shares leaves nothing behind. `n` numbers the fills of a position.
 
-    return stepwise(trades, ["portfolio", "symbol"], ["ts", "seq"], lambda: (0.0, 0.0, 0), advance, ["action", "quantity", "price"], FILL,
-                    "held double, avg_price double, realized double, n long")
+    Two scans over sorted ranges, so a position with many fills lies in many tasks: holdings are running
+    sums that a sale cannot bring below zero; given them, a fill maps the average cost x to a x + b.
+    """
+    keys, buy, q, p = ["portfolio", "symbol"], F.col("action") == "buy", F.col("quantity").cast("double"), F.col("price").cast("double")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    x = in_ranges(trades.select(*FILL, "seq"), keys, ["ts", "seq"], FILL)
+    x = scan_before(x, keys, {"_had": ("reflect", F.when(buy, q).otherwise(-q), F.when(buy, F.lit(float("-inf"))).otherwise(zero), 0.0), "n": ("affine", one, one, 0.0)})
+    had = F.when(F.col("_had") > 1e-8, F.col("_had")).otherwise(zero)
+    x = x.withColumn("held", F.when(buy, had + q).when(had - q > 1e-8, had - q).otherwise(zero))
+    a = F.when(buy, F.when(had > 0, had / (had + q)).otherwise(zero)).when(F.col("held") > 0, one).otherwise(zero)
+    b = F.when(buy, F.when(had > 0, q * p / (had + q)).otherwise(p)).otherwise(zero)
+    x = scan_before(x, keys, {"_avg": ("affine", a, b, 0.0)})
+    return x.select(*FILL, "held", (a * F.col("_avg") + b).alias("avg_price"), F.when(buy, zero).otherwise(q * (p - F.col("_avg"))).alias("realized"), F.col("n").cast("long").alias("n"))
 
 
 def positions_summary(ledger: DataFrame, prices: DataFrame, order: str = "n") -> DataFrame:

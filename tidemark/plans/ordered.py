@@ -19,6 +19,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.plans.ranges import last_known
 from tidemark.plans.session import materialized
 
 #: Positions per block in the split form.
@@ -83,6 +84,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dic
         return df.withColumns({
             n: F.last(c, ignorenulls=True).over(w) if kind == "last" else _AGG[kind](c).over(w)
             for n, (kind, c) in specs.items()})
+    if all(kind == "last" for kind, _ in specs.values()):  # carried from range to range: one exchange
+        return last_known(df, keys, order, {n: c for n, (_, c) in specs.items()})
     size = block or BLOCK_ROWS
     rows = row_index(df, keys, order, split=True).withColumn("_blk", F.floor(F.col("_rn") / size))
     rows = rows.withColumns({f"_in_{n}": c for n, (_, c) in specs.items()})
