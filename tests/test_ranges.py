@@ -89,3 +89,17 @@ def test_portfolio_returns_by_blocks(spark, cells, portfolios, dates):
     got = {(r.portfolio, int(r.ts.timestamp())): r.ret for r in portfolio_returns(a, b, cells, portfolios, dates).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert portfolio_returns(a.limit(0), b).count() == 0 and portfolio_returns(a, b.limit(0)).count() == 0
+
+
+def test_filtered_volatility_equals_the_rule(spark):
+    from tidemark.streaming.rules import VolatilityFilter
+    from tidemark.streaming.ticks import filtered_volatility
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.9 else f"s{i % 5}", i, rng.choice([0.0, rng.gauss(0, 0.02)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "symbol string, i long, ret double").withColumn("ts", F.timestamp_seconds("i"))
+    got = {(r.symbol, int(r.ts.timestamp())): r.volatility for r in filtered_volatility(df).collect()}
+    rule, state = VolatilityFilter(), {}
+    for k, i, ret in rows:
+        state[k], (v,) = rule.advance(state.get(k) or rule.init(), ret)
+        assert got[(k, i)] == pytest.approx(v, rel=1e-9)
+    assert len(got) == len(rows) and filtered_volatility(df.limit(0)).count() == 0

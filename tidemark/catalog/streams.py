@@ -69,7 +69,7 @@ register("ST9_position_metrics", lambda s, d: T.drain(T.position_metrics(_ticks(
          (select *, lag(price) over (partition by symbol order by ts) pv from tk) join ps using (symbol)""", ps=_POS), "market_value unrealized var_contribution")
 register("ST10_trend_filter", lambda s, d: T.drain(T.stream_rule(_ticks(s, d), ["symbol"], ["ts"], R.TrendFilter(), ["symbol", "ts"])))
 register("ST10_trend_filter_batch", lambda s, d: T.batch_rule(X.ticks(s, d), ["symbol"], ["ts"], R.TrendFilter(), ["symbol", "ts"]))
-register("ST10_volatility_filter", lambda s, d: T.batch_rule(X.supplier_returns(s, d), ["symbol"], ["ts"], R.VolatilityFilter(), ["symbol", "ts"]),
+register("ST10_volatility_filter", lambda s, d: T.filtered_volatility(X.supplier_returns(s, d)),
          "WITH RECURSIVE " + sql("sr", "", o="select symbol, ts, row_number() over (partition by symbol order by ts) i, 0.5 * ln(greatest(ret * ret, 1e-8)) z from sr")[5:]
          + """, k AS (select symbol, 0::bigint i, null::timestamp ts, ln(0.2::double) x, 0.1::double p from (select distinct symbol from sr) union all select symbol, i, ts, px + g * (z - px), (1 - g) * (1 - g) * pp + g * g * 0.01 from
          (select *, pp / (pp + 0.01) g from (select o.symbol, o.i, o.ts, o.z, 0.99 * k.x px, 0.9801 * k.p + 0.0001 pp from k join o on o.symbol = k.symbol and o.i = k.i + 1))) select symbol, ts, exp(x) volatility from k where i > 0""", "volatility")

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.plans.ordered import stepwise
+from tidemark.plans.ranges import in_ranges, scan_before
 from tidemark.plans.session import ensure_checkpoint_dir, utc_schema
+from tidemark.streaming.rules import VOL_F, VOL_Q, VOL_R, VOL_START
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -199,6 +201,28 @@ def rejected(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.option("basePath", f"{out}/_rejects/{name}").parquet(f"{out}/_rejects/{name}/batch=*")
 
 
+def filtered_volatility(rets: DataFrame, keys=("symbol",), order=("ts",)) -> DataFrame:
+    """The volatility filter over a whole table, as a scan: (keys, order, volatility).
+
+    The noise is constant, so the gain depends on the number of rows seen only and settles; given it, a row maps the
+    state x to a x + b. A hot symbol lies in many tasks. Rows without a return are left out; `order` must be total.
+    """
+    keys, order = list(keys), list(order)
+    gains, p = [], VOL_START[1]
+    while len(gains) < 2 or gains[-1] != gains[-2]:
+        p = VOL_F * VOL_F * p + VOL_Q
+        gains.append(p / (p + VOL_R))
+        p = (1 - gains[-1]) ** 2 * p + gains[-1] ** 2 * VOL_R
+        if len(gains) == 1000:
+            break
+    x = in_ranges(rets.where("ret is not null").select(*keys, *order, "ret"), keys, order)
+    x = scan_before(x, keys, {"_n": ("affine", F.lit(1.0), F.lit(1.0), 0.0)})
+    k = F.element_at(F.array(*map(F.lit, gains)), F.least(F.col("_n") + 1, F.lit(float(len(gains)))).cast("int"))
+    x = x.withColumns({"_a": (1 - k) * VOL_F, "_b": k * 0.5 * F.log(F.greatest(F.col("ret") * F.col("ret"), F.lit(1e-8)))})
+    x = scan_before(x, keys, {"_x": ("affine", F.col("_a"), F.col("_b"), VOL_START[0])})
+    return x.select(*keys, *order, F.exp(F.col("_a") * F.col("_x") + F.col("_b")).alias("volatility"))
+
+
 def smooth(bars: DataFrame) -> DataFrame:
     """Fixed-interval smoother of the trend model: forward filter, backward pass. A group is one bar series,
     bounded by the calendar."""
