@@ -1,5 +1,6 @@
 """Each text operator against a brute-force version, with nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -538,12 +539,48 @@ def test_automaton_forgets_safely():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = bpe.Tokenizer(open(path, encoding="utf-8").read())
     full = [tokenizer.encode(t[1] or "") for t in EDGE]
-    words, arcs = bpe.WORDS_KEPT, bpe.ARCS_KEPT
-    bpe.WORDS_KEPT = bpe.ARCS_KEPT = 2
+    words = bpe.WORDS_KEPT
+    bpe.WORDS_KEPT = 2
     try:
         assert [bpe.Tokenizer(open(path, encoding="utf-8").read()).encode(t[1] or "") for t in EDGE] == full
     finally:
-        bpe.WORDS_KEPT, bpe.ARCS_KEPT = words, arcs
+        bpe.WORDS_KEPT = words
+
+
+def merged(word, rules, labels):
+    """Merges the pair of least rank, leftmost first, until none is left."""
+    rank = {(x, y): (r, z) for r, (x, y, z) in enumerate(rules)}
+    ids = [labels.index(bytes([b])) for b in word]
+    while found := [(rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]:
+        i = min(found)[1]
+        ids[i:i + 2] = [rank[ids[i], ids[i + 1]][1]]
+    return ids
+
+
+def test_compiled_automaton_equals_merging_on_made_up_merges():
+    refused = struck = 0
+    for seed in range(400):
+        rnd = random.Random(seed)
+        labels, rules = [b"a", b"b", b"c"][:1 + seed % 3], []
+        letters = bytes(b[0] for b in labels)
+        for _ in range(rnd.randrange(12)):
+            x, y = rnd.randrange(len(labels)), rnd.randrange(len(labels))
+            z = labels[x] + labels[y]
+            if len(z) <= 12 and (x, y) not in [r[:2] for r in rules]:
+                labels += [z] if z not in labels else []
+                rules.append((x, y, labels.index(z)))
+        try:
+            automaton = bpe.Automaton(labels, rules)
+        except ValueError:
+            refused += 1
+            continue
+        struck += any(map(any, automaton.rows.values()))
+        for _ in range(20):
+            word = bytes(rnd.choices(letters, k=rnd.randrange(15)))
+            assert automaton.walk(word) == merged(word, rules, labels), (labels, rules, word)
+    assert refused < 20 and struck > 300
+    with pytest.raises(ValueError):
+        bpe.Automaton([b"a", b"aa", b"aaa", b"aaaaa"], [(0, 0, 1), (0, 1, 2), (1, 2, 3), (1, 0, 2)])
 
 
 # fingerprints --------------------------------------------------------------
