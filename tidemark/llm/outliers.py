@@ -22,6 +22,10 @@ CUTOFF = 30.8562
 #: so that their variance over the inner rows is zero.
 FLOOR = 625.0
 LEAST_ROWS = 50
+#: Shapes of groups (some 400 bytes each) up to this many are broadcast, more are joined by a shuffle.
+FEW_SHAPES = 30_000
+#: Counted vectors in a partition, as long as there are no more partitions than the session shuffles into.
+VECTORS = 50_000
 #: Stands for any language or source; names of groups are empty or begin with "=".
 POOLED = "*"
 
@@ -89,10 +93,10 @@ def _medians(rows: DataFrame) -> DataFrame:
     return per.select("g1", "g2", *[F.col(f"m{i}") for i in range(d)], *[c.alias(n) for n, c in {**diagonal, **below}.items()])
 
 
-def _signs(rows: DataFrame, medians: DataFrame) -> DataFrame:
+def _signs(rows: DataFrame, medians: DataFrame, few: bool) -> DataFrame:
     """The second start: medians with the covariance of the rows' directions from them, which distance does not weigh."""
     d = len(FEATURES)
-    df = rows.join(medians, ["g1", "g2"])
+    df = rows.join(F.broadcast(medians) if few else medians, ["g1", "g2"])
     df = df.withColumns({f"y{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"l{i}{i}") for i in range(d)})
     size = F.sqrt(sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(d)), F.lit(0.0)))
     df = df.withColumn("_size", size).withColumns({f"y{i}": F.when(F.col("_size") > 0, F.round(1000 * F.col(f"y{i}") / F.col("_size"))).otherwise(0).cast("long") for i in range(d)})
@@ -121,11 +125,13 @@ def _shape(sums: DataFrame) -> DataFrame:
     return _factor(df).withColumn("det", sum((F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0)))
 
 
-def _with_distance(rows: DataFrame, shape: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Squared Mahalanobis distance `d2` by forward substitution, and the columns `more` of the shape."""
+def _with_distance(rows: DataFrame, shape: DataFrame, few: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """Squared Mahalanobis distance `d2` by forward substitution, and the columns `more` of the shape; with `few` shapes
+    no row moves."""
     d = len(FEATURES)
     wanted = [f"m{i}" for i in range(d)] + [f"l{i}{j}" for i in range(d) for j in range(i + 1)]
-    df = rows.join(shape.select("g1", "g2", *more, *wanted), ["g1", "g2"])
+    shape = shape.select("g1", "g2", *more, *wanted)
+    df = rows.join(F.broadcast(shape) if few else shape, ["g1", "g2"])
     for i in range(d):
         df = df.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
     return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(d)), F.lit(0.0))).drop(*wanted, *[f"y{i}" for i in range(d)])
@@ -164,38 +170,46 @@ def minimum_covariance(rows: DataFrame) -> DataFrame:
     Three runs of concentration steps per group: over three quarters of the rows from medians and median deviations
     (run 0), and over half of them from there and from the directions' covariance (runs 1 and 2), of which the smaller
     determinant counts. Half the rows can be anything without moving that one far. The estimate over three quarters is
-    steadier and stands unless one of its inner rows is an outlier by the other. Steps of run 0 go on until no group's
-    inner rows change; in the others a step counts only if it lowers the determinant. Sums are whole numbers.
+    steadier and stands unless one of its inner rows is an outlier by the other. A group's run 0 goes on until its inner
+    rows are those of an earlier step; in the others a step counts only if it lowers the determinant. Settled runs take no
+    part in further steps. Sums are whole numbers.
+
+    The counted vectors are range-partitioned by group once, so that a group stands in few partitions and its classes
+    combine before they are shuffled, and a hot group in several; a step moves class sums only.
     """
     spread = partitions(rows.sparkSession)
-    some, few = max(8, spread // 4), max(8, spread // 16)  # counted vectors are narrow, shapes are one row a group and run: each step leaves a file per partition and exchange
-    rows = checkpointed(rows.groupBy("g1", "g2", *FEATURES).agg(F.sum("w").alias("w")).coalesce(some))
-    medians = checkpointed(_medians(rows).coalesce(few))
-    second = _signs(rows, medians).select(*medians.columns)
+    small = max(8, spread // 16)  # shapes are one row a group and run
+    counted = checkpointed(rows.groupBy("g1", "g2", *FEATURES).agg(F.sum("w").alias("w")))
+    rows = checkpointed(counted.repartitionByRange(min(spread, 1 + counted.count() // VECTORS), "g1", "g2", *FEATURES))
+    medians = checkpointed(_medians(rows).coalesce(small))
+    few = medians.count() * 3 <= FEW_SHAPES
+    second = _signs(rows, medians, few).select(*medians.columns)
     shape = medians.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).unionByName(second.withColumn("run", F.lit(2)))
-    best, seen = None, set()
+    best = None
 
     def ranked(df: DataFrame, columns: list[str], new: bool) -> DataFrame:
         rank = F.when(F.col("run") == 0, F.lit(0.0 if new else 1.0)).otherwise(F.col("det"))
-        return df.select("g1", "g2", "run", F.struct(rank.alias("rank"), F.lit(int(new)).alias("new"), *columns).alias("x"))
+        return df.select("g1", "g2", "run", F.struct(rank.alias("rank"), F.lit(int(new)).alias("new"), *columns).alias("x"), (F.lit(None).cast("array<long>") if new else F.col("seen")).alias("seen"))
 
     while True:
-        new = _shape(_inner_sums(_with_distance(rows, shape, ("run",))))
-        columns = [c for c in new.columns if c not in ("g1", "g2", "run")]
-        if best is not None:
-            both = ranked(best, columns, False).union(ranked(new, columns, True))
-            new = both.groupBy("g1", "g2", "run").agg(F.min("x").alias("x")).select("g1", "g2", "run", *[F.col(f"x.{c}").alias(c) for c in columns])
-        best = shape = checkpointed(new.coalesce(few))
-        sums = ["g1", "g2", "run", "n", *[c for c in columns if c[0] in "sq" and c[1:].isdigit()]]
-        mark = tuple(best.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sums).cast("decimal(38,0)"))).first())
-        if mark in seen:  # the same sums in every group as after an earlier step
+        new = _shape(_inner_sums(_with_distance(rows, shape, few, ("run",))))
+        columns = [c for c in new.columns if c not in ("g1", "g2", "run")] + ["mark"]
+        new = new.withColumn("mark", F.xxhash64("n", *[c for c in columns if c[0] in "sq" and c[1:].isdigit()]))
+        if best is None:
+            new = new.withColumns({"seen": F.array("mark"), "settled": F.lit(False)})
+        else:
+            both = ranked(best, columns, False).union(ranked(new, columns, True)).groupBy("g1", "g2", "run").agg(F.min("x").alias("x"), F.max("seen").alias("seen"))
+            settled = F.when(F.col("run") == 0, F.array_contains("seen", F.col("x.mark"))).otherwise(F.col("x.new") == 0)
+            new = both.select("g1", "g2", "run", *[F.col(f"x.{c}").alias(c) for c in columns], F.array_union("seen", F.array("x.mark")).alias("seen"), settled.alias("settled"))
+        best = checkpointed(new.coalesce(small))
+        shape = best.where("not settled")
+        if shape.isEmpty():
             break
-        seen.add(mark)
     wide = best.where("run = 0").select("g1", "g2", F.col("level"), *[c for c in columns if c[0] in "ml" and c[1:].isdigit()])
     half = best.where("run > 0").groupBy("g1", "g2").agg(F.min(F.struct("det", "run")).alias("least")).select("g1", "g2", F.col("least.run").alias("run")).join(best, ["g1", "g2", "run"]).select(*[c for c in wide.columns if c != "level"])
-    inside = _with_distance(rows, wide, ("level",)).where(_class() <= F.col("level")).drop("d2", "level")
-    bad = _with_distance(inside, half).where(F.col("d2") > CUTOFF).select("g1", "g2").distinct()
-    return checkpointed(wide.drop("level").join(bad, ["g1", "g2"], "left_anti").unionByName(half.join(bad, ["g1", "g2"], "left_semi")))
+    inside = _with_distance(rows, wide, few, ("level",)).where(_class() <= F.col("level")).drop("d2", "level")
+    bad = _with_distance(inside, half, few).where(F.col("d2") > CUTOFF).select("g1", "g2").distinct()
+    return checkpointed(wide.drop("level").join(bad, ["g1", "g2"], "left_anti").unionByName(half.join(bad, ["g1", "g2"], "left_semi")).coalesce(small))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -210,7 +224,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")).alias("g1"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("g2"), F.col(text).alias("text"))
     stats = text_statistics(d).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    stats = checkpointed(stats.withColumns(features()))
+    stats = checkpointed(stats.withColumns(features()))  # the texts are read once
     passed = stats.where(~F.col("base_failed")).groupBy("g1", "g2", *FEATURES).agg(F.count(F.lit(1)).alias("w"))
     sizes = stats.groupBy("g1", "g2").agg(F.count_if(~F.col("base_failed")).alias("one"))
     groups = sizes.withColumn("lang", F.sum("one").over(Window.partitionBy("g1"))).crossJoin(sizes.agg(F.sum("one").alias("every")))
@@ -222,6 +236,6 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     members = passed.withColumn("e", pools).select("e.e1", "e.e2", "w", *FEATURES).join(wanted, ["e1", "e2"])
     shape = minimum_covariance(members.withColumnsRenamed({"e1": "g1", "e2": "g2"}))
     d_shape = groups.join(shape.withColumnsRenamed({"g1": "e1", "g2": "e2"}), ["e1", "e2"], "left").drop("e1", "e2")
-    judged = _with_distance(stats, d_shape)
+    judged = _with_distance(stats, d_shape, groups.count() <= FEW_SHAPES)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
