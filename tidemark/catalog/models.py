@@ -7,6 +7,7 @@ from tidemark.plans import frames as X
 from tidemark.plans.ordered import over_rows
 from tidemark.plans.session import read_table
 from tidemark.sources import readers as RD, writers as WR
+from tidemark.sources.store import market_store
 from tidemark.streaming.ticks import shared_folder
 
 
@@ -138,3 +139,42 @@ register("SRC11_risk_upsert", _risk_rows,
          "select portfolio, calculation_date, case when calculation_date = 2000 and e > 200000 then 2 * e else e end exposure from (select o_custkey portfolio, year(o_orderdate)::int calculation_date, sum(o_totalprice) e from orders group by 1, 2)", "exposure:4")
 register("SRC8_load_report", lambda s, d: RD.load_report(s, d, ["customer", "supplier", "absent"], "parquet", "c_custkey long, s_suppkey long").select("symbol", "status", "rows"),
          "select 'customer' symbol, 'loaded' status, count(*) AS \"rows\" from customer union all select 'supplier', 'loaded', count(*) from supplier union all select 'absent', 'absent', 0")
+
+
+def _round_trip(fmt):
+    """Bars written in a text format and read back through the declared schema."""
+    def run(s, d):
+        out = shared_folder(s, fmt)
+        WR.write_results(X.suppliers(s, d), out, fmt)
+        return RD.read_bars(s, out, fmt, required=("symbol", "ts", "close"))
+    return run
+
+
+for _f in ("csv", "json"):
+    register(f"SRC1_{_f}_bars", _round_trip(_f), sql("sb", "select symbol, ts, open, high, low, close, volume from sb"), "open:9 high:9 low:9 close:9")
+
+
+def _written_json(s, d):
+    out = shared_folder(s, "results")
+    WR.write_results(X.suppliers(s, d).select("symbol", "ts", "close", "volume"), out, "json", per_symbol=True)
+    return s.read.schema("ts timestamp, close double, volume long, symbol string").json(out)
+
+
+register("SRC10_json_files", _written_json, sql("sb", "select symbol, ts, close, volume from sb"), "close:9")
+
+
+def _stored(s, d):
+    """Two appends, a correction of one year's closes, and the other months, now in two folders each, compacted."""
+    st = market_store(s, shared_folder(s, "market"))
+    rows = WR.month_columns(X.suppliers(s, d))
+    st.append(rows.where("volume % 2 = 0"))
+    st.append(rows.where("volume % 2 != 0"))
+    st.upsert(rows.where("year = 1997").withColumn("close", F.col("close") + 1), ["symbol", "ts"])
+    st.compact()
+    return st
+
+
+register("SRC12_month_store", lambda s, d: _stored(s, d).read().where("year = 1997 or month = 6").select("symbol", "ts", "close", "volume", "year", "month"),
+         sql("sb", "select symbol, ts, close + (year(ts) = 1997)::int AS close, volume, year(ts)::int AS year, month(ts)::int AS month from sb where year(ts) = 1997 or month(ts) = 6"), "close:9")
+register("SRC12_pinned_version", lambda s, d: _stored(s, d).read(2).groupBy("year", "month").agg(F.count("*").alias("n"), F.sum("close").alias("total")),
+         sql("sb", "select year(ts)::int AS year, month(ts)::int AS month, count(*) n, sum(close) total from sb group by 1, 2"), "total:4")
