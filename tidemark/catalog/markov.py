@@ -63,6 +63,10 @@ def _start(s, d):
 register("MK8_three_step_distribution", lambda s, d: M.step_distribution(_start(s, d), M.transition_matrix(CNT(s, d)), 3),
          sql("st", """select s.entity, c.nx state, sum(a.p * b.p * c.p) p from (select entity, arg_max(state, (ts, event_id)) state from st group by 1) s join p1 a on a.h = s.state
          join p1 b on b.h = a.nx join p1 c on c.h = b.nx group by 1, 2""", t=T1, p1=P1), "p")
+_P2 = "select a, b, nx, n / sum(n) over (partition by a, b) p from (select a, b, nx, count(*) n from (select lag(state, 2) over {o} a, lag(state) over {o} b, state nx from st) where a is not null group by all)".format(o=_O)
+register("MK8_second_order_forecast", lambda s, d: M.forecast(M.last_states(X.states(s, d), 2, seq=SEQ), M.transition_matrix(CNT(s, d, 2)), 3),
+         sql("st", """select entity, z.nx state, sum(x.p * y.p * z.p) p from (select entity, arg_max(state, (ts, event_id)) b, arg_max(pv, (ts, event_id)) a from (select *, lag(state) over (partition by entity order by ts, event_id) pv from st) where pv is not null group by 1) s
+         join p2 x on x.a = s.a and x.b = s.b join p2 y on y.a = s.b and y.b = x.nx join p2 z on z.a = x.nx and z.b = y.nx group by 1, 2""", p2=_P2), "p")
 register("MK9_stationary_distribution",
          lambda s, d: M.stationary(M.transition_matrix(CNT(s, d)).withColumn("chain", F.lit("all")), ["chain"]).select("state", "pi"),
          "WITH RECURSIVE " + sql("st", "", t=T1, p1=P1)[5:] + """, w AS (select 0 step, h state, 1 / 5.0::double pi from (select distinct h from p1) union all

@@ -18,7 +18,7 @@ register("TS2_kolmogorov_smirnov", lambda s, d: S.ks_normal(X.supplier_returns(s
          sql("sr", "select symbol, statistic, n, least(1, greatest(0, " + " + ".join(f"{2 * (-1) ** (k - 1)} * exp(-2 * {k * k} * {_L} * {_L})" for k in range(1, 6)) + ")) p_value from k",
              r=_RK.format(sd="stddev_pop"), k=KS), "statistic p_value")
 register("TS3_anderson_darling", lambda s, d: S.anderson_darling(X.supplier_returns(s, d), split=False),
-         sql("sr", "select symbol, n, -n - sum((2 * a.i - 1) * (ln(a.f) + ln(1 - b.f))) / n statistic from r a join r b using (symbol, n) where b.i = n + 1 - a.i group by 1, 2",
+         sql("sr", "select *, statistic < critical_5 AS normal from (select symbol, n, -n - sum((2 * a.i - 1) * (ln(a.f) + ln(1 - b.f))) / n statistic, round(0.787::double / (1 + 4.0::double / n - 25.0::double / (n * n)), 3) critical_5 from r a join r b using (symbol, n) where b.i = n + 1 - a.i group by 1, 2)",
              r=_RK.format(sd="stddev_samp")), "statistic:5")
 _LAGS = "select a.symbol, k, sum(a.d * b.d) c from x a join x b on a.symbol = b.symbol, range(1, {h}) t(k) where b.i = a.i - k group by 1, 2"
 _XD = "select symbol, row_number() over (partition by symbol order by ts) i, ret - avg(ret) over (partition by symbol) d from sr"
@@ -56,10 +56,15 @@ register("TS6_white", lambda s, d: S.heteroscedasticity(_fit(s, d), "e", "fit",
              ft=_FIT, e=_E2, o=_OLS2.format(y="y", a="a", b="b", t="e")), "statistic critical_5")
 _CT = """select least(floor((l_quantity - a) / ((b - a) / 10)), 9)::int bx, least(floor((l_discount - c) / ((e - c) / 10)), 9)::int by_, count(*) n
   from lineitem, (select min(l_quantity) a, max(l_quantity) b, min(l_discount) c, max(l_discount) e from lineitem) group by 1, 2"""
-_WH = "(1 - {c})".format
-_WHP = lambda st, df: "(1 - " + norm_cdf_sql(f"((power({st} / ({df}), 1/3.0::double) - (1 - 2 / (9.0::double * ({df})))) / sqrt(2 / (9.0::double * ({df}))))") + ")"
+# Whole degrees of freedom have finite sums: Poisson terms (even) or half-integer terms and a normal tail (odd) for
+# chi-squared, powers of the cosine for t. Logarithms keep the terms in range.
+_CHI = lambda st, df: f"""(list_sum(list_transform(range(({df})::bigint // 2 + 1), lambda j: case when ({df}) % 2 = 0 and j < ({df}) // 2 then exp(j * ln({st} / 2) - {st} / 2 - lgamma(j + 1))
+  when ({df}) % 2 = 1 and j > 0 then exp((j - 0.5) * ln({st} / 2) - {st} / 2 - lgamma(j + 0.5)) else 0.0::double end)) + case when ({df}) % 2 = 1 then 2 * (1 - {norm_cdf_sql(f'sqrt({st})')}) else 0 end)"""
+_T2 = lambda t, n: f"""(1 - (case when ({n}) % 2 = 1 then 2 / pi() * (atan(abs({t}) / sqrt({n})) + coalesce(list_sum(list_transform(range((({n}) - 1)::bigint // 2),
+  lambda j: exp((2 * j + 1) * ln(sqrt(({n}) / (({n}) + {t} * {t}))) + lgamma(j + 1) * 2 + 2 * j * ln(2) - lgamma(2 * j + 2)) * abs({t}) / sqrt(({n}) + {t} * {t}))), 0))
+  else abs({t}) / sqrt(({n}) + {t} * {t}) * list_sum(list_transform(range(({n})::bigint // 2), lambda j: exp(j * ln(({n}) / (({n}) + {t} * {t})) + lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)))) end))"""
 register("TS7_independence", lambda s, d: S.independence(read_table(s, d, "lineitem"), "l_quantity", "l_discount"),
-         sql("", f"select statistic, df, {_WHP('statistic', 'df')} p_value from q", t=_CT,
+         sql("", f"select statistic, df, {_CHI('statistic', 'df')} p_value from q", t=_CT,
              q="""select sum(power(coalesce(n, 0) - r * c / t.tt, 2) / (r * c / t.tt)) statistic, (count(distinct bx) - 1) * (count(distinct by_) - 1) df from (select bx, sum(n) r from t group by 1) x
              cross join (select by_, sum(n) c from t group by 1) y cross join (select sum(n)::double tt from t) t left join t z using (bx, by_)"""), "statistic p_value")
 register("TS8_ramsey_reset", lambda s, d: S.ramsey_reset(_fit(s, d), "ret", "fit"),
@@ -67,12 +72,13 @@ register("TS8_ramsey_reset", lambda s, d: S.ramsey_reset(_fit(s, d), "ret", "fit
              ft=_FIT, x="select symbol, ret - fit y, fit p1, fit * fit p2, fit * fit * fit p3 from ft",
              q2="select *, p2 - regr_slope(p2, p1) over w * p1 - regr_intercept(p2, p1) over w q2, p3 - regr_slope(p3, p1) over w * p1 - regr_intercept(p3, p1) over w r3 from x window w as (partition by symbol)",
              q3="select *, r3 - regr_slope(r3, q2) over w * q2 - regr_intercept(r3, q2) over w q3 from q2 window w as (partition by symbol)"), "r2 statistic:5")
-register("TS9_moment_tests", lambda s, d: S.moment_tests(X.supplier_returns(s, d), "ret", 0.0, 1.5).drop("t_p_value"),
-         sql("sr", f"""select symbol, n, t t_statistic, c chi2_statistic, 2 * least({_WHP('c', '(n - 1)')}, 1 - {_WHP('c', '(n - 1)')}) chi2_p_value from
-         (select symbol, count(*) n, avg(ret) / (stddev_pop(ret) / sqrt(count(*))) t, (count(*) - 1) * var_pop(ret) / 1.5 c from sr group by 1)"""), "t_statistic chi2_statistic chi2_p_value")
+for _n, _v in (("", 1.5), ("_near", 3.1)):  # the second variance is near the measured ones, so that p-values spread over (0, 1)
+    register(f"TS9_moment_tests{_n}", lambda s, d, v=_v: S.moment_tests(X.supplier_returns(s, d), "ret", 0.0, v),
+             sql("sr", f"""select symbol, n, t t_statistic, c chi2_statistic, {_T2('t', 'df')} t_p_value, 2 * least({_CHI('c', 'df')}, 1 - {_CHI('c', 'df')}) chi2_p_value from
+             (select symbol, count(*) n, count(*) - 1 df, avg(ret) / (stddev_pop(ret) / sqrt(count(*))) t, (count(*) - 1) * var_pop(ret) / {_v} c from sr group by 1)"""), "t_statistic chi2_statistic t_p_value:9 chi2_p_value:9")
 register("TS10_markov_chi_square",
          lambda s, d: S.markov_fit(CNT(s, d), M.transition_matrix(CNT(s, d)).withColumn("p", F.lit(0.2))),
-         sql("st", f"select statistic, df, {_WHP('statistic', 'df')} p_value from (select sum(power(n - t / 5.0, 2) / (t / 5.0)) statistic, 20::bigint df from (select n, sum(n) over (partition by h) t from p1))",
+         sql("st", f"select statistic, df, {_CHI('statistic', 'df')} p_value from (select sum(power(n - t / 5.0, 2) / (t / 5.0)) statistic, 20::bigint df from (select n, sum(n) over (partition by h) t from p1))",
              t=T1, p1=P1), "statistic p_value")
 register("TS10_markov_property", lambda s, d: S.markov_property(CNT(s, d, 2), M.transition_matrix(CNT(s, d))),
          sql("st", """select count(*) tests, count(*) filter (abs(n - e) > 2 * sqrt(e)) violations, avg((abs(n - e) > 2 * sqrt(e))::int) violation_rate from (select c.n, ab * p e from c join p1 on p1.h = c.b and p1.nx = c.nx where c.n > 5)""",

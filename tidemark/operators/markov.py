@@ -154,6 +154,38 @@ def step_distribution(start: DataFrame, matrix: DataFrame, steps: int) -> DataFr
     return out
 
 
+def forecast(start: DataFrame, matrix: DataFrame, steps: int) -> DataFrame:
+    """State distribution after `steps` steps of an order-k chain: (keys of start, state, p).
+
+    start(key..., history, p) holds the last k states, matrix(history, next, p) an order-k chain. The k-grams are the
+    nodes of a sparse graph, each with an edge to the gram that drops its first state and takes the next one, so a step
+    is one sparse product and a key has at most as many rows as the chain has grams. A history of which no successor is
+    known ends there: its mass stands under the null state, and p sums to 1 per key.
+    """
+    keys = [c for c in start.columns if c not in ("history", "p")]
+    edge = matrix.select(F.col("history"), F.concat(F.slice("history", 2, F.size("history") - 1), F.array("next")).alias("_to"), F.col("p").alias("_p"))
+    out = start.select(*keys, "history", "p")
+    for _ in range(steps):
+        out = (out.join(edge, "history", "left").groupBy(*keys, F.col("_to").alias("history"))
+               .agg(F.sum(F.col("p") * F.coalesce("_p", F.lit(1.0))).alias("p")))  # the null history meets no edge and keeps its mass
+    return out.groupBy(*keys, F.element_at("history", -1).alias("state")).agg(F.sum("p").alias("p"))
+
+
+def last_states(df: DataFrame, k: int, keys=("entity",), seq=("ts",), state="state") -> DataFrame:
+    """(keys, history, p = 1): the last k states of each key, oldest first; keys with fewer are left out. One map-side
+    combined pass a step back, never a key's whole sequence in one task."""
+    order, rest, found = F.struct(*seq), df.select(*keys, *seq, state), []
+    for j in range(k):
+        top = rest.groupBy(*keys).agg(F.max(F.struct(*seq, F.col(state).alias("_s"))).alias(f"_t{j}"))
+        found.append(top)
+        if j + 1 < k:
+            rest = rest.join(top, list(keys)).where(order < F.struct(*[F.col(f"_t{j}.{c}") for c in seq])).select(*keys, *seq, state)
+    out = found[0]
+    for t in found[1:]:
+        out = out.join(t, list(keys))
+    return out.select(*keys, F.array(*[F.col(f"_t{j}._s") for j in reversed(range(k))]).alias("history"), F.lit(1.0).alias("p"))
+
+
 def stationary(matrix: DataFrame, by: list[str], tol: float = 1e-13, max_iter: int = 20000, rates: bool = False) -> DataFrame:
     """Stationary distribution per key. A group is one chain's matrix (states squared, not data rows).
     Rates are turned into I + Q/λ first."""

@@ -13,6 +13,8 @@ from tidemark.operators.regression import ols
 from tidemark.plans.ordered import over_rows, row_index, running
 
 K = ("symbol",)
+# Fixed value: 5% point of A² for a normal with estimated mean and variance (Stephens).
+ANDERSON_5 = 0.787
 
 
 def jarque_bera(df: DataFrame, col: str = "ret", keys=K) -> DataFrame:
@@ -39,13 +41,15 @@ def ks_normal(df: DataFrame, col: str = "ret", keys=K, split=False) -> DataFrame
 
 
 def anderson_darling(df: DataFrame, col: str = "ret", keys=K, split=False) -> DataFrame:
-    """A² against the normal. Pairing F_i with F_{n+1-i} is moved into the weight of 1-F_i, so each
+    """A² against the normal with both moments estimated, its 5% critical value for n rows and the verdict. Pairing F_i with F_{n+1-i} is moved into the weight of 1-F_i, so each
     row needs only its own rank."""
     r = _ranked(df, col, keys, 1, split)
     i, n, f = F.col("_i"), F.col("_n"), F.col("_f")
     term = (2 * i - 1) * F.log(f) + (2 * (n + 1 - i) - 1) * F.log(1 - f)
     out = r.groupBy(*keys).agg(F.sum(term).alias("_t"), F.max("_n").alias("n"))
-    return out.select(*keys, "n", (-F.col("n") - F.col("_t") / F.col("n")).alias("statistic"))
+    out = out.select(*keys, "n", (-F.col("n") - F.col("_t") / F.col("n")).alias("statistic"))
+    crit = F.round(ANDERSON_5 / (1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n"))), 3)
+    return out.withColumns({"critical_5": crit, "normal": F.col("statistic") < crit})
 
 
 def ljung_box(df: DataFrame, lags: int = 20, col: str = "ret", keys=K, split=False) -> DataFrame:
