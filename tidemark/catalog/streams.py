@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import register, sql
 from tidemark.plans import frames as X
 from tidemark.plans.session import read_table
-from tidemark.streaming import rules as R, ticks as T
+from tidemark.streaming import ordered as O, rules as R, ticks as T
 
 
 def _ticks(s, d):
@@ -122,3 +122,34 @@ register("SRC13_persisted_ticks", lambda s, d: T.drain(_ticks(s, d)).select("sym
 register("UD1_tick_functions",
          lambda s, d: T.drain(_ticks(s, d).select("symbol", "ts", F.explode(F.create_map(F.lit("double"), F.col("price") * 2, F.lit("root"), F.sqrt("price"))).alias("function", "result"))),
          sql("tk", "select symbol, ts, 'double' AS function, price * 2 result from tk union all select symbol, ts, 'root', sqrt(price) from tk"), "result")
+
+
+# late and out-of-order ticks: the table arrives in five micro-batches, every row up to an hour late
+_MARK = "(select date_trunc('millisecond', max(ts) - interval {d}) from {t})"
+_TM = f"select * from tk where ts <= {_MARK.format(d='2 hours', t='tk')}"
+
+
+def _late(s, d):
+    x = X.ticks(s, d)
+    path = O.arrivals(x, T.shared_folder(s, "late"), F.timestamp_micros(F.unix_micros("ts") + F.pmod(F.col("event_id") * 7919, F.lit(3600)) * 1000000), 5)
+    return s.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _users(s, d):
+    return T.file_stream(s, d, "events").select("user_id", "ts", "event_id", (F.col("value") + 10).alias("price"))
+
+
+register("ST5_late_ticks", lambda s, d: T.drain(O.ordered_rule(_late(s, d), ["symbol"], "ts", ["event_id"], R.RollingRisk(), ["symbol", "ts"], "2 hours")),
+         sql("tk", RISK.replace("from tk", "from tm"), tm=_TM), "var_95 vol")
+register("ST6_late_portfolio_risk",
+         lambda s, d: T.drain(O.ordered_rule(_late(s, d).join(_positions(s, d), "symbol").withColumn("bucket", F.date_trunc("hour", "ts").cast("string")), ["portfolio"], "ts", ["event_id"],
+                                             R.PortfolioRisk(), ["portfolio"], "2 hours").where("done is not null")),
+         sql("tk", "select * from o", tm=_TM, **{k: v.replace("from tk", "from tm") for k, v in _PR.items()}), _RC)
+register("ST9_late_previous_price", lambda s, d: T.drain(O.ordered_rule(_late(s, d), ["symbol"], "ts", ["event_id"], R.PreviousPrice(), ["symbol", "ts", "price"], "2 hours")),
+         sql("tk", "select symbol, ts, price, lag(price) over (partition by symbol order by ts, event_id) prev from tm", tm=_TM), "price:9 prev:9")
+_GAPS = "select *, sum(g) over (partition by user_id order by ts, event_id) k from (select user_id, ts, event_id, value + 10 price, (coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id), interval 0 second) > interval 1 day)::int g from events)"
+register("ST3_silent_keys", lambda s, d: T.drain(O.silent_keys(_users(s, d), ["user_id"], "ts", ["event_id"], R.Activity(), "1 day", "1 hour")),
+         f"""select user_id, min(ts) opened, max(ts) AS last, count(*) ticks, arg_min(price, (ts, event_id)) first_price, arg_max(price, (ts, event_id)) last_price from ({_GAPS}) group by user_id, k
+         having max(ts) + interval 1 day < {_MARK.format(d='1 hour', t='events')}""", "first_price:9 last_price:9")
+register("ST3_idle_restart", lambda s, d: T.drain(O.ordered_rule(_users(s, d), ["user_id"], "ts", ["event_id"], R.Activity(), ["user_id", "event_id"], "1 hour", "1 day")),
+         f"select user_id, event_id, row_number() over (partition by user_id, k order by ts, event_id) seen from ({_GAPS}) where ts <= {_MARK.format(d='1 hour', t='events')}")

@@ -53,6 +53,21 @@ class PreviousPrice:
         return price, (state,)
 
 
+class Activity:
+    """Ticks, first and last price of a key until it falls silent."""
+    inputs, outputs, closes = ["price"], "seen bigint", "ticks bigint, first_price double, last_price double"
+
+    def init(self):
+        return (0, None, None)
+
+    def advance(self, state, price):
+        n, first, _ = state
+        return (n + 1, price if n == 0 else first, price), (n + 1,)
+
+    def closing(self, state):
+        return state
+
+
 class FireOnce:
     """First crossing of an alert; later ones stay silent."""
     inputs, outputs = ["crossed"], "fired boolean"
