@@ -1,7 +1,7 @@
 """Streams run to completion over the event table (ST, SRC4, SRC5, UD1, UD2)."""
 from pyspark.sql import functions as F
 
-from tidemark.catalog.registry import register, sql
+from tidemark.catalog.registry import ORACLES, register, sql
 from tidemark.plans import frames as X
 from tidemark.plans.session import read_table
 from tidemark.streaming import ordered as O, rules as R, ticks as T
@@ -153,3 +153,14 @@ register("ST3_silent_keys", lambda s, d: T.drain(O.silent_keys(_users(s, d), ["u
          having max(ts) + interval 1 day < {_MARK.format(d='1 hour', t='events')}""", "first_price:9 last_price:9")
 register("ST3_idle_restart", lambda s, d: T.drain(O.ordered_rule(_users(s, d), ["user_id"], "ts", ["event_id"], R.Activity(), ["user_id", "event_id"], "1 hour", "1 day")),
          f"select user_id, event_id, row_number() over (partition by user_id, k order by ts, event_id) seen from ({_GAPS}) where ts <= {_MARK.format(d='1 hour', t='events')}")
+
+
+def _persisted(s, stream, name):
+    """A stream's rows as a table of micro-batches, a retried batch written over itself."""
+    out = T.shared_folder(s, "persisted")
+    T.process_batches(stream, {name: lambda df: df}, out)
+    return s.read.schema(stream.schema).parquet(f"{out}/{name}").select(*stream.columns)
+
+
+register("SRC13_persisted_bars", lambda s, d: _persisted(s, T.tick_bars(_ticks(s, d), "10 minutes", min_ticks=2), "bars"), ORACLES["ST1_tick_bars"], "open:9 high:9 low:9 close:9 vwap")
+register("SRC13_persisted_alerts", lambda s, d: _persisted(s, T.price_alerts(_ticks(s, d), _alerts(s, d)), "alerts"), ORACLES["ST8_price_alerts"], "price:9")
