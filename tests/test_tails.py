@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions.mathx import chi2_sf, t_two_sided
+from tidemark.operators import stats as S
 
 
 def chi2_even(x, df):
@@ -44,3 +45,13 @@ def test_edges_and_the_seam(spark):
                               t_two_sided(F.lit(1.3), F.lit(1e7)).alias("c"), t_two_sided(F.lit(1.3), F.lit(1e7 + 1)).alias("d")).first()
     assert (r.zero, r.null, r.none) == (1.0, None, None)
     assert abs(r.a - r.b) < 1e-7 and abs(r.c - r.d) < 1e-7
+
+
+def test_independence_of_many_rows(spark, monkeypatch):
+    cells = [(0, 0, 400_000_000), (0, 1, 100_000_000), (1, 0, 100_000_000)]  # one cell of four is empty
+    monkeypatch.setattr(S, "contingency", lambda *a: spark.createDataFrame(cells, "bx int, by int, n long"))
+    got = S.independence(None, "x", "y").first()
+    e = {(i, j): r * c / 600_000_000 for i, r in enumerate((500_000_000, 100_000_000)) for j, c in enumerate((500_000_000, 100_000_000))}
+    n = {(i, j): k for i, j, k in cells}
+    np.testing.assert_allclose(got.statistic, sum((n.get(k, 0) - v) ** 2 / v for k, v in e.items()), rtol=1e-12)
+    assert got.df == 1
