@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import mathx as M
+from tidemark.functions import mathx as M, scalar as SC
 from tidemark.operators import aggregate as G, backtest as B, clean as C, dependence as D, indicators as I, markov as K, paths as P, portfolio as PF, quality as Q, regimes as R, risk, stress as S
 from tidemark.sources import readers, writers
 from tidemark.streaming import rules, ticks as T
@@ -31,6 +31,13 @@ def test_normal_functions(spark):
     assert abs(row.a - 0.05) < 1e-3 and abs(row.b - 0.05) < 1e-5
 
 
+def test_fixed_decimals_round_the_double(spark):
+    xs = [14.85 / 99, 0.25, 0.35, 0.75, -0.05, -0.04, 0.0, 1234567.05, 2.5]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(SC.fixed(F.col("x"), 1, "%").alias("a"), SC.fixed(F.col("x"), 0).alias("b"), SC.format_magnitude(F.col("x"), 1).alias("m")).toPandas()
+    assert got.a.tolist() == [f"{x:.1f}%" for x in xs] and got.b.tolist() == [f"{x:.0f}" for x in xs]
+    assert got.m.tolist() == [f"{x / 1e6:.1f}M" if x >= 1e6 else f"{x:.1f}" for x in xs]
+
+
 def test_constant_prices_and_empty(spark):
     flat = bars(spark, [5.0] * 30)
     assert I.drawdown(flat).agg(F.min("drawdown")).first()[0] == 0.0
