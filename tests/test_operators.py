@@ -181,6 +181,14 @@ def test_order_ledger_by_hand(spark):
     assert lone.held == 0.0 and lone.realized == 2750.0
 
 
+def test_weighted_scores_at_their_limit(spark):
+    from tidemark.operators import esg as E
+    w = spark.createDataFrame([(n, f"S{i}", 1 / n) for n in (9, 39, 42, 57) for i in range(n)], "portfolio int, symbol string, weight double")
+    s = spark.createDataFrame([(f"S{i}", 5.0, 900.0) for i in range(57)], "symbol string, overall_score double, carbon_intensity double")
+    got = E.weighted_scores(w, s, 5.0, 900.0).toPandas()
+    assert (got.esg_score == 5).all() and got.score_ok.all()
+
+
 def test_kendall_with_ties(spark):
     rng = np.random.default_rng(4)
     u, v = rng.integers(0, 40, 300) / 10, rng.integers(0, 40, 300) / 10

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions.scalar import steady_sum
 from tidemark.operators.stress import pick
 
 # Climate scenarios.
@@ -67,6 +68,6 @@ def adjusted_returns(rets: DataFrame, esg: DataFrame, key: str = "portfolio") ->
 def weighted_scores(weights: DataFrame, scores: DataFrame, min_score: float, max_carbon: float, key: str = "portfolio") -> DataFrame:
     """Weighted ESG score and carbon (defaults 5 and 1000) with constraint flags."""
     j = weights.join(scores.select("symbol", "overall_score", "carbon_intensity"), "symbol", "left")
-    out = j.groupBy(key).agg(F.sum(F.col("weight") * F.coalesce("overall_score", F.lit(5.0))).alias("esg_score"),
-                             F.sum(F.col("weight") * F.coalesce("carbon_intensity", F.lit(1000.0))).alias("carbon"))
+    out = j.groupBy(key).agg(steady_sum(F.col("weight") * F.coalesce("overall_score", F.lit(5.0))).alias("esg_score"),
+                             steady_sum(F.col("weight") * F.coalesce("carbon_intensity", F.lit(1000.0))).alias("carbon"))
     return out.withColumns({"score_ok": F.col("esg_score") >= min_score, "carbon_ok": F.col("carbon") <= max_carbon})
