@@ -170,6 +170,19 @@ def test_block_paths_match_theory(spark):
         assert abs(got[2] - q) < 2e-3 and abs(got[1]) < 1e-3 and got[0] < 0
 
 
+def test_block_contracts_equal_those_of_path_rows(spark):
+    p = spark.createDataFrame([(f"S{i}", 90.0 + i, 0.05, 0.2) for i in range(5)], "symbol string, s0 double, mu double, sigma double")
+    book = [("a", "european", "call", 95.0, None, None), ("b", "asian", "put", 95.0, None, 0.0), ("c", "asian_geo", "put", 95.0, None, 0.0), ("d", "up-and-out", "call", 90.0, 120.0, 3.0),
+            ("e", "down-and-in", "put", 95.0, 80.0, None), ("f", "down-and-in", "put", 95.0, None, 2.0), ("g", "up-and-out", "put", None, 100.0, 1.0), ("h", "up-and-out", "put", 99.0, None, 1.0)]
+    c = spark.createDataFrame([(f"S{i}", *b) for i in range(5) for b in book], "symbol string, contract string, style string, kind string, strike double, barrier double, rebate double")
+    rows = P.path_stats(p, 250, 12, block=100)
+    values = P.contract_values(rows, c)
+    assert "BroadcastHashJoin" not in values._jdf.queryExecution().executedPlan().toString()  # path rows, taken for small, were broadcast
+    key = ["symbol", "contract"]
+    want, got = (x.toPandas().sort_values(key).reset_index(drop=True) for x in (values, P.block_contract_values(p, c, 250, 12, block=100)))
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-12)
+
+
 def test_order_ledger_by_hand(spark):
     o = [(1, "A", 1, "buy", 100.0, 50.0), (1, "A", 2, "sell", 50.0, 55.0), (1, "A", 3, "sell", 80.0, 60.0), (1, "B", 4, "buy", 1000.0, 10.0), (1, "A", 5, "sell", 50.0, 60.0)]
     df = spark.createDataFrame(o, "portfolio long, symbol string, seq int, action string, quantity double, price double").withColumn("ts", F.timestamp_seconds("seq"))

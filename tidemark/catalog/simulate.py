@@ -61,7 +61,7 @@ register("MC3_contract_book", lambda s, d: P.contract_values(_long_stats(s, d),
 register("MC4_delta", lambda s, d: P.delta(_long_stats(s, d), contracts(s, d)),
          sql("mp", "select symbol, contract, (b.price - a.price) / (s0 * 0.01) delta from v a join w b using (symbol, contract) join mp using (symbol)", zz=_Z, px=_PX, pa=_PALL, st=_ST, v=_PAY.format(src="st"),
              w=_PAY.format(src="(select symbol, s0, terminal * 1.01::double terminal, mean * 1.01::double mean, geo * 1.01::double geo, high * 1.01::double high, low * 1.01::double low from st)")), "delta")
-register("MC3_block_contract_book", lambda s, d: P.contract_values(P.path_stats(params(s, d), 2000, 52), contracts(s, d)))
+register("MC3_block_contract_book", lambda s, d: P.block_contract_values(params(s, d), contracts(s, d), 2000, 52))
 _E = "exp(-0.03) * greatest(s0 * exp(({mu} - sigma * sigma / 2) + sigma * {z}) - s0, 0)"
 register("MC5_variance_reduction", lambda s, d: P.reduction_estimators(params(s, d), 200, 0.03, 1.0, 0.08),
          sql("mp", """select *, plain_var / antithetic_var antithetic_ratio, plain_var / control_var control_ratio, plain_var / importance_var importance_ratio from (select symbol, avg(p) plain, var_pop(p) plain_var, avg((p + q) / 2) antithetic,

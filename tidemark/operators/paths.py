@@ -60,30 +60,33 @@ def price_paths(params: DataFrame, n_paths: int, n_steps: int, years: float = 1.
 STATS = "symbol string, path_id long, s0 double, mu double, sigma double, terminal double, mean double, geo double, high double, low double"
 
 
+def _draw(r, m: int, n_steps: int, years: float, seed: int) -> dict[str, np.ndarray]:
+    """Statistics of the `m` paths of a unit (symbol, block)."""
+    dt = years / n_steps
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, zlib.crc32(str(r.symbol).encode()), int(r.block)])))
+    x = rng.standard_normal((m, n_steps))
+    x *= r.sigma * math.sqrt(dt)
+    x += (r.mu - r.sigma ** 2 / 2) * dt
+    np.cumsum(x, axis=1, out=x)
+    lo, hi, geo = np.minimum(x.min(1), 0.0), np.maximum(x.max(1), 0.0), x.sum(1) / (n_steps + 1)
+    end = x[:, -1].copy()
+    np.exp(x, out=x)
+    return {"terminal": r.s0 * np.exp(end), "mean": r.s0 * (x.sum(1) + 1) / (n_steps + 1), "geo": r.s0 * np.exp(geo), "high": r.s0 * np.exp(hi), "low": r.s0 * np.exp(lo)}
+
+
 def path_stats(params: DataFrame, n_paths: int, n_steps: int, years: float = 1.0, seed: int = 1, block: int = 4096) -> DataFrame:
     """One row per path: terminal, arithmetic and geometric mean (start included), high, low.
 
     Work is cut into (symbol, block) units that spread over the cluster; a unit draws `block` paths
     as one matrix and never leaves its task.
     """
-    dt = years / n_steps
     n_blocks = math.ceil(n_paths / block)
 
     def run(frames):
         for f in frames:
             for r in f.itertuples(index=False):
-                m = min(block, n_paths - r.block * block)
-                rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, zlib.crc32(str(r.symbol).encode()), int(r.block)])))
-                x = rng.standard_normal((m, n_steps))
-                x *= r.sigma * math.sqrt(dt)
-                x += (r.mu - r.sigma ** 2 / 2) * dt
-                np.cumsum(x, axis=1, out=x)
-                lo, hi, geo = np.minimum(x.min(1), 0.0), np.maximum(x.max(1), 0.0), x.sum(1) / (n_steps + 1)
-                end = x[:, -1].copy()
-                np.exp(x, out=x)
-                yield pd.DataFrame({"symbol": r.symbol, "path_id": r.block * block + np.arange(m), "s0": r.s0, "mu": r.mu, "sigma": r.sigma,
-                                    "terminal": r.s0 * np.exp(end), "mean": r.s0 * (x.sum(1) + 1) / (n_steps + 1), "geo": r.s0 * np.exp(geo),
-                                    "high": r.s0 * np.exp(hi), "low": r.s0 * np.exp(lo)})
+                x = _draw(r, min(block, n_paths - r.block * block), n_steps, years, seed)
+                yield pd.DataFrame({"symbol": r.symbol, "path_id": r.block * block + np.arange(len(x["terminal"])), "s0": r.s0, "mu": r.mu, "sigma": r.sigma, **x})
 
     units = params.select("symbol", F.col("s0").cast("double").alias("s0"), F.col("mu").cast("double").alias("mu"), F.col("sigma").cast("double").alias("sigma"),
                           F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
@@ -154,7 +157,7 @@ def contract_values(stats: DataFrame, contracts: DataFrame, rate: float = 0.05,
     down-and-in), kind (call, put), strike, barrier, rebate.
     """
     c = F.col
-    j = stats.join(contracts, "symbol")
+    j = stats.join(contracts.hint("merge"), "symbol")  # the size of drawn paths is not known before they are drawn: never broadcast
     level = F.when(c("style") == "asian", c("mean")).when(c("style") == "asian_geo", c("geo")).otherwise(c("terminal"))
     plain = F.greatest(F.when(c("kind") == "call", level - c("strike")).otherwise(c("strike") - level), F.lit(0.0))
     hit = F.when(c("style").startswith("up"), c("high") >= c("barrier")).when(c("style").startswith("down"), c("low") <= c("barrier"))
@@ -165,6 +168,57 @@ def contract_values(stats: DataFrame, contracts: DataFrame, rate: float = 0.05,
                                                F.avg(hit.cast("double")).alias("hit_rate"))
 
 
+def _payoffs(r, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Payoff of a contract on each path, and whether its barrier was hit; NaN stands for null, as in `contract_values`."""
+    style = r.style if isinstance(r.style, str) else ""
+    level = x["mean"] if style == "asian" else x["geo"] if style == "asian_geo" else x["terminal"]
+    plain = np.fmax(level - r.strike if r.kind == "call" else r.strike - level, 0.0)
+    hit = None
+    if r.barrier == r.barrier and style.startswith(("up", "down")):
+        hit = x["high"] >= r.barrier if style.startswith("up") else x["low"] <= r.barrier
+    if style.endswith("-out") and hit is not None:
+        return np.where(hit, r.rebate, plain), hit
+    if style.endswith("-in"):
+        return np.where(hit, plain, r.rebate) if hit is not None else np.full(len(plain), r.rebate), hit
+    return plain, hit
+
+
+def block_contract_values(params: DataFrame, contracts: DataFrame, n_paths: int, n_steps: int, rate: float = 0.05, years: float = 1.0,
+                          seed: int = 1, block: int = 4096) -> DataFrame:
+    """`contract_values` of `path_stats` without a row per path: a unit (symbol, block) meets its contracts before it is drawn,
+    and hands on count, mean, squared deviations and hits per contract."""
+    n_blocks = math.ceil(n_paths / block)
+
+    def run(frames):
+        unit, x = None, None
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                if (r.symbol, r.block) != unit:
+                    unit, x = (r.symbol, r.block), _draw(r, min(block, n_paths - r.block * block), n_steps, years, seed)
+                pay, hit = _payoffs(r, x)
+                mean = float(pay.mean())
+                out.append((r.symbol, r.contract, len(pay), mean, float(((pay - mean) ** 2).sum()), 0 if hit is None else len(hit), 0 if hit is None else int(hit.sum())))
+            if out:
+                yield pd.DataFrame(out, columns=["symbol", "contract", "n", "mean", "dev", "judged", "hits"])
+
+    num = lambda c: F.col(c).cast("double").alias(c)
+    units = (params.select("symbol", num("s0"), num("mu"), num("sigma"))
+             .join(contracts.select("symbol", "contract", "style", "kind", num("strike"), num("barrier"), F.coalesce(F.col("rebate").cast("double"), F.lit(0.0)).alias("rebate")), "symbol")
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    tasks = max(int(params.sparkSession.conf.get("spark.sql.shuffle.partitions")), params.sparkSession.sparkContext.defaultParallelism * 2)
+    kind = contracts.schema["contract"].dataType.simpleString()
+    parts = units.repartition(tasks, "symbol", "block").sortWithinPartitions("symbol", "block").mapInPandas(
+        run, f"symbol string, contract {kind}, n long, mean double, dev double, judged long, hits long")
+    n, disc = F.col("_n"), math.exp(-rate * years)
+    g = parts.groupBy("symbol", "contract").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("mean")).alias("_s"), F.sum("dev").alias("_w"),
+                                                F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_q"), F.sum("judged").alias("_j"), F.sum("hits").alias("_h"), F.count(F.lit(1)).alias("_b"))
+    mean = F.col("_s") / n
+    between = F.when(F.col("_b") > 1, F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))).otherwise(0.0)
+    return g.select("symbol", "contract", (disc * mean).alias("price"), (disc * F.sqrt(F.col("_w") / n + between) / F.sqrt(n)).alias("standard_error"),
+                    F.try_divide(F.col("_h").cast("double"), F.col("_j").cast("double")).alias("hit_rate"))
+
+
 def delta(stats: DataFrame, contracts: DataFrame, rate: float = 0.05, years: float = 1.0, bump: float = 0.01) -> DataFrame:
     """Finite-difference delta: the same draws scaled by 1 + bump."""
     up = stats.withColumns({k: F.col(k) * (1 + bump) for k in ("terminal", "mean", "geo", "high", "low")})
