@@ -251,6 +251,14 @@ def test_files_round_trip(spark, tmp_path):
     assert {r.portfolio: r["var"] for r in spark.read.parquet(str(tmp_path / "risk")).collect()} == {1: 0.9, 2: 0.2}
 
 
+def test_one_file_per_symbol(spark, tmp_path):
+    df = spark.range(4000).repartition(16).select(F.concat(F.lit("S"), F.col("id") % 20).alias("symbol"), F.col("id").alias("volume"))
+    for fmt in ("csv", "json"):
+        writers.write_results(df, str(tmp_path / fmt), fmt, per_symbol=True)
+        assert len(list((tmp_path / fmt).glob(f"symbol=*/*.{fmt}"))) == 20
+        assert spark.read.schema("volume long, symbol string").option("header", True).format(fmt).load(str(tmp_path / fmt)).exceptAll(df.select("volume", "symbol")).count() == 0
+
+
 def test_upsert_keeps_other_rows_and_takes_the_newest(spark, tmp_path):
     out = str(tmp_path / "risk")
     rows_ = lambda *r: spark.createDataFrame(list(r), "portfolio int, calculation_date string, var double, loaded int")

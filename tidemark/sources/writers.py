@@ -7,6 +7,12 @@ from tidemark.plans.session import materialized
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", per_symbol: bool = False, mode: str = "overwrite") -> None:
+    """`per_symbol` gives each symbol a folder with one file: a symbol is dealt to one task, which sorts and streams it. Files
+    grow with the symbols, not with symbols times tasks."""
+    if per_symbol:
+        spark = df.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        df = df.repartition(n, "symbol")  # a fixed number: small tables with many symbols are not put into one task
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
