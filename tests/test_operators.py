@@ -96,6 +96,23 @@ def test_covariance_blocks(spark):
         assert abs(cov - want) < 1e-10
 
 
+def test_pair_blocks_are_whole_and_bounded(spark):
+    rng = np.random.default_rng(4)
+    m = pd.DataFrame(rng.normal(size=(9, 60)), columns=[f"S{i}" for i in range(60)]).mask(rng.random((9, 60)) < 0.5)
+    long = m.reset_index().melt("index", var_name="symbol", value_name="ret").rename(columns={"index": "ts"}).dropna()
+    sums = G.pair_sums(spark.createDataFrame(long), blocks=6)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "sum(" not in plan  # blocks meet in one shuffle, and no pair is shuffled
+    got = sums.toPandas().set_index(["sym_i", "sym_j"]).sort_index()
+    have = m.notna().astype(int)
+    n = have.T @ have
+    want = [(a, b) for a in n for b in n if a <= b and n.loc[a, b] > 0]
+    assert sorted(got.index) == sorted(want)
+    for a, b in want[::17]:
+        both = m.loc[(have[a] > 0) & (have[b] > 0)]
+        np.testing.assert_allclose(got.loc[(a, b)].tolist(), [len(both), both[a].sum(), both[b].sum(), (both[a] ** 2).sum(), (both[b] ** 2).sum(), (both[a] * both[b]).sum()], rtol=1e-9, atol=1e-12)
+
+
 def test_risk_shares_and_brinson(spark):
     cov = spark.createDataFrame([("A", "A", .04), ("A", "B", .01), ("B", "B", .09)], "sym_i string, sym_j string, cov double")
     w = PF.normalize(spark.createDataFrame([(1, "A", 3.0), (1, "B", 1.0), (2, "A", 0.0), (2, "B", 0.0)], "portfolio long, symbol string, weight double"))
