@@ -345,6 +345,29 @@ def test_stream_equals_batch_and_late_rows(spark, tmp_path):
         pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 
+def test_rows_of_a_key_are_held_compact():
+    import tracemalloc
+    rng, n = np.random.default_rng(3), 200_000
+    f = pd.DataFrame({"k": "a", "ts": DAY + pd.to_timedelta(rng.permutation(n), unit="s"), "bucket": [f"hour {i}" for i in rng.integers(0, 50, n)], "price": rng.random(n)})
+    f.loc[7, "bucket"], f.loc[9, "price"] = None, np.nan
+    want = f.sort_values(["bucket", "ts"]).reset_index(drop=True)
+    frames = [f.iloc[i:i + 10_000] for i in range(0, n, 10_000)]
+    proc = T._RuleProcessor(["k"], {}, ["bucket", "ts"], rules.PreviousPrice(), ["k", "ts", "bucket"], ["prev"], None)
+    proc.state = type("State", (), {"exists": lambda self: False, "update": lambda self, v: None})()
+    tracemalloc.start()
+    got, most = [], 0
+    for piece in proc.handleInputRows(("a",), iter(frames), None):
+        most = max(most, len(piece))
+        got.append(piece.assign(bucket=piece["bucket"].astype("category"), k=piece["k"].astype("category")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = pd.concat([g.astype({"bucket": object, "k": object}) for g in got], ignore_index=True)
+    assert most <= 10_000 and peak < n * 150, peak  # bytes
+    assert got["ts"].tolist() == want["ts"].tolist() and (got["k"] == "a").all()
+    assert got["bucket"].fillna("").tolist() == want["bucket"].fillna("").tolist()
+    np.testing.assert_array_equal(got["prev"].to_numpy(dtype=float), want["price"].shift().to_numpy())
+
+
 def test_registry_contract():
     import __spark_entry__ as e
     q, o = e.queries(), e.oracle_sql()

@@ -6,6 +6,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -56,6 +57,53 @@ def batch_rule(df: DataFrame, keys: list[str], order: list[str], rule, keep: lis
     return stepwise(df, keys, order, rule.init, rule.advance, rule.inputs, keep, rule.outputs)
 
 
+class _Rows:
+    """Rows of one key in a micro-batch, column by column: numbers and times as arrays, other values as codes of a dictionary.
+    Only a piece of them at a time becomes Python values."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.parts, self.words, self.whole = columns, {c: [] for c in columns}, {}, set()
+
+    def add(self, f: pd.DataFrame) -> None:
+        for c in self.columns:
+            x = f[c]
+            if isinstance(x.dtype, np.dtype) and x.dtype != object:
+                self.parts[c].append(x.to_numpy().copy())  # not a view that keeps the batch
+                continue
+            if c not in self.whole:
+                try:
+                    code, found = pd.factorize(x)
+                    words = self.words.setdefault(c, {})
+                    self.parts[c].append(np.array([*[words.setdefault(v, len(words)) for v in found], -1], dtype=np.int32)[code])
+                    continue
+                except TypeError:  # lists and structs have no hash
+                    self.whole.add(c)
+            self.parts[c].append(x.to_numpy(dtype=object))
+
+    def _values(self, c: str, x: np.ndarray) -> np.ndarray:
+        if c not in self.words:
+            return x
+        words = np.empty(len(self.words[c]) + 1, dtype=object)
+        words[:-1] = list(self.words[c])
+        return words[x]
+
+    def _rank(self, c: str, x: np.ndarray) -> np.ndarray:
+        if c not in self.words:
+            return x
+        place = {w: i for i, w in enumerate(sorted(self.words[c]))}
+        return np.array([*[place[w] for w in self.words[c]], len(place)])[x]
+
+    def pieces(self, order: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+        """The rows sorted by `order`, nulls last; ends with the rows given up."""
+        if not self.parts[self.columns[0]]:
+            return
+        columns = {c: np.concatenate(self.parts.pop(c)) for c in self.columns}
+        at = np.lexsort([self._rank(c, columns[c]) for c in reversed(order)])
+        for lo in range(0, len(at), size):
+            i = at[lo:lo + size]
+            yield pd.DataFrame({c: self._values(c, columns[c][i]) for c in self.columns})
+
+
 class _RuleProcessor(StatefulProcessor):
     """Runs a rule over the rows of one key, micro-batch by micro-batch; state expires after `ttl` ms of silence."""
 
@@ -66,17 +114,22 @@ class _RuleProcessor(StatefulProcessor):
         self.state = handle.getValueState("rule", "blob binary", **({"ttlDurationMs": self.ttl} if self.ttl else {}))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values(self.order)
+        held = dict(zip(self.keys, key))  # the same in every row
+        got_rows = _Rows([c for c in dict.fromkeys([*self.order, *self.rule.inputs, *self.keep]) if c not in held or c in self.order])
+        for f in rows:
+            got_rows.add(f)
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.rule.init()
-        out = []
-        for row in zip(*[f[c].tolist() for c in self.rule.inputs]):
-            state, got = self.rule.advance(state, *row)
-            out.append(got)
+        for f in got_rows.pieces(self.order):
+            f = f.assign(**{c: v for c, v in held.items() if c not in f and (c in self.keep or c in self.rule.inputs)})
+            out = []
+            for row in zip(*[f[c].tolist() for c in self.rule.inputs]):
+                state, got = self.rule.advance(state, *row)
+                out.append(got)
+            result = f[self.keep].copy()
+            for i, n in enumerate(self.names):
+                result[n] = [r[i] for r in out]
+            yield result
         self.state.update((pickle.dumps(state),))
-        result = f[self.keep].reset_index(drop=True)
-        for i, n in enumerate(self.names):
-            result[n] = [r[i] for r in out]
-        yield result
 
     def close(self):
         pass
