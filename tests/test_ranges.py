@@ -91,6 +91,32 @@ def test_portfolio_returns_by_blocks(spark, cells, portfolios, dates):
     assert portfolio_returns(a.limit(0), b).count() == 0 and portfolio_returns(a, b.limit(0)).count() == 0
 
 
+def test_returns_go_only_where_their_symbol_is_held(spark):
+    """Portfolios that share no symbol: a symbol's returns meet one or two ranges of portfolios, not every block of them."""
+    from tidemark.operators import align
+    r = spark.range(4000).selectExpr("concat('s', id div 20) symbol", "timestamp_seconds(id % 20) ts", "1.0D ret")
+    w = spark.range(2000).selectExpr("id div 2 portfolio", "concat('s', id div 10) symbol", "0.5D weight").repartitionByRange(10, "portfolio").withColumn("_p", F.spark_partition_id())
+    right, left = align._met(r, w, 1)
+    assert right.count() <= 2 * 200 and right.selectExpr("sum(size(entries)) n").first().n <= 2 * 4000
+    assert left.count() == 2000 and left.select("_p").distinct().count() == 10
+    got = align.portfolio_returns(r, w.drop("_p"))
+    assert got.count() == 1000 * 20 and got.where("ret != 1").count() == 0
+
+
+def test_a_portfolio_goes_on_in_the_next_piece(spark, monkeypatch):
+    """Terms are bounded per piece: a portfolio with more of them is summed over pieces and batches."""
+    import pyarrow as pa
+    from tidemark.operators import align
+    monkeypatch.setattr(align, "_TERMS", 4)
+    kind = pa.list_(pa.struct([("ts", pa.int64()), ("ret", pa.float64())]))
+    names = ["_p", "_d", "_side", "portfolio", "symbol", "weight", "entries"]
+    rows = [(0, 0, 0, None, s, None, [{"ts": t, "ret": float(t + 1)} for t in range(3)]) for s in "abc"] + [(0, 0, 1, p, s, 1.0, None) for p in (None, 1, 2) for s in "abcd"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.float64(), kind]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 2]), kinds)], names=names) for i in range(0, len(rows), 2)]
+    got = [tuple(x.values()) for b in align._products(iter(batches)) for x in b.to_pylist()]
+    assert sorted(got, key=str) == sorted([(p, t, 3.0 * (t + 1)) for p in (None, 1, 2) for t in range(3)], key=str)
+
+
 def test_filtered_volatility_equals_the_rule(spark):
     from tidemark.streaming.rules import VolatilityFilter
     from tidemark.streaming.ticks import filtered_volatility

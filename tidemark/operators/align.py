@@ -1,10 +1,13 @@
 """Joins of the analytics model: alignment, lookups with defaults, as-of, calendars."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.plans.ordered import row_index, running
 from tidemark.plans.session import materialized
@@ -83,48 +86,120 @@ def missing_day_gaps(df: DataFrame, min_days: int = 2, business: bool = False) -
     return out.drop("_g").where(F.date_diff("end", "start") >= min_days)
 
 
-def _product(key: tuple, w: pa.Table, r: pa.Table) -> pa.Table:
-    """One block of portfolios times one block of dates, as two dense products: the sums, and whether there is a term."""
-    if not w.num_rows or not r.num_rows:
-        return pa.table({"portfolio": w["portfolio"].slice(0, 0), "ts": r["ts"].slice(0, 0), "ret": pa.array([], pa.float64())})
-    symbols = pa.chunked_array([*w["symbol"].chunks, *r["symbol"].chunks]).combine_chunks().dictionary_encode()
-    portfolios, dates = (t[c].combine_chunks().dictionary_encode(null_encoding="encode") for t, c in ((w, "portfolio"), (r, "ts")))
-    at, n = symbols.indices.to_numpy(), len(symbols.dictionary)
-
-    def dense(rows: int, i: np.ndarray, j: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m, known = np.zeros((rows, n)), np.zeros((rows, n), np.float32)
-        np.add.at(m, (i, j), values)
-        known[i, j] = 1
-        return m, known
-
-    a, ka = dense(len(portfolios.dictionary), portfolios.indices.to_numpy(), at[:w.num_rows], w["weight"].to_numpy())
-    b, kb = dense(len(dates.dictionary), dates.indices.to_numpy(), at[w.num_rows:], r["ret"].to_numpy())
-    i, j = np.nonzero(ka @ kb.T)
-    return pa.table({"portfolio": portfolios.dictionary.take(pa.array(i)), "ts": dates.dictionary.take(pa.array(j)), "ret": (a @ b.T)[i, j]})
-
-
-def portfolio_returns(rets: DataFrame, weights: DataFrame, cells: int = 1 << 22, portfolios: int = 2048, dates: int = 512) -> DataFrame:
+#: Products of a weight and a return that a task holds at once.
+_TERMS = 1 << 21
+
+
+class _Returns:
+    """Returns of one block: the entries of a symbol lie side by side, dates are codes."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        self.symbols, lists = rows["symbol"].combine_chunks(), rows["entries"].combine_chunks()
+        stop = np.cumsum(lists.value_lengths().to_numpy())
+        self.size = np.diff(stop, prepend=0)
+        self.start = stop - self.size
+        ts, ret = lists.flatten().flatten()
+        coded = ts.dictionary_encode(null_encoding="encode")
+        self.days, self.day, self.ret = coded.dictionary, coded.indices.to_numpy().astype(np.int64), ret.to_numpy()
+
+    def sums(self, own: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of `n` portfolios (`own`) on symbols (`at`) -> the weighted sums per portfolio and date, and whether there is a term."""
+        size = self.size[at]
+        i = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(own * len(self.days), size) + self.day[i]
+        shape = (n, len(self.days))
+        return (np.bincount(cell, np.repeat(weight, size) * self.ret[i], n * len(self.days)).reshape(shape), np.bincount(cell, minlength=n * len(self.days)).reshape(shape) > 0)
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, each with its returns first and then its weights by portfolio -> portfolio, ts, ret. Weights stream; a portfolio
+    that goes on in the next piece hands on one row of sums."""
+    block, parts, rets, held = None, [], None, None
+
+    def rows(portfolios: pa.Array, sums: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(known)
+        return pa.RecordBatch.from_arrays([portfolios.take(pa.array(i)), rets.days.take(pa.array(j)), pa.array(sums[i, j])], names=["portfolio", "ts", "ret"])
+
+    for batch in batches:
+        mark = np.stack([batch.column(c).to_numpy() for c in ("_p", "_d", "_side")])
+        cuts = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = batch.slice(lo, hi - lo)
+            if block != (own := tuple(mark[:2, lo].tolist())):
+                if held:
+                    yield rows(*held)
+                block, parts, rets, held = own, [], None, None
+            if mark[2, lo] == 0:
+                parts.append(part.select(["symbol", "entries"]))
+                continue
+            if rets is None:
+                if not parts:  # none of the block's symbols has a return
+                    continue
+                rets, parts = _Returns(parts), []
+            at = pc.index_in(part["symbol"], value_set=rets.symbols)
+            part, at = part.filter(at.is_valid()), at.drop_null().to_numpy()
+            if not len(at):
+                continue
+            coded = part["portfolio"].dictionary_encode(null_encoding="encode")  # sorted, so codes ascend
+            code, weight = coded.indices.to_numpy().astype(np.int64), part["weight"].to_numpy()
+            upto, most = np.cumsum(rets.size[at]), max(1, _TERMS // len(rets.days))
+            a = 0
+            while a < len(at):
+                b = max(a + 1, min(np.searchsorted(upto, upto[a] + _TERMS, side="right"), np.searchsorted(code, code[a] + most)))
+                names = coded.dictionary.slice(code[a], code[b - 1] - code[a] + 1)
+                sums, known = rets.sums(code[a:b] - code[a], at[a:b], weight[a:b], len(names))
+                if held and held[0].equals(names.slice(0, 1)):
+                    sums[0] += held[1][0]
+                    known[0] |= held[2][0]
+                elif held:
+                    yield rows(*held)
+                if len(names) > 1:
+                    yield rows(names.slice(0, len(names) - 1), sums[:-1], known[:-1])
+                held, a = (names.slice(len(names) - 1), sums[-1:].copy(), known[-1:].copy()), b
+    if held:
+        yield rows(*held)
+
+
+def _met(r: DataFrame, w: DataFrame, down: int) -> tuple[DataFrame, DataFrame]:
+    """Returns and weights as rows of blocks (_p, _d): a symbol's returns go to the blocks of portfolios that hold it."""
+    day = F.pmod(F.xxhash64("ts"), F.lit(down)).cast("int")
+    packed = r.groupBy("symbol", day.alias("_d")).agg(F.collect_list(F.struct("ts", "ret")).alias("entries"))
+    kind = packed.schema["entries"].dataType.simpleString()
+    left = w.select("_p", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_d"), F.lit(1).alias("_side"), "portfolio", "symbol", "weight", F.lit(None).cast(kind).alias("entries"))
+    right = w.select("_p", "symbol").distinct().join(packed, "symbol").select(
+        "_p", "_d", F.lit(0).alias("_side"), F.lit(None).cast(w.schema["portfolio"].dataType).alias("portfolio"), "symbol", F.lit(None).cast("double").alias("weight"), "entries")
+    return right, left
+
+
+def portfolio_returns(rets: DataFrame, weights: DataFrame, cells: int = 1 << 22, portfolios: int = 16_384, dates: int = 4096) -> DataFrame:
     """Weighted sum of aligned returns: (portfolio, ts, ret), for dates on which a held symbol has a return.
 
-    A product of the matrices portfolio x symbol and symbol x date. Blocks of at most about `portfolios` portfolios meet
-    blocks of `dates` dates, fewer where there are more symbols than `cells` allows, so that a block is some tens of
-    megabytes whatever the data. A return is sent once per block of portfolios and a weight once per block of dates;
-    no (weight, return) pair ever becomes a row, and each result row is made in one place. Null weights and returns
-    are absent ones, as are null symbols; repeated rows add up. The two inputs are written once and counted when the plan is built.
+    A product of two sparse matrices, portfolio x symbol and symbol x date. Ranges of at most about `portfolios` portfolios
+    meet blocks of at most about `dates` dates, fewer where a range's symbols have more than `cells` returns. A task holds the
+    returns of a block, some tens of megabytes whatever the data; the weights stream past, portfolio by portfolio. The returns
+    of a symbol are sent once per range of portfolios that holds it and a weight once per block of dates; no (weight, return)
+    pair ever becomes a row, and each result row is made in one place. Null weights and returns are absent ones, as are null
+    symbols; repeated rows add up. The two inputs are written once and counted when the plan is built.
     """
-    r = materialized(rets.where("ret is not null and symbol is not null").select("symbol", "ts", F.col("ret").cast("double").alias("ret")))
-    w = materialized(weights.where("weight is not null and symbol is not null").select("portfolio", "symbol", F.col("weight").cast("double").alias("weight")))
-    n_symbols, n_dates = r.agg(F.approx_count_distinct("symbol"), F.approx_count_distinct("ts")).first()
-    n_portfolios = w.agg(F.approx_count_distinct("portfolio")).first()[0]
-    side = max(1, cells // max(1, n_symbols))
-    across, down = (max(1, -(-n // min(most, side))) for n, most in ((n_portfolios, portfolios), (n_dates, dates)))
     spark = rets.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(across * down, 10_000))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    r = materialized(rets.where("ret is not null and symbol is not null").groupBy("symbol", "ts").agg(F.sum(F.col("ret").cast("double")).alias("ret")))
+    known = weights.where("weight is not null and symbol is not null").select("portfolio", "symbol", F.col("weight").cast("double").alias("weight"))
 
-    def copies(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    def ranged(rows: DataFrame, across: int) -> DataFrame:
+        return materialized(rows.repartitionByRange(across, "portfolio").withColumn("_p", F.spark_partition_id()))
 
-    left = w.select("*", F.pmod(F.xxhash64("portfolio"), F.lit(across)).cast("int").alias("_p"), copies(down).alias("_d"))
-    right = r.select("*", F.pmod(F.xxhash64("ts"), F.lit(down)).cast("int").alias("_d"), copies(across).alias("_p"))
-    schema = StructType([w.schema["portfolio"], r.schema["ts"], r.schema["ret"]])
-    return left.repartition(n, "_p", "_d").groupBy("_p", "_d").cogroup(right.repartition(n, "_p", "_d").groupBy("_p", "_d")).applyInArrow(_product, schema)
+    across = n
+    w = ranged(known, across)
+    n_portfolios = w.agg(F.approx_count_distinct("portfolio")).first()[0]
+    if n_portfolios > across * portfolios:
+        across = -(-n_portfolios // portfolios)
+        w = ranged(w.drop("_p"), across)
+    counts = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    most = w.select("_p", "symbol").distinct().join(counts, "symbol").groupBy("_p").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    n_dates = r.agg(F.approx_count_distinct("ts")).first()[0]
+    down = max(1, min(n_dates, max(-(-most // cells), -(-n_dates // dates))))
+    right, left = _met(r, w, down)
+    schema = StructType([w.schema["portfolio"], r.schema["ts"], StructField("ret", DoubleType())])
+    return (right.union(left).repartition(max(n, min(across * down, 10_000)), "_p", "_d").sortWithinPartitions("_p", "_d", "_side", "portfolio").mapInArrow(_products, schema))
