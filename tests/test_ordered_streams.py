@@ -66,3 +66,68 @@ def test_idle_restarts_the_rule(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     s = stream(spark, tmp_path / "in", [[]])
     assert T.drain(O.silent_keys(s, ["symbol"], "ts", ["event_id"], R.Activity(), "1 hour")).count() == 0
+
+
+def test_a_hot_key_waits_in_pieces(monkeypatch):
+    """Rows of a hot key are stored as sorted runs in pieces and merged piece by piece, whatever the order of arrival."""
+    import pandas as pd
+    monkeypatch.setattr(O, "_FEW", 10)
+    monkeypatch.setattr(O, "_PIECE", 50)
+    monkeypatch.setattr(O, "_RUN", 200)
+
+    class State(dict):
+        def get(self):
+            return dict.get(self, ())
+        def update(self, value):
+            self[()] = value
+        def getValue(self, key):
+            return dict.get(self, key)
+        def updateValue(self, key, value):
+            assert len(value[0]) < 5_000
+            self[key] = value
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, set()
+        def getValueState(self, name, schema):
+            return self.states.setdefault(name, State())
+        getMapState = lambda self, name, *schema: self.getValueState(name, schema)
+        registerTimer = lambda self, at: self.timers.add(at)
+        deleteTimer = lambda self, at: self.timers.discard(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.ms
+
+    handle, rnd = Handle(), random.Random(3)
+    rule = R.PreviousPrice()
+    p = O._Ordered(["at_us", "id", "price", "word"], ["bigint", "bigint", "double", "string"], ["at_us", "id"], rule, ["id", "word"], ["id", "word", "prev"], None, False)
+    p.init(handle)
+    rows = [(1000 * (i // 3), i if i % 11 else None, float(i), None if i % 7 == 0 else f"w{i % 5}") for i in range(3000)]
+    rnd.shuffle(rows)
+    got, largest = [], 0
+
+    def release(ms):
+        nonlocal largest
+        while due := [t for t in sorted(handle.timers) if t <= ms]:
+            handle.timers.discard(due[0])
+            info = At(ms)
+            info.getExpiryTimeInMs = lambda: due[0]
+            for f in p.handleExpiredTimer(("k",), At(ms), info):
+                largest = max(largest, len(f))
+                got.extend(f.itertuples(index=False, name=None))
+
+    for lo, mark in ((0, 0), (1000, 300), (2000, 2000)):
+        part = rows[lo:lo + 1000]
+        part = part if lo == 0 else [r for r in part if r[0] > seen * 1000]
+        list(p.handleInputRows(("k",), iter([pd.DataFrame(part[k:k + 70], columns=["at_us", "id", "price", "word"]) for k in range(0, len(part), 70)]), None))
+        assert lo or len(handle.states["pieces"]) >= 20
+        release(mark)
+        seen = mark
+    taken = rows[:1000] + [r for r in rows[1000:2000] if r[0] > 0] + [r for r in rows[2000:] if r[0] > 300_000]
+    want = sorted(taken, key=lambda r: (r[0], r[1] is not None, r[1]))
+    assert [(r[0], r[1]) for r in got] == [(r[1], r[3]) for r in want] and [r[2] for r in got] == [None, *[r[2] for r in want[:-1]]]
+    assert largest <= 50 and not handle.states["pieces"] and not handle.timers

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,6 +20,8 @@ from pyspark.sql.types import TimestampType
 from tidemark.streaming.ticks import ROCKS
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
+#: Rows that a key keeps beside its rule's state, of one stored piece, and of one run sorted before it is cut into pieces.
+_FEW, _PIECE, _RUN = 1_000, 20_000, 200_000
 
 
 def _plain(values: list, kind: str) -> list:
@@ -28,78 +31,217 @@ def _plain(values: list, kind: str) -> list:
     return [None if v is None or v != v else v for v in values]
 
 
+class _Columns:
+    """Rows as arrays, one per column; strings as codes of their different values, -1 for null."""
+
+    def __init__(self, arrays: list, words: dict[int, list]):
+        self.arrays, self.words = arrays, words
+
+    def __len__(self):
+        return len(self.arrays[0])
+
+    @classmethod
+    def of(cls, f: pd.DataFrame, names: Sequence[str]) -> _Columns:
+        arrays, words = [], {}
+        for i, c in enumerate(names):
+            x = f[c]
+            if isinstance(x.dtype, np.dtype) and x.dtype != object:
+                arrays.append(x.to_numpy().copy())  # not a view that keeps the batch
+                continue
+            try:
+                code, found = pd.factorize(x)
+                words[i] = list(found)
+                arrays.append(code.astype(np.int32))
+            except TypeError:  # lists and structs have no hash
+                arrays.append(x.to_numpy(dtype=object))
+        return cls(arrays, words)
+
+    def take(self, at) -> _Columns:
+        return _Columns([x[at] for x in self.arrays], self.words)
+
+    @staticmethod
+    def join(parts: list[_Columns]) -> _Columns:
+        if len(parts) == 1:
+            return parts[0]
+        arrays, words = [], {}
+        for i in range(len(parts[0].arrays)):
+            xs = [p.arrays[i] for p in parts]
+            if all(i in p.words for p in parts):
+                place: dict = {}
+                xs = [np.array([*[place.setdefault(w, len(place)) for w in p.words[i]], -1], np.int32)[x] for p, x in zip(parts, xs)]
+                words[i] = list(place)
+            elif any(i in p.words for p in parts):
+                xs = [p.column(i) for p in parts]
+            arrays.append(np.concatenate(xs))
+        return _Columns(arrays, words)
+
+    def column(self, i: int) -> np.ndarray:
+        if i not in self.words:
+            return self.arrays[i]
+        words = np.empty(len(self.words[i]) + 1, dtype=object)
+        words[:-1] = self.words[i]
+        return words[self.arrays[i]]
+
+    def values(self, i: int, kind: str) -> list:
+        x = self.column(i)
+        return x.tolist() if x.dtype.kind in "iub" else _plain(x.tolist(), kind)
+
+    def sorted(self, order: Sequence[int]) -> _Columns:
+        """By the columns `order`, nulls first."""
+        by: list[np.ndarray] = []
+        for i in order:
+            x = self.arrays[i]
+            if i in self.words:
+                place = {w: k for k, w in enumerate(sorted(self.words[i]))}
+                by.append(np.array([*[place[w] for w in self.words[i]], -1])[x])
+            elif x.dtype == object:
+                place = {v: k for k, v in enumerate(sorted({v for v in x.tolist() if v is not None}))}
+                by.append(np.array([-1 if v is None else place[v] for v in x.tolist()]))
+            else:
+                by += [x == x, x]
+        return self.take(np.lexsort(by[::-1]))
+
+
 class _Ordered(StatefulProcessor):
-    """Buffer of one key in a typed list, the rule's state as a value; `closing` asks for one row per ended key instead of
-    one per input row."""
+    """One key's rule state and waiting rows; `closing` asks for one row per ended key instead of one per input row.
+
+    A few rows wait in the key's head, beside the rule's state: one read and one write per call. More of them wait as
+    sorted runs, cut into pieces that are stored one by one; a release merges the runs piece by piece, so memory holds
+    pieces that overlap in time and not the key's rows of a micro-batch.
+    """
 
     def __init__(self, columns, kinds, order, rule, keep, names, idle, closing):
         self.columns, self.kinds, self.order, self.rule = columns, kinds, [columns.index(c) for c in order], rule
-        self.keep, self.names, self.idle, self.closing = keep, names, idle, closing
+        self.keep, self.names, self.idle, self.closing = [columns.index(c) for c in keep], names, idle, closing
+        self.inputs = [columns.index(c) for c in rule.inputs]
 
     def init(self, handle):
         self.handle = handle
-        self.rows = handle.getListState("rows", ", ".join(f"`{c}` {k}" for c, k in zip(self.columns, self.kinds)))
-        self.first = handle.getValueState("first", "us bigint")  # the earliest row that waits
-        self.state = handle.getValueState("rule", "opened bigint, last bigint, blob binary")
+        self.head = handle.getValueState("head", "blob binary")
+        self.pieces = handle.getMapState("pieces", "id bigint", "blob binary")
+
+    def _load(self) -> dict:
+        """few: rows that wait here; pieces: (first, id, rows) of those stored; first: the earliest row that waits; timer: the
+        timer that is set; state: when opened, last row, the rule's state."""
+        got = self.head.get()
+        head = pickle.loads(got[0]) if got else {"few": None, "pieces": [], "first": None, "timer": None, "state": None, "id": 0}
+        return head | {"few": head["few"] and _Columns(*head["few"])}
+
+    def _save(self, head: dict) -> None:
+        few = head["few"]
+        self.head.update((pickle.dumps(head | {"few": few and (few.arrays, few.words)}, 5),))  # plain arrays: a class would be shipped with each key
+
+    def _wait(self, head: dict, rows: _Columns) -> None:
+        """Rows that join those of the key: in its head while they are few, else as a sorted run in pieces."""
+        if len(rows) <= _FEW and not head["pieces"]:
+            head["few"] = rows
+            return
+        head["few"] = None
+        rows = rows.sorted(self.order)
+        for lo in range(0, len(rows), _PIECE):
+            part = rows.take(slice(lo, lo + _PIECE))
+            self.pieces.updateValue((head["id"],), (pickle.dumps((part.arrays, part.words), 5),))
+            head["pieces"].append((int(part.arrays[0][0]), head["id"]))
+            head["id"] += 1
+
+    def _store(self, head: dict) -> None:
+        """Writes the head and sets the one timer: for the earliest row that waits, or for the end of a silent key."""
+        few, state = head["few"], head["state"]
+        firsts = [p[0] for p in head["pieces"]] + ([int(few.arrays[0].min())] if few is not None else [])
+        head["first"] = min(firsts) if firsts else None
+        due = [-(-head["first"] // 1000)] if firsts else []
+        if state and self.idle:
+            due.append((state[1] + self.idle) // 1000 + 1)
+        if not due:
+            if head["timer"] is not None:
+                self.handle.deleteTimer(head["timer"])
+            if state:
+                head["timer"] = None
+                self._save(head)
+            else:
+                self.head.clear()
+            return
+        if head["timer"] is None or min(due) < head["timer"]:
+            if head["timer"] is not None:
+                self.handle.deleteTimer(head["timer"])
+            head["timer"] = min(due)
+            self.handle.registerTimer(head["timer"])
+        self._save(head)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self.first.get()[0] if self.first.exists() else None
+        head = self._load()
+        parts = [] if head["few"] is None else [head["few"]]
+        held = sum(map(len, parts))
         for f in rows:
             if len(f):
-                columns = [_plain(f[c].tolist(), k) for c, k in zip(self.columns, self.kinds)]
-                self.rows.appendList(list(zip(*columns)))
-                first = min(columns[0]) if first is None else min(first, *columns[0])
-        if first is not None:
-            self.first.update((first,))
-            self.handle.registerTimer(-(-first // 1000))
+                parts.append(_Columns.of(f, self.columns))
+                held += len(f)
+                if held >= _RUN:
+                    self._wait(head, _Columns.join(parts))
+                    parts, held = [], 0
+        if parts:
+            self._wait(head, _Columns.join(parts))
+        self._store(head)
         return iter(())
 
-    def _close(self, key, state) -> dict:
-        return dict(zip(self.names, (*key, state[0], state[1], *self.rule.closing(state[2]))))
+    def _close(self, key, state) -> tuple:
+        return (*key, state[0], state[1], *self.rule.closing(state[2]))
+
+    def _released(self, head: dict, mark: int) -> Iterator[_Columns]:
+        """The rows up to `mark` in order; those left over wait again."""
+        due = sorted(p for p in head["pieces"] if p[0] <= mark)
+        head["pieces"] = [p for p in head["pieces"] if p[0] > mark]
+        pool, left = ([] if head["few"] is None else [head["few"]]), 0
+        head["few"] = None
+        for k in range(len(due) + 1):
+            if k < len(due):
+                pool.append(_Columns(*pickle.loads(self.pieces.getValue((due[k][1],))[0])))
+                self.pieces.removeKey((due[k][1],))
+            if pool and (k >= len(due) - 1 or sum(map(len, pool)) > max(3 * _PIECE, 2 * left)):
+                rows = _Columns.join(pool).sorted(self.order)
+                end = due[k + 1][0] if k + 1 < len(due) else mark + 1
+                cut = int(np.searchsorted(rows.arrays[0], end))
+                for lo in range(0, cut, _PIECE):
+                    yield rows.take(slice(lo, min(cut, lo + _PIECE)))
+                left = len(rows) - cut
+                pool = [rows.take(slice(cut, None))] if left else []
+        if pool:
+            self._wait(head, pool[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = self.state.get() if self.state.exists() else None
-        state = (held[0], held[1], pickle.loads(held[2])) if held else None
-        out = []
-        if self.first.exists() and self.first.get()[0] <= mark:
-            waiting, ready = [], []
-            for r in self.rows.get():
-                (ready if r[0] <= mark else waiting).append(tuple(r))
-            ready.sort(key=lambda r: tuple((r[i] is not None, r[i]) for i in self.order))
-            inputs = [self.columns.index(c) for c in self.rule.inputs]
-            keep = [self.columns.index(c) for c in self.keep]
-            for r in ready:
-                if state and self.idle and r[0] - state[1] > self.idle:
-                    if self.closing:
-                        out.append(self._close(key, state))
-                    state = None
-                inner, got = self.rule.advance(state[2] if state else self.rule.init(), *[r[i] for i in inputs])
-                state = (state[0] if state else r[0], r[0], inner)
+        head = self._load()
+        if head["timer"] == expiredTimerInfo.getExpiryTimeInMs():
+            head["timer"] = None
+        state, ended, init, advance, idle = head["state"], [], self.rule.init, self.rule.advance, self.idle
+        if head["first"] is not None and head["first"] <= mark:
+            for rows in self._released(head, mark):
+                times, out = rows.arrays[0].tolist(), []
+                opened, last, inner = state or (None, None, None)
+                for us, *row in zip(times, *[rows.values(i, self.kinds[i]) for i in self.inputs]):
+                    if opened is not None and idle and us - last > idle:
+                        if self.closing:
+                            ended.append(self._close(key, (opened, last, inner)))
+                        opened = None
+                    if opened is None:
+                        opened, inner = us, init()
+                    inner, got = advance(inner, *row)
+                    last = us
+                    out.append(got)
+                state = (opened, last, inner)
                 if not self.closing:
-                    out.append(dict(zip(self.names, [r[i] for i in keep] + list(got))))
-            if waiting:
-                self.rows.put(waiting)
-                first = min(r[0] for r in waiting)
-                self.first.update((first,))
-                self.handle.registerTimer(-(-first // 1000))
-            else:
-                self.rows.clear()
-                self.first.clear()
-        if state and self.idle and state[1] + self.idle < mark:  # a row at that distance would still belong to it
-            waits = self.first.get()[0] if self.first.exists() else None
-            if waits is None or waits - state[1] > self.idle:
+                    keep = [rows.values(i, self.kinds[i]) for i in self.keep]
+                    yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, [*keep, *map(list, zip(*out))])})
+        if state and idle and state[1] + idle < mark:  # a row at that distance would still belong to it
+            waits = min([p[0] for p in head["pieces"]] + ([int(head["few"].arrays[0].min())] if head["few"] is not None else []), default=None)
+            if waits is None or waits - state[1] > idle:
                 if self.closing:
-                    out.append(self._close(key, state))
+                    ended.append(self._close(key, state))
                 state = None
-        if state:
-            self.state.update((state[0], state[1], pickle.dumps(state[2])))
-            if self.idle:
-                self.handle.registerTimer((state[1] + self.idle) // 1000 + 1)
-        elif held:
-            self.state.clear()
-        if out:
-            yield pd.DataFrame({n: pd.Series([r[n] for r in out], dtype=object) for n in self.names})
+        head["state"] = state
+        self._store(head)
+        if ended:
+            yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, map(list, zip(*ended)))})
 
     def close(self):
         pass
