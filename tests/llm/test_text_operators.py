@@ -640,3 +640,18 @@ def test_trie_join_links_as_brute_force(spark, hot):
     want = {(x, root(x)) for x in parent}
     got = {tuple(r) for r in components(simhash.links(table, hot=hot)).collect()}
     assert got | {(x, x) for x in parent if x not in {g[0] for g in got}} == want
+
+
+def test_a_round_of_suffix_sorting_is_bounded_in_bytes(monkeypatch):
+    """Regions of one window each have few starts and many bytes; they must not pile up in a task."""
+    import pyarrow as pa
+    rounds, solve = [], suffix.repeated_starts
+    monkeypatch.setattr(suffix, "repeated_starts", lambda regions, *rest: rounds.append(sum(map(len, regions))) or solve(regions, *rest))
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 400, np.uint8).tobytes() for _ in range(6000)]
+    rows = [(a, k, bytes([k]) * 16, 5 << 20 | 5 << 10 | 5, t) for a, t in enumerate(texts) for k in (1, 2)]
+    names, kinds = ["anchor", "f1", "key", "span", "region"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 3000]), kinds)], names=names) for i in range(0, len(rows), 3000)]
+    got = [tuple(r.values()) for b in suffix._sort_regions(400)(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == 12000 and {(lo, hi) for _, lo, hi in got} == {(0, 0)}
+    assert len(rounds) >= 4 and max(rounds) < 1_100_000
