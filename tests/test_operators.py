@@ -374,3 +374,30 @@ def test_registry_contract():
     assert len(q) > 250 and set(o) <= set(q) and len(o) / len(q) > 0.9
     con = duckdb.connect()
     assert con.execute("select 1").fetchone()[0] == 1
+
+
+def test_missing_day_gaps_stay_in_arrays(spark):
+    """Runs of missing days equal a plain scan, and no window or join of exploded days is planned."""
+    import datetime as dt
+    import random
+    from tidemark.operators import align
+    rng, first = random.Random(4), dt.date(2023, 1, 2)
+    rows = [(s, dt.datetime.combine(first + dt.timedelta(days=d), dt.time(9))) for s in ("a", "b", "c") for d in range(0, 200) if rng.random() < 0.3] + [("one", dt.datetime(2023, 1, 7)), ("none", None)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp")
+    for business in (False, True):
+        want = []
+        for s in ("a", "b", "c"):
+            have = {t.date() for x, t in rows if x == s}
+            run = []
+            for d in (min(have) + dt.timedelta(days=k) for k in range((max(have) - min(have)).days + 1)):
+                free = d.weekday() < 5 and d not in have
+                if free:
+                    run.append(d)
+                if run and (not free and not (business and d.weekday() >= 5)):
+                    want += [(s, run[0], run[-1])] if (run[-1] - run[0]).days >= 2 else []
+                    run = []
+            want += [(s, run[0], run[-1])] if run and (run[-1] - run[0]).days >= 2 else []
+        got = align.missing_day_gaps(df, business=business)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 5
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan

@@ -68,22 +68,31 @@ def business_days(df: DataFrame, ts: str = "ts") -> DataFrame:
     return days.where(F.weekday("day") < 5)
 
 
+def _missing(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """(symbol, miss): the weekdays without a row between each symbol's first and last, as one sorted array, bounded by the
+    calendar. Only present days are shuffled; a null symbol equals none, as in a join."""
+    day = F.to_date(ts)
+    have = df.groupBy("symbol").agg(F.min(day).alias("a"), F.max(day).alias("b"), F.collect_set(F.when(F.col("symbol").isNotNull(), day)).alias("have"))
+    return have.select("symbol", F.array_except(F.filter(F.sequence("a", "b"), lambda x: F.weekday(x) < 5), "have").alias("miss"))
+
+
 def missing_business_days(df: DataFrame, ts: str = "ts") -> DataFrame:
-    have = df.select("symbol", F.to_date(ts).alias("day")).distinct()
-    return business_days(df, ts).join(have, ["symbol", "day"], "left_anti")
+    return _missing(df, ts).select("symbol", F.explode("miss").alias("day"))
 
 
 def missing_day_gaps(df: DataFrame, min_days: int = 2, business: bool = False) -> DataFrame:
     """Runs of missing days kept when end - start >= min_days. By default only calendar neighbours
-    join, so a weekend breaks a run; `business=True` lets Friday and Monday touch."""
-    miss = missing_business_days(df)
-    w = Window.partitionBy("symbol").orderBy("day")  # bounded by the calendar
-    key = F.date_diff("day", F.lit("1970-01-05").cast("date"))
-    if business:
-        key = F.floor(key / 7) * 5 + F.weekday("day")
-    isles = miss.withColumn("_g", key - F.row_number().over(w))
-    out = isles.groupBy("symbol", "_g").agg(F.min("day").alias("start"), F.max("day").alias("end"))
-    return out.drop("_g").where(F.date_diff("end", "start") >= min_days)
+    join, so a weekend breaks a run; `business=True` lets Friday and Monday touch. Runs are cut inside
+    a symbol's array: its days never become rows."""
+    def key(day: Column) -> Column:
+        n = F.date_diff(day, F.lit("1970-01-05").cast("date"))
+        return F.floor(n / 7) * 5 + F.weekday(day) if business else n
+
+    miss = F.col("miss")
+    begins = F.filter(miss, lambda x, i: (i == 0) | (key(x) - key(F.get(miss, i - 1)) != 1))
+    ends = F.filter(miss, lambda x, i: (i == F.size(miss) - 1) | (key(F.get(miss, i + 1)) - key(x) != 1))
+    runs = F.filter(F.arrays_zip(begins.alias("start"), ends.alias("end")), lambda r: F.date_diff(r["end"], r["start"]) >= min_days)
+    return _missing(df).select("symbol", F.inline(runs).alias("start", "end"))
 
 
 #: Products of a weight and a return that a task holds at once.
