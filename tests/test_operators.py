@@ -401,3 +401,14 @@ def test_missing_day_gaps_stay_in_arrays(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 5
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan
+
+
+def test_ranks_of_bounded_keys_take_one_window(spark):
+    """Both forms agree on ties, NaN and nulls; the plain one joins nothing."""
+    from tidemark.operators.indicators import rank_transform
+    rows = [(s, i, v) for s in ("a", "b", None) for i, v in enumerate([1.0, 2.0, 2.0, None, float("nan"), -1.0, 2.0])]
+    df = spark.createDataFrame(rows, "symbol string, ts long, ret double")
+    plain = rank_transform(df, "ret")
+    got, want = ({(r.symbol, r.ts): r.u for r in x.collect()} for x in (plain, rank_transform(df, "ret", split=True)))
+    assert got == want and len(got) == 12 and got["a", 1] == got["a", 6] == 6 / 8 and got["a", 5] == 2 / 8
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
