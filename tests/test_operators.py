@@ -412,3 +412,20 @@ def test_ranks_of_bounded_keys_take_one_window(spark):
     got, want = ({(r.symbol, r.ts): r.u for r in x.collect()} for x in (plain, rank_transform(df, "ret", split=True)))
     assert got == want and len(got) == 12 and got["a", 1] == got["a", 6] == 6 / 8 and got["a", 5] == 2 / 8
     assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_discrete_series_are_fitted_together(spark, monkeypatch):
+    rng, passes, one = np.random.default_rng(5), [], R._forward_backward
+    monkeypatch.setattr(R, "_forward_backward", lambda *a: passes.append(1) or one(*a))
+    x = sorted([rng.integers(0, 3, n) for n in [1, 2, 40, 41, *rng.integers(1, 60, 60)]], key=len, reverse=True)
+    g, path, ll = R._discrete_round(x, 2, 3, 10, 1e-6)
+    assert len(passes) <= 11  # not one loop per series
+    for i, c in enumerate(x):
+        h, alone, likely = R._discrete_round([c], 2, 3, 10, 1e-6)
+        assert np.array_equal(h[:, 0], g[:len(c), i]) and np.array_equal(alone[:, 0], path[:len(c), i]) and likely[0] == ll[i]
+    rows = [(None if i == 3 else i, (DAY + pd.Timedelta(hours=t)).to_pydatetime(), "abc"[v]) for i, c in enumerate(x) for t, v in enumerate(c.tolist())]
+    got = R.fit_discrete(spark.createDataFrame(rows, "entity long, ts timestamp, obs string"), 2, ["a", "b", "c"], 10).orderBy("entity", "ts").toPandas()
+    assert len(got) == len(rows)
+    for i in (0, 3, 7):
+        f = got[got.entity.isna()] if i == 3 else got[got.entity == i]
+        assert np.array_equal(np.stack(f.probs), g[:len(x[i]), i]) and f.state.tolist() == path[:len(x[i]), i].tolist()
