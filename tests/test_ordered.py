@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, indicators as I
+from tidemark.plans import ordered
 from tidemark.plans.ordered import over_rows, quantiles, row_index, running, stepwise
 
 
@@ -106,3 +107,16 @@ def test_stepwise_carries_state_over_batches(spark, frame):
             s = 0.5 * s + x
             want.append(s)
     np.testing.assert_allclose(out.v, want)
+
+
+def test_quantiles_order_only_the_bins_of_wanted_positions(spark, monkeypatch):
+    rng, sorted_rows, one = np.random.default_rng(3), [], ordered.row_index
+    monkeypatch.setattr(ordered, "row_index", lambda df, *a, **k: sorted_rows.append(df.count()) or one(df, *a, **k))
+    hot = np.concatenate([rng.normal(0, 1, 20_000), [0.0, -0.0, 1e-320, -1e300, np.inf, -np.inf]])
+    rows = [("a", float(v)) for v in hot] + [("b", 7.0)] * 50 + [("c", float(v)) for v in (-3, -2, -1)] + [(None, 1.0), (None, 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"lo": 0.001, "p1": 0.01, "mid": 0.5, "hi": 0.999}
+    got = {r.k: tuple(r)[1:] for r in ordered.quantiles(df, ["k"], "v", probs).collect()}
+    want = {r.k: tuple(r)[1:] for r in ordered.quantiles(df, ["k"], "v", probs, split=False).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()} and len(got) == 4
+    assert sorted_rows and max(sorted_rows) < 2_000  # of 20,060 rows

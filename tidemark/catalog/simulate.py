@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import CTES, _NEEDS, register, sql
 from tidemark.operators import aggregate as G, markov as M, paths as P, risk as R, stats as S
 from tidemark.plans import frames as X
-from tidemark.plans.session import read_table
+from tidemark.plans.session import materialized, read_table
 
 N, STEPS = 40, 12
 
@@ -90,8 +90,12 @@ register("RK4_monte_carlo_var", lambda s, d: P.monte_carlo_var(_MV(s, d), 500),
 W3 = {"A": 0.5, "N": 0.3, "R": 0.2}
 
 
-def _factor(s, d):
-    return P.cholesky(G.correlation(X.panel_returns(s, d)))
+def _panel(s, d):
+    return materialized(X.panel_returns(s, d))  # three symbols by day, read several times
+
+
+def _factor(s, d, panel=None):
+    return P.cholesky(G.correlation(panel or _panel(s, d)))
 
 
 _CH = """select a r12, b r13, c r23, sqrt(1 - a * a) l22, (c - a * b) / sqrt(1 - a * a) l32, sqrt(1 - b * b - power((c - a * b) / sqrt(1 - a * a), 2)) l33 from (select
@@ -108,8 +112,9 @@ register("MC8_correlation_recovery",
 
 
 def _sim(s, d, df=None):
-    names, f = _factor(s, d)
-    m = {r.symbol: r for r in X.panel_returns(s, d).groupBy("symbol").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("v")).collect()}
+    panel = _panel(s, d)
+    names, f = _factor(s, d, panel)
+    m = {r.symbol: r for r in panel.groupBy("symbol").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("v")).collect()}
     return names, P.simulated_returns(IDS(s, d), names, f, [m[n].m for n in names], [m[n].v for n in names], df)
 
 

@@ -14,8 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.mathx import norm_cdf, z_value
+from tidemark.functions.mathx import norm_cdf, norm_cdf_sql, z_value
 from tidemark.plans.ordered import quantiles
+from tidemark.plans.session import materialized
 
 _RES = 2.0 ** 52
 
@@ -34,13 +35,12 @@ def normal(*parts) -> Column:
 
 
 def terminal_prices(params: DataFrame, n_paths: int, n_steps: int, years: float = 1.0, seed: int = 1) -> DataFrame:
-    """(symbol, path_id, price) at the horizon. Steps explode and sum inside one task, so the shuffle
-    sees one row per path."""
+    """(symbol, path_id, price) at the horizon. `params` has one row per symbol; steps are summed inside a path's row, so
+    nothing is shuffled and paths stay where their symbol is."""
     dt = years / n_steps
-    x = params.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n_steps))))
-    z = normal(seed, F.col("symbol"), F.col("path_id"), F.col("step"))
-    g = x.groupBy("symbol", "path_id").agg(F.first("s0").alias("s0"), F.first("mu").alias("mu"), F.first("sigma").alias("sigma"), F.sum(z).alias("_z"))
-    return g.select("symbol", "path_id", "s0", "mu", "sigma", (F.col("s0") * F.exp(
+    x = params.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(n_steps)), F.lit(0.0), lambda total, k: total + normal(seed, F.col("symbol"), F.col("path_id"), k))
+    return x.withColumn("_z", z).select("symbol", "path_id", "s0", "mu", "sigma", (F.col("s0") * F.exp(
         (F.col("mu") - F.col("sigma") * F.col("sigma") / 2) * years + F.col("sigma") * math.sqrt(dt) * F.col("_z"))).alias("price"))
 
 
@@ -122,10 +122,19 @@ def cholesky(corr: DataFrame, limit: int = 2000) -> tuple[list[str], np.ndarray]
 def correlated_normals(ids: DataFrame, names: list[str], factor: np.ndarray, seed: int = 1) -> DataFrame:
     """One row per id with `z`, an array of correlated normals in symbol order. `ids` keeps its columns;
     every one of them keys the draw."""
-    eps = F.array(*[normal(seed, *[F.col(c) for c in ids.columns], j) for j in range(len(names))])
-    x = ids.withColumn("_e", eps)
-    rows = [sum((F.col("_e")[j] * float(factor[i, j]) for j in range(1, i + 1)), F.col("_e")[0] * float(factor[i, 0])) for i in range(len(names))]
-    return x.withColumn("z", F.array(*rows)).drop("_e")
+    n = len(names)
+    eps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: normal(seed, *[F.col(c) for c in ids.columns], j))
+
+    def product(e):
+        return F.array(*[sum((e[j] * float(factor[i, j]) for j in range(1, i + 1)), e[0] * float(factor[i, 0])) for i in range(n)])
+
+    return ids.select(*ids.columns, _once(F.transform(F.array(eps), product)[0]).alias("z"))
+
+
+def _once(c: Column) -> Column:
+    """Generated, so that later filters and columns read the value instead of repeating its expression (the bound
+    variable of a `transform` does the same inside an expression)."""
+    return F.explode(F.array(c))
 
 
 def t_quantile(u: Column, df: float) -> Column:
@@ -300,6 +309,10 @@ def monte_carlo_var(params: DataFrame, n: int, levels=(0.95, 0.99, 0.999), seed:
 def simulated_returns(ids: DataFrame, names: list[str], factor: np.ndarray, mean: list[float], std: list[float], df: float | None = None, seed: int = 1) -> DataFrame:
     """Row per id with `r`, the simulated return of each symbol; `df` switches to t marginals."""
     x = correlated_normals(ids, names, factor, seed)
+    if df in (1, 2, 4):  # closed forms
+        x = x.withColumn("_u", F.expr(f"transform(z, v -> {norm_cdf_sql('v')})"))
+        moved = F.transform(F.transform("_u", lambda u: t_quantile(u, df)), lambda t, i: F.array(*map(F.lit, mean))[i] + F.array(*map(F.lit, std))[i] * t)
+        return x.select(*ids.columns, _once(moved).alias("r"))
     if df is not None:
         for i in range(len(names)):
             x = x.withColumn(f"_z{i}", F.col("z")[i]).withColumn(f"_u{i}", norm_cdf(f"_z{i}"))
@@ -328,6 +341,6 @@ def tail_scenario(sim: DataFrame, names: list[str], confidence: float) -> DataFr
     w = {n: 1 / len(names) for n in names}
     x = sim.withColumn("_p", portfolio_draws(sim, w, names)).withColumn("g", F.lit(1))
     cut = quantiles(x, ["g"], "_p", {"q": round(1 - confidence, 12)})
-    tail = x.join(F.broadcast(cut), "g").where("_p <= q")  # one row
+    tail = materialized(x.join(F.broadcast(cut), "g").where("_p <= q").select("r"))  # one row; the quantiles read the tail more than once
     tall = tail.select(F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("symbol"), F.col("r").alias("ret"))).alias("e")).select("e.*")
     return quantiles(tall, ["symbol"], "ret", {"shock": 0.5})
