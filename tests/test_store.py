@@ -100,3 +100,15 @@ def test_empty_loads_and_other_columns(spark, tmp_path):
         st.append(frame(spark, []).withColumn("extra", F.lit(1)))
     with pytest.raises(ValueError, match="missing partition"):
         st.append(frame(spark, []).drop("month"))
+
+
+def test_month_store_query_shuffles_its_bars_once(spark, monkeypatch):
+    from tidemark.catalog import models
+    from tidemark.plans import frames
+    asked, one = [], frames.suppliers
+    monkeypatch.setattr(frames, "suppliers", lambda s, d: asked.append(one(s, d)) or asked[-1])
+    sources = []
+    monkeypatch.setattr(models, "market_store", lambda s, p: type("Store", (), {"append": lambda _, df: sources.append(df), "upsert": lambda _, df, k: sources.append(df), "compact": lambda _: None})())
+    models._stored(spark, "/root/testdata/sf0.001")
+    assert len(sources) == 3 and all("Exchange" not in df._jdf.queryExecution().executedPlan().toString() for df in sources)
+    assert sources[0].count() + sources[1].count() == asked[0].count()

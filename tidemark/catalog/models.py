@@ -166,7 +166,9 @@ register("SRC10_json_files", _written_json, sql("sb", "select symbol, ts, close,
 def _stored(s, d):
     """Two appends, a correction of one year's closes, and the other months, now in two folders each, compacted."""
     st = market_store(s, shared_folder(s, "market"))
-    rows = WR.month_columns(X.suppliers(s, d))
+    bars = shared_folder(s, "bars")
+    X.suppliers(s, d).write.parquet(bars)  # the ticks are shuffled once, for all three loads
+    rows = WR.month_columns(s.read.schema("symbol string, ts timestamp, open double, high double, low double, close double, volume long").parquet(bars))
     st.append(rows.where("volume % 2 = 0"))
     st.append(rows.where("volume % 2 != 0"))
     st.upsert(rows.where("year = 1997").withColumn("close", F.col("close") + 1), ["symbol", "ts"])
