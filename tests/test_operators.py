@@ -429,3 +429,16 @@ def test_discrete_series_are_fitted_together(spark, monkeypatch):
     for i in (0, 3, 7):
         f = got[got.entity.isna()] if i == 3 else got[got.entity == i]
         assert np.array_equal(np.stack(f.probs), g[:len(x[i]), i]) and f.state.tolist() == path[:len(x[i]), i].tolist()
+
+
+def test_terminal_prices_shuffle_symbols_not_paths(spark):
+    params = spark.createDataFrame([(f"S{i}", 100.0 + i, 0.05, 0.2) for i in range(6)], "symbol string, s0 double, mu double, sigma double")
+    grouped = P.terminal_prices(params.groupBy("symbol").agg(*[F.max(c).alias(c) for c in ("s0", "mu", "sigma")]), 20, 5)
+    assert grouped.rdd.getNumPartitions() > 8  # not joined into one task
+    x = P.terminal_prices(params, 20, 5)
+    far = {(r.symbol, r.path_id): r.price for r in P.price_paths(params, 20, 5).where("step = 5").collect()}
+    assert {(r.symbol, r.path_id): pytest.approx(r.price, rel=1e-12) for r in x.collect()} == far and len(far) == 120
+    plan = G.terminal_summary(x, "price", split=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and x.rdd.getNumPartitions() >= 8  # only the symbols' rows are dealt
+    got, want = (G.terminal_summary(x, "price", split=f).orderBy("symbol").toPandas() for f in (False, True))
+    pd.testing.assert_frame_equal(got[want.columns], want)

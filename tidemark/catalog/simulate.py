@@ -27,7 +27,7 @@ def zsql(key):
 _Z = f"select symbol, s0, mu, sigma, path_id, step, {zsql(chr(39) + '1|' + chr(39) + ' || symbol || ' + chr(39) + '|' + chr(39) + ' || path_id || ' + chr(39) + '|' + chr(39) + ' || step')} z from mp, range({N}) a(path_id), range(1, {STEPS + 1}) b(step)"
 _PX = f"""select symbol, path_id, step, s0, mu, sigma, s0 * exp((mu - sigma * sigma / 2) / {STEPS} * step + sigma * sqrt(1 / {STEPS}.0::double) * sum(z) over (partition by symbol, path_id order by step)) price from zz"""
 _PALL = "select symbol, path_id, step, price from px union all select symbol, path_id, 0, s0 from mp, range(%d) a(path_id)" % N
-register("MC1_terminal_summary", lambda s, d: G.terminal_summary(P.terminal_prices(params(s, d), N, STEPS), "price"),
+register("MC1_terminal_summary", lambda s, d: G.terminal_summary(P.terminal_prices(params(s, d), N, STEPS), "price", split=False),  # N paths a symbol
          sql("mp", """select symbol, avg(price) mean, stddev_pop(price) std, min(price) "min", max(price) "max", quantile_cont(price, 0.05) p5, quantile_cont(price, 0.25) p25, median(price) median,
          quantile_cont(price, 0.75) p75, quantile_cont(price, 0.95) p95 from px where step = %d group by symbol""" % STEPS, zz=_Z, px=_PX), "mean std min max p5 p25 median p75 p95")
 register("MC1_price_paths", lambda s, d: P.price_paths(params(s, d), N, STEPS), sql("mp", "select * from pa", zz=_Z, px=_PX, pa=_PALL), "price")

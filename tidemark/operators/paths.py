@@ -34,11 +34,19 @@ def normal(*parts) -> Column:
     return F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
 
 
+def _dealt(params: DataFrame) -> DataFrame:
+    """Symbols dealt over all cores before they are drawn for: their rows are so small that they may stand in one task.
+    (One partition more: dealt as by an aggregation before, the rows would stay in its joined partitions.)"""
+    spark = params.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 2)
+    return params.repartition(n + 1, "symbol")
+
+
 def terminal_prices(params: DataFrame, n_paths: int, n_steps: int, years: float = 1.0, seed: int = 1) -> DataFrame:
     """(symbol, path_id, price) at the horizon. `params` has one row per symbol; steps are summed inside a path's row, so
-    nothing is shuffled and paths stay where their symbol is."""
+    no path is shuffled."""
     dt = years / n_steps
-    x = params.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
+    x = _dealt(params).withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
     z = F.aggregate(F.sequence(F.lit(1), F.lit(n_steps)), F.lit(0.0), lambda total, k: total + normal(seed, F.col("symbol"), F.col("path_id"), k))
     return x.withColumn("_z", z).select("symbol", "path_id", "s0", "mu", "sigma", (F.col("s0") * F.exp(
         (F.col("mu") - F.col("sigma") * F.col("sigma") / 2) * years + F.col("sigma") * math.sqrt(dt) * F.col("_z"))).alias("price"))
@@ -47,7 +55,7 @@ def terminal_prices(params: DataFrame, n_paths: int, n_steps: int, years: float
 def price_paths(params: DataFrame, n_paths: int, n_steps: int, years: float = 1.0, seed: int = 1) -> DataFrame:
     """Long path table (symbol, path_id, step, price) with step 0; each path is one row until it explodes."""
     dt = years / n_steps
-    x = params.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
+    x = _dealt(params).withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
     zs = F.transform(F.sequence(F.lit(1), F.lit(n_steps)), lambda k: F.named_struct(F.lit("k"), k, F.lit("z"), normal(seed, F.col("symbol"), F.col("path_id"), k)))
     flat = x.withColumn("e", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("z"))), zs)))
     flat = flat.select("symbol", "path_id", "s0", "mu", "sigma", F.col("e.k").alias("step"), F.col("e.z").alias("z"))
@@ -241,7 +249,7 @@ def reduction_estimators(params: DataFrame, n_paths: int, rate: float, years: fl
     """At-the-money call by plain, antithetic, control-variate and importance estimators, with variance
     ratios against plain. One terminal draw per path."""
     c = F.col
-    x = params.withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).withColumn("z", normal(seed, c("symbol"), F.col("path_id"), 1))
+    x = _dealt(params).withColumn("path_id", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).withColumn("z", normal(seed, c("symbol"), F.col("path_id"), 1))
     root, disc = math.sqrt(years), math.exp(-rate * years)
     def end(z, mu):
         return c("s0") * F.exp((mu - c("sigma") * c("sigma") / 2) * years + c("sigma") * root * z)
@@ -301,7 +309,7 @@ def chain_paths(start: DataFrame, matrix: DataFrame, values: DataFrame, n_paths:
 def monte_carlo_var(params: DataFrame, n: int, levels=(0.95, 0.99, 0.999), seed: int = 1, split=False) -> DataFrame:
     """Quantiles of n draws from N(mean, std) per key: params(symbol, mean, std)."""
     from tidemark.operators.risk import tag
-    x = params.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    x = _dealt(params).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     x = x.select("symbol", (F.col("mean") + F.col("std") * normal(seed, F.col("symbol"), F.col("draw"))).alias("ret"))
     return quantiles(x, ["symbol"], "ret", {f"var_{tag(c)}": round(1 - c, 12) for c in levels}, split=split)
 
