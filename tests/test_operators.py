@@ -442,3 +442,13 @@ def test_terminal_prices_shuffle_symbols_not_paths(spark):
     assert plan.count("Exchange") == 1 and x.rdd.getNumPartitions() >= 8  # only the symbols' rows are dealt
     got, want = (G.terminal_summary(x, "price", split=f).orderBy("symbol").toPandas() for f in (False, True))
     pd.testing.assert_frame_equal(got[want.columns], want)
+
+
+def test_chain_paths_do_not_fit_their_chains_again(spark):
+    x = spark.createDataFrame([(f"S{e}", t, (t * (e + 1)) % 3 % 2, float(t % 5)) for e in range(7) for t in range(20)], "symbol string, ts int, state int, ret double")
+    c = K.transition_matrix(K.transition_counts(x, 1, ("symbol",), by=("symbol",)), ("symbol",)).select("symbol", F.col("history")[0].alias("i"), F.col("next").alias("j"), "p")
+    start, values = x.groupBy("symbol").agg(F.max_by("state", "ts").alias("state")), x.groupBy("symbol", "state").agg((F.avg("ret") / 100).alias("mean"))
+    paths = P.chain_paths(start, c, values, 30, 4, block=8)
+    assert "Aggregate" not in paths._jdf.queryExecution().executedPlan().toString()
+    got = paths.groupBy("symbol", "path_id").agg(F.count("*").alias("n"), F.min_by("price", "step").alias("p0"), F.countDistinct("step").alias("d")).collect()
+    assert len(got) == 7 * 30 and all((r.n, r.p0, r.d) == (5, 100.0, 5) for r in got)

@@ -277,8 +277,14 @@ def chain_paths(start: DataFrame, matrix: DataFrame, values: DataFrame, n_paths:
     v = values.groupBy("symbol").agg(F.collect_list(F.struct("state", "mean")).alias("v"))
     n_blocks = math.ceil(n_paths / block)
 
+    def frame(out):
+        return pd.DataFrame({"symbol": np.repeat(np.array([s for s, _, _ in out], object), [p.size for _, _, p in out]),
+                             "path_id": np.concatenate([np.repeat(first + np.arange(len(p)), n_steps + 1) for _, first, p in out]),
+                             "step": np.concatenate([np.tile(np.arange(n_steps + 1), len(p)) for _, _, p in out]), "price": np.concatenate([p.ravel() for _, _, p in out])})
+
     def run(frames):
         for f in frames:
+            out = []
             for r in f.itertuples(index=False):
                 k = 1 + max(max(e["i"], e["j"]) for e in r.m)
                 k = max(k, 1 + max(e["state"] for e in r.v))
@@ -297,10 +303,15 @@ def chain_paths(start: DataFrame, matrix: DataFrame, values: DataFrame, n_paths:
                 for t in range(1, n_steps + 1):
                     s = np.minimum((rng.random(n)[:, None] > cum[s]).sum(1), k - 1)
                     path[:, t] = path[:, t - 1] * (1 + val[s])
-                yield pd.DataFrame({"symbol": r.symbol, "path_id": np.repeat(r.block * block + np.arange(n), n_steps + 1),
-                                    "step": np.tile(np.arange(n_steps + 1), n), "price": path.ravel()})
+                out.append((r.symbol, r.block * block, path))
+                if sum(p.size for _, _, p in out) >= 200_000:  # prices of an Arrow batch
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
 
-    units = start.join(m, "symbol").join(v, "symbol").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    chains = materialized(start.join(m, "symbol").join(v, "symbol"))  # a row per symbol: paths are drawn anew by each reader, chains are not fitted anew
+    units = chains.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     tasks = max(start.sparkSession.sparkContext.defaultParallelism * 2, 1)
     return units.select("symbol", "state", "m", "v", "block").repartition(tasks, "symbol", "block").mapInPandas(
         run, "symbol string, path_id long, step long, price double")
