@@ -470,6 +470,41 @@ def test_pages_are_paired_by_nearest_url(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_with_an_article_are_aligned_too(spark):
+    page = "<body><div>Welcome</div><article><h1>{0}</h1><p>Said again.</p><p>{0} text</p></article><div>{0} outside</div></body>"
+    rows = [(i, f"http://h.example/a/{i}", page.format(name)) for i, name in ((1, "one"), (2, "two"))]
+    got = {r.page_id: r for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.text for k, r in got.items()} == {1: "one\nSaid again.\none text", 2: "two\nSaid again.\ntwo text"}
+    assert {(r.n_shared, r.n_restored) for r in got.values()} == {(2, 1)}  # "Welcome" goes, the sentence inside the article is put back
+
+
+def test_nearest_pages_meet_across_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"http://h{i % 3}.example/{'abc'[i % 2]}/{i:03d}", "".join(f"<p>{w}</p>" for w in rng.integers(0, 6, rng.integers(1, 12)))) for i in range(150)]
+    want = {}
+    for h in range(3):
+        pages = sorted((u.split("example", 1)[1], i, [t for t, _ in htmltext.page_lines(x)]) for i, u, x in rows if i % 3 == h)
+        for k, (path, i, lines) in enumerate(pages):
+            near = [pages[j] for j in (k - 1, k + 1) if 0 <= j < len(pages)]
+            alike = [next((n for n, (c, d) in enumerate(zip(path, other[0])) if c != d), 0) for other in near]
+            shared = htmltext.common_lines(lines, near[alike.index(max(alike))][2])
+            want[i] = "\n".join(t for t, s in zip(lines, shared) if not s)
+    pages = spark.createDataFrame(rows + rows[:20], "page_id long, url string, html string").repartition(7)
+    got = htmltext.extract(pages).collect()
+    assert len(got) == 170 and {r.page_id: r.text for r in got} == want
+
+
+def test_long_pages_align_in_little_memory():
+    import tracemalloc
+    a = list(range(12_000))
+    b = np.random.default_rng(2).permutation(a).tolist()
+    tracemalloc.start()
+    taken = htmltext.common_lines(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 150 < sum(taken) and most < 30e6
+
+
 # mixing --------------------------------------------------------------------
 
 def test_mix_meets_targets(spark, docs, odd, none):

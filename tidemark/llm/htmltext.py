@@ -1,17 +1,19 @@
-"""Main text of web pages: page structure first, then differencing against the page with the nearest URL."""
+"""Main text of web pages: each page is differenced against the page with the nearest URL; page structure checks the outcome."""
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from math import isqrt
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tidemark.llm.common import checkpointed
-from tidemark.plans.ordered import row_index
+from tidemark.plans.ranges import in_ranges
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -148,100 +150,185 @@ def common_lines(a: list, b: list) -> list[bool]:
     x, y = [i for i in range(lo, a1) if a[i] in both], [b[j] for j in range(lo, b1) if b[j] in both]
     if not x or not y:
         return taken
-    size = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    codes = {v: k for k, v in enumerate(both)}
-    row_b = np.array([codes[v] for v in y])
-    for i in range(len(x) - 1, -1, -1):
-        step = np.where(row_b == codes[a[x[i]]], size[i + 1, 1:] + 1, size[i + 1, :-1])
-        size[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
+    n, m = len(x), len(y)
+    full = (1 << m) - 1
+    places: dict = {}
+    for j, v in enumerate(y):
+        places.setdefault(v, []).append(m - 1 - j)
+    often = {v: sum(1 << p for p in at) for v, at in places.items() if len(at) > 32}  # few items can be frequent
+
+    def onward(row: int, k: int) -> int:
+        v = a[x[n - 1 - k]]
+        hit = row & (often[v] if v in often else sum(1 << p for p in places[v]))
+        return (row + hit | row & ~hit) & full
+
+    # Row k has a bit per item of y, from its end: 0 where the subsequence of x[n - k:] and y grows with that item. One row
+    # in `step` is kept, the rest of a block is made again when the walk comes to it.
+    step = isqrt(n) + 1
+    kept, row = [], full
+    for k in range(n):
+        if k % step == 0:
+            kept.append(row)
+        row = onward(row, k)
+    block, first = [], n
+
+    def at(k: int) -> int:
+        nonlocal block, first
+        if k < first:
+            first = k // step * step
+            block = [kept[first // step]]
+            while first + len(block) <= k:
+                block.append(onward(block[-1], first + len(block) - 1))
+        return block[k - first]
+
     i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == y[j] and size[i, j] == size[i + 1, j + 1] + 1:
+    here, below = row, at(n - 1)
+    while i < n and j < m:
+        same = a[x[i]] == y[j]
+        if same:
             taken[x[i]] = True
-            i, j = i + 1, j + 1
-        elif size[i + 1, j] >= size[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+        elif here >> (m - 1 - j) & 1:
+            rest = (1 << (m - j)) - 1
+            if (here & rest).bit_count() != (below & rest).bit_count():  # x[i] is in every longest one
+                j += 1
+                continue
+        i, j = i + 1, j + same
+        if i < n:
+            here, below = below, at(n - 1 - i)
     return taken
 
 
-def _unsure(at: int, keep: int):
+def _key(line: str) -> int:
+    return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _keys(at: int, keep: int):
+    """The columns before `keep`, whether the page has an article or main element, and a 64-bit hash per line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                lists = []
-                for value in part.column(at):
-                    lines = page_lines(value.as_py() or "")
-                    lists.append([] if any(s for _, s in lines) else [t for t, _ in lines])
-                yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(lists, pa.list_(pa.string()))], names=[*part.schema.names[:keep], "lines"])
+                pages = [page_lines(value.as_py() or "") for value in part.column(at)]
+                sure = pa.array([any(s for _, s in lines) for lines in pages], pa.bool_())
+                keys = pa.array([[_key(t) for t, _ in lines] for lines in pages], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], sure, keys], names=[*part.schema.names[:keep], "sure", "keys"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k1, k2, lines, other lines -> positions of the lines that both pages have in common."""
+_PLACED = ["host", "sure", "path", "k1", "k2", "keys"]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            yield from zip(*[part.column(c).to_pylist() for c in [*_PLACED, "_pid"]])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last page of a range."""
+    first = last = None
     for batch in batches:
-        found = [[i for i, t in enumerate(common_lines(a or [], b or [])) if t] for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["k1", "k2", "shared"])
+        if batch.num_rows:
+            first = first or batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1, 1)
+    if first:
+        yield from (first, last)
+
 
+def _aligned(borders: dict[int, tuple]):
+    """Sorted pages -> k1, k2, and per line whether the page shares it with its mate; `borders` has by range the page before
+    it and the page after it."""
+    def alike(row: tuple, other: tuple | None) -> int:
+        return -1 if other is None or other[:2] != row[:2] else len(os.path.commonprefix([row[2], other[2]]))
 
-def shared_lines(pages: DataFrame) -> DataFrame | None:
-    """(k1, k2, shared) for pages (k1, k2, url, html) without an article or main element; None if there is no such page.
+    def met(before: tuple | None, row: tuple, after: tuple | None) -> tuple | None:
+        near, far = alike(row, before), alike(row, after)
+        if near < 0 and far < 0:
+            return None
+        return row[3], row[4], common_lines(row[5], (before if near >= far else after)[5])
 
-    Pages of a host stand in the order of their path; each is paired with the neighbour whose path begins more like
-    its own (the earlier one on a tie). Pages with the same address and content are one. The order comes from a
-    range-partitioned sort, so a hot host is spread over tasks; only unsure lines travel, not pages.
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | None]:
+        before = row = None
+        for after in _rows(batches):
+            if row is None:
+                before = borders[after[-1]][0]
+            else:
+                yield met(before, row, after)
+                before = row
+            row = after
+        if row is not None:
+            yield met(before, row, borders[row[-1]][1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            k1, k2, shared = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(shared, pa.list_(pa.bool_()))], names=["k1", "k2", "shared"])
+
+        for row in found(batches):
+            if row:
+                out.append(row)
+            if len(out) == 512:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    return run
+
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """(k1, k2, shared) for all pages (k1, k2, url, html) that have lines and a mate; `shared` tells it line by line.
+
+    Pages of a host, those with an article or main element and those without apart, stand in the order of their path; each is
+    paired with the neighbour whose path begins more like its own (the earlier one on a tie). Pages with the same address
+    and content are one. The order comes from a range-partitioned sort, so a hot host is spread over tasks; only hashes
+    of lines travel, not pages, and of each range two pages are collected, which meet the ranges beside it.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit(""))
-    light = pages.select("k1", "k2", host.alias("host"), path.alias("path"), "html")
-    lines = checkpointed(light.mapInArrow(_unsure(4, 4), "k1 long, k2 long, host string, path string, lines array<string>").where(F.size("lines") > 0).dropDuplicates(["k1", "k2"]))
-    if lines.isEmpty():
-        return None
-    placed = checkpointed(row_index(lines.select("host", "path", "k1", "k2"), ["host"], ["path", "k1", "k2"], name="rank", split=True))
-    before, after = (placed.select("host", (F.col("rank") + step).alias("rank"), F.struct("path", "k1", "k2").alias(name)) for step, name in ((1, "before"), (-1, "after")))
-    near = placed.join(before, ["host", "rank"], "left").join(after, ["host", "rank"], "left")
-
-    def alike(other: Column) -> Column:
-        return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("path"))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring("path", 1, 1) != "") & (F.col("path").substr(F.lit(1), i) == other.substr(F.lit(1), i)), i).otherwise(n)), F.lit(-1))
-
-    mate = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull() | (alike(F.col("before")["path"]) >= alike(F.col("after")["path"])), F.col("before")).otherwise(F.col("after"))
-    pairs = near.withColumn("mate", mate).where("mate is not null").select("k1", "k2", F.col("mate.k1").alias("m1"), F.col("mate.k2").alias("m2"))
-    other = lines.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("lines").alias("others"))
-    met = pairs.join(lines.select("k1", "k2", "lines"), ["k1", "k2"]).join(other, ["m1", "m2"]).select("k1", "k2", "lines", "others")
-    return met.mapInArrow(_shared, "k1 long, k2 long, shared array<int>")
+    light = pages.select(host.alias("host"), path.alias("path"), "k1", "k2", "html")
+    lines = light.mapInArrow(_keys(4, 4), "host string, path string, k1 long, k2 long, sure boolean, keys array<long>").where(F.size("keys") > 0)
+    ranged = in_ranges(checkpointed(lines.distinct()), ["host", "sure"], ["path", "k1", "k2"], _PLACED)
+    ends = sorted(map(tuple, ranged.mapInArrow(_ends, ranged.schema).collect()), key=lambda r: r[-1])  # two rows a range, stable
+    firsts, lasts = ends[::2], ends[1::2]
+    borders = {r[-1]: (lasts[i - 1] if i else None, firsts[i + 1] if i + 1 < len(firsts) else None) for i, r in enumerate(firsts)}
+    return ranged.mapInArrow(_aligned(borders), "k1 long, k2 long, shared array<boolean>")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for every row.
+    """page_id, url, text, n_chars, n_shared, n_restored for every row.
 
     Null and empty pages have no text. Blocks outside navigation, headers, footers, sidebars, notices, adverts, forms,
-    scripts and reader comments are the page's lines. Inside an article or main element they are the text. A page
-    without either is compared with the page of its host whose URL path is nearest: a longest common subsequence aligns
-    their lines, and what both share is the site's, not the page's. A page alone on its host keeps its lines. Repeated
-    rows are one page; null URLs are a host of their own.
+    scripts and reader comments are the page's lines. Every page is compared with the page of its host whose URL path is
+    nearest: a longest common subsequence aligns their lines, and what both share (`n_shared` lines) counts as the
+    site's, not the page's. The structure of the page then checks that: a line inside an article or main element is
+    text though the neighbour has it too (`n_restored`: copies of an article, repeated sentences), and where there is such
+    an element, lines outside it are none though the neighbour lacks them. A page alone on its host keeps its lines.
+    Repeated rows are one page; null URLs are a host of their own.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     k1 = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     k2 = F.xxhash64(F.lit(1), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     keyed = rows.withColumns({"k1": k1, "k2": k2})
     shared = shared_lines(keyed.select("k1", "k2", "url", "html"))
-    joined = keyed.withColumn("shared", F.lit(None).cast("array<int>")) if shared is None else keyed.join(shared, ["k1", "k2"], "left")
-    joined = joined.select("page_id", "url", "html", "shared")
-    schema = StructType([StructField("page_id", rows.schema["page_id"].dataType), *StructType.fromDDL("url string, text string, n_chars long").fields])
+    schema = StructType([StructField("page_id", rows.schema["page_id"].dataType), *StructType.fromDDL("url string, k1 long, k2 long, lines array<string>, sure array<boolean>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = []
-                for value, gone in zip(part.column(2), part.column(3).to_pylist()):
-                    lines = page_lines(value.as_py() or "")
-                    sure = any(s for _, s in lines)
-                    away = set(gone or ())
-                    texts.append("\n".join(t for i, (t, s) in enumerate(lines) if (s if sure else i not in away)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+                found = [page_lines(value.as_py() or "") for value in part.column(4)]
+                lines, sure = ([[line[i] for line in page] for page in found] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(lines, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.bool_()))], names=schema.names)
+
+    met = keyed.select("page_id", "url", "k1", "k2", "html").mapInArrow(run, schema).join(shared, ["k1", "k2"], "left")
+    both = F.coalesce("shared", F.array().cast("array<boolean>"))
+    own = F.filter("lines", lambda t, i: ~F.coalesce(F.get(both, i), F.lit(False)))
+    inside = F.filter("lines", lambda t, i: F.get("sure", i))
+    text = F.concat_ws("\n", F.when(F.array_contains("sure", True), inside).otherwise(own))
+    return met.select("page_id", "url", text.alias("text"), F.filter(both, lambda s: s).alias("_s"), F.filter(both, lambda s, i: s & F.get("sure", i)).alias("_r")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.size("_s").cast("long").alias("n_shared"), F.size("_r").cast("long").alias("n_restored"))
