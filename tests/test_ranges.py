@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
 from tidemark.plans.ordered import running
-from tidemark.plans.ranges import apply_map, in_ranges, last_known, scan_before
+from tidemark.plans.ranges import apply_map, in_ranges, last_known, scan_before, scan_levels
 
 
 def rows_of(n, seed=1):
@@ -129,3 +129,33 @@ def test_filtered_volatility_equals_the_rule(spark):
         state[k], (v,) = rule.advance(state.get(k) or rule.init(), ret)
         assert got[(k, i)] == pytest.approx(v, rel=1e-9)
     assert len(got) == len(rows) and filtered_volatility(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 400])
+def test_scans_that_build_on_scans(spark, batches, n):
+    rows = [(k, i, v or 0.0) for k, i, v in rows_of(n, 3)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(4)
+    levels = [{"x": ("affine", lambda c: (0.5, c["v"]), 3.0)}, {"y": ("reflect", lambda c: (c["x"] + c["v"], -1.0), 0.0)}, {"z": ("affine", lambda c: (0.25, c["x"] * c["y"]), 1.0)}]
+    ranged = in_ranges(df, ["k"], ["i"])
+    found = scan_levels(ranged, ["k"], ["v"], levels, after=["z"])
+    want, state = {}, {}
+    for k, i, v in rows:
+        x, y, z = state.get(k, (3.0, 0.0, 1.0))
+        state[k] = (0.5 * x + v, max(y + x + v, -1.0), 0.25 * z + x * y)
+        want[i] = (x, y, z, state[k][2])
+    got = {r.i: (r.x, r.y, r.z, r._after_z) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
+    assert found.columns == [*ranged.columns, "x", "y", "z", "_after_z"]
+
+
+def test_ledger_rows_are_written_once(spark, monkeypatch):
+    from tidemark.plans import ranges
+    written, rows = [], [("p", "S", i, "buy", 1.0, 2.0) for i in range(40)]
+    monkeypatch.setattr(ranges, "materialized", lambda df, write=ranges.materialized: written.append(df) or write(df))
+    df = spark.createDataFrame(rows, "portfolio string, symbol string, seq long, action string, quantity double, price double").withColumn("ts", F.timestamp_seconds("seq"))
+    ledger = B.average_cost(df, ["portfolio", "symbol"])
+    assert ledger.columns == ["portfolio", "symbol", "held", "avg_price", "realized", "n"] and ledger.count() == 40
+    assert len(written) == 1  # three times before: the sort and both scans
+    prices = spark.createDataFrame([("S", 3.0)], "symbol string, price double")
+    row, = B.positions_summary(ledger, prices).collect()
+    assert row[:2] == ("p", "S") and row[2:] == pytest.approx((40.0, 2.0, 3.0, 0.0, 120.0, 40.0))

@@ -35,7 +35,7 @@ _AC = """WITH RECURSIVE """ + sql("tr", "", t="select *, row_number() over (part
   case when t."action" = 'buy' then 0 else t.quantity * (t.price - r.avg_price) end from r join t on t.portfolio = r.portfolio and t.symbol = r.symbol and t.i = r.i + 1) """
 register("BK4_average_cost", lambda s, d: B.average_cost(X.trades(s, d)).drop("n"), _AC + 'select portfolio, symbol, ts, "action", quantity, price, held, avg_price, realized from r', "price:9 avg_price:9 realized:8 held")
 register("BK9_positions_summary",
-         lambda s, d: B.positions_summary(B.average_cost(X.trades(s, d)), X.suppliers(s, d).groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))),
+         lambda s, d: B.positions_summary(B.average_cost(X.trades(s, d), ["portfolio", "symbol"]), X.last_prices(s, d)),
          _AC.rstrip() + ", " + sql("sb", "")[5:].strip() + """ select portfolio, symbol, held, avg_price, price, realized, held * price market_value, held * (price - avg_price) unrealized from (select portfolio, symbol, arg_max(held, i) held,
          arg_max(avg_price, i) avg_price, sum(realized) realized from r group by 1, 2) join (select symbol, arg_max(close, ts) price from sb group by 1) using (symbol) where held > 0""",
          "held avg_price:9 price:9 realized:8 market_value:8 unrealized:8")

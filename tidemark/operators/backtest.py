@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.operators import indicators as I
 from tidemark.operators.aggregate import kurt_unbiased, skew_unbiased
 from tidemark.plans.ordered import over_rows, running, stepwise
-from tidemark.plans.ranges import in_ranges, scan_before
+from tidemark.plans.ranges import in_ranges, scan_levels
 
 K = ("symbol",)
 
@@ -97,29 +97,38 @@ def execute_orders(orders: DataFrame, capital: float = 1_000_000.0, commission:
                     "accepted boolean, cash double, held double, avg_price double, realized double")
 
 
-def average_cost(trades: DataFrame) -> DataFrame:
-    """Running quantity, average cost and realized gain per (portfolio, symbol); a position at or below
-    1e-8 is removed, so a sale without shares leaves nothing behind. `n` numbers the fills of a position.
+def average_cost(trades: DataFrame, keep=FILL) -> DataFrame:
+    """Running quantity, average cost and realized gain per (portfolio, symbol), beside the columns `keep` of the
+    fills; a position at or below 1e-8 is removed, so a sale without shares leaves nothing behind. `n` numbers the
+    fills of a position.
 
     Two scans over sorted ranges, so a position with many fills lies in many tasks: holdings are running
-    sums that a sale cannot bring below zero; given them, a fill maps the average cost x to a x + b.
+    sums that a sale cannot bring below zero; given them, a fill maps the average cost x to a x + b. The sorted
+    fills are written once; the ledger is computed where it is read.
     """
-    keys, buy, q, p = ["portfolio", "symbol"], F.col("action") == "buy", F.col("quantity").cast("double"), F.col("price").cast("double")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    x = in_ranges(trades.select(*FILL, "seq"), keys, ["ts", "seq"], FILL)
-    x = scan_before(x, keys, {"_had": ("reflect", F.when(buy, q).otherwise(-q), F.when(buy, F.lit(float("-inf"))).otherwise(zero), 0.0), "n": ("affine", one, one, 0.0)})
-    had = F.when(F.col("_had") > 1e-8, F.col("_had")).otherwise(zero)
-    x = x.withColumn("held", F.when(buy, had + q).when(had - q > 1e-8, had - q).otherwise(zero))
-    a = F.when(buy, F.when(had > 0, had / (had + q)).otherwise(zero)).when(F.col("held") > 0, one).otherwise(zero)
-    b = F.when(buy, F.when(had > 0, q * p / (had + q)).otherwise(p)).otherwise(zero)
-    x = scan_before(x, keys, {"_avg": ("affine", a, b, 0.0)})
-    return x.select(*FILL, "held", (a * F.col("_avg") + b).alias("avg_price"), F.when(buy, zero).otherwise(q * (p - F.col("_avg"))).alias("realized"), F.col("n").cast("long").alias("n"))
+    keys, inputs = ["portfolio", "symbol"], ["_buy", "_q", "_p"]
+
+    def holdings(c):
+        return np.where(c["_buy"], c["_q"], -c["_q"]), np.where(c["_buy"], -np.inf, 0.0)
+
+    def cost(c):
+        had = np.where(c["_had"] <= 1e-8, 0.0, c["_had"])
+        more, any_held, left = had + c["_q"], ~(had <= 0), ~(had - c["_q"] <= 1e-8)
+        return (np.where(c["_buy"], np.where(any_held, had / more, 0.0), np.where(left, 1.0, 0.0)),
+                np.where(c["_buy"], np.where(any_held, c["_q"] * c["_p"] / more, c["_p"]), 0.0))
+
+    fills = trades.withColumns({"_buy": F.coalesce(F.col("action") == "buy", F.lit(False)), "_q": F.col("quantity").cast("double"), "_p": F.col("price").cast("double")})
+    x = in_ranges(fills.select(*dict.fromkeys([*FILL, *keep, "seq", *inputs])), keys, ["ts", "seq"], list(dict.fromkeys([*keys, *keep, *inputs])))
+    x = scan_levels(x, keys, inputs, [{"_had": ("reflect", holdings, 0.0), "n": ("affine", lambda c: (1.0, 1.0), 0.0)}, {"_avg": ("affine", cost, 0.0)}], after=["_avg"])
+    buy, q, zero, had = F.col("_buy"), F.col("_q"), F.lit(0.0), F.when(F.col("_had") > 1e-8, F.col("_had")).otherwise(F.lit(0.0))
+    held = F.when(buy, had + q).when(had - q > 1e-8, had - q).otherwise(zero)
+    return x.select(*keep, held.alias("held"), F.col("_after__avg").alias("avg_price"), F.when(buy, zero).otherwise(q * (F.col("_p") - F.col("_avg"))).alias("realized"), F.col("n").cast("long").alias("n"))
 
 
 def positions_summary(ledger: DataFrame, prices: DataFrame, order: str = "n") -> DataFrame:
     """Open positions at the end with market value and gains: last ledger row per position."""
-    last = ledger.groupBy("portfolio", "symbol").agg(F.max_by(F.struct("held", "avg_price"), order).alias("l"), F.sum("realized").alias("realized"))
-    p = last.where("l.held > 0").join(prices, "symbol", "left").select("portfolio", "symbol", "l.held", "l.avg_price", "price", "realized")
+    last = ledger.groupBy("portfolio", "symbol").agg(F.max_by("held", order).alias("held"), F.max_by("avg_price", order).alias("avg_price"), F.sum("realized").alias("realized"))
+    p = last.where("held > 0").join(prices, "symbol", "left").select("portfolio", "symbol", "held", "avg_price", "price", "realized")
     return p.withColumns({"market_value": F.col("held") * F.col("price"), "unrealized": F.col("held") * (F.col("price") - F.col("avg_price"))})
 
 
