@@ -128,6 +128,25 @@ def test_risk_shares_and_brinson(spark):
     assert abs(PF.brinson(p, b).agg(F.sum("total")).first()[0] - (.6 * .1 + .4 * .2 - .5 * .05 - .5 * .1)) < 1e-12
 
 
+def test_factor_attribution_by_hand(spark):
+    rets = spark.createDataFrame([("p", 1, 0.5), ("p", 1, 0.25), ("p", 2, None), ("p", 3, 1.0), ("q", 1, 2.0), ("r", 9, None)], "portfolio string, ts int, ret double")
+    exposures = spark.createDataFrame([("p", 1, "A", 2.0), ("p", 1, "B", 1.0), ("p", 2, "A", 3.0), ("p", 3, "C", 9.0), ("s", 1, "A", 4.0), ("q", 5, "A", 1.0)], "portfolio string, ts int, factor string, exposure double")
+    factors = spark.createDataFrame([(1, "A", 0.1), (2, "A", 0.2), (1, "B", None), (5, "A", 0.5)], "ts int, factor string, factor_ret double")
+    got = {(r.portfolio, r.factor): r.contribution for r in PF.factor_attribution(rets, exposures, factors).collect()}
+    # both returns of a date lose what it explains; a date without a return explains nothing; C has no return
+    assert got == {("p", "A"): pytest.approx(0.8), ("p", "B"): None, ("p", "specific"): pytest.approx(0.3 + 0.05 + 1.0), ("q", "A"): pytest.approx(0.5), ("q", "specific"): 2.0,
+                   ("r", "specific"): None, ("s", "A"): pytest.approx(0.4)}
+
+
+def test_factor_attribution_moves_no_contributions(spark):
+    from tidemark.catalog import load_all
+    from tidemark.catalog.registry import QUERIES
+    load_all()
+    plan = QUERIES["PT8_factor_attribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = plan.count("Exchange hashpartitioning(symbol")  # bars of both frames, by symbol and day and by symbol
+    assert rows == 4 and plan.count("Exchange hashpartitioning(") == rows
+
+
 def test_structural_breaks_brute_force(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 1, 120), rng.normal(4, 1, 90), rng.normal(-3, 1, 100)])

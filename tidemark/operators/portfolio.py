@@ -71,13 +71,29 @@ def brinson(port: DataFrame, bench: DataFrame, keys=("portfolio",)) -> DataFrame
 
 def factor_attribution(rets: DataFrame, exposures: DataFrame, factors: DataFrame) -> DataFrame:
     """Σ exposure x factor return per factor, and what is left as 'specific'."""
-    contrib = exposures.join(factors, ["ts", "factor"]).withColumn("c", F.col("exposure") * F.col("factor_ret"))
-    named = contrib.groupBy("portfolio", "factor").agg(F.sum("c").alias("contribution"))
-    explained = contrib.groupBy("portfolio", "ts").agg(F.sum("c").alias("_e"))
-    rest = (rets.join(explained, ["portfolio", "ts"], "left").groupBy("portfolio")
-            .agg(F.sum(F.col("ret") - F.coalesce("_e", F.lit(0.0))).alias("contribution"))
-            .select("portfolio", F.lit("specific").alias("factor"), "contribution"))
-    return named.unionByName(rest)
+    own = rets.groupBy("portfolio", "ts").agg(F.sum("ret").alias("ret"), F.count("ret").alias("n"))
+    held = exposures.groupBy("portfolio", "ts").agg(F.collect_list(F.struct("factor", "exposure")).alias("exposures"))
+    return attribute_rows(own.join(held, ["portfolio", "ts"], "full"), factors)
+
+
+def attribute_rows(rows: DataFrame, factors: DataFrame, few_dates: bool = False) -> DataFrame:
+    """`factor_attribution` of rows that hold their exposures: rows(portfolio, ts, ret, n, exposures), where `exposures` is an
+    array of (factor, exposure), `ret` the sum of n returns, and n null where there is no return.
+
+    What a portfolio's factors explain is taken from their sums, so contributions are never summed or joined per date.
+    `few_dates`: the dates of `factors` are bounded by a calendar, and it goes to every task.
+    """
+    own = F.array(F.struct(F.lit(True).alias("rest"), F.lit(None).cast("string").alias("factor"), F.col("ret").cast("double").alias("exposure")))
+    held = F.transform(F.coalesce("exposures", F.array()), lambda e: F.struct(F.lit(False).alias("rest"), e["factor"].alias("factor"), e["exposure"].cast("double").alias("exposure")))
+    x = rows.select("portfolio", "ts", "n", F.explode(F.when(F.col("n").isNull(), held).otherwise(F.concat(own, held))).alias("e")).select("portfolio", "ts", "n", "e.*")
+    known = factors.select("ts", "factor", "factor_ret", F.lit(True).alias("_known"))
+    x = x.join(F.broadcast(known) if few_dates else known, ["ts", "factor"], "left").where("rest or _known")
+    c = F.when(F.col("rest"), F.col("exposure")).otherwise(F.col("exposure") * F.col("factor_ret"))
+    sums = x.groupBy("portfolio", "rest", "factor").agg(F.sum(c).alias("c"), F.sum(F.col("n") * c).alias("e"))
+    named = F.collect_list(F.when(~F.col("rest"), F.struct("factor", F.col("c").alias("contribution"))))  # a row per factor
+    left = F.sum(F.when(F.col("rest"), F.col("c"))) - F.coalesce(F.sum(F.when(~F.col("rest"), F.col("e"))), F.lit(0.0))
+    both = sums.groupBy("portfolio").agg(named.alias("named"), F.max("rest").alias("any"), F.struct(F.lit("specific").alias("factor"), left.alias("contribution")).alias("left"))
+    return both.select("portfolio", F.explode(F.when(F.col("any"), F.concat("named", F.array("left"))).otherwise(F.col("named"))).alias("p")).select("portfolio", "p.*")
 
 
 def style_attribution(df: DataFrame, factors: list[str], ret="ret", key="portfolio") -> DataFrame:
