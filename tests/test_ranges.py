@@ -1,5 +1,6 @@
 """Scans along keys that spread over many ranges and Arrow batches, against a loop."""
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,37 @@ def test_a_portfolio_goes_on_in_the_next_piece(spark, monkeypatch):
     assert sorted(got, key=str) == sorted([(p, t, 3.0 * (t + 1)) for p in (None, 1, 2) for t in range(3)], key=str)
 
 
+def test_products_leave_little_on_disk(spark, tmp_path):
+    """Ranges that hold the same symbols become one, returns travel with dates in a list of their own, and what was
+    shuffled on the way to the stored inputs is gone."""
+    from tidemark.operators import align
+    from tidemark.plans import session
+    r = spark.range(30 * 40).selectExpr("concat('s', id div 40) symbol", "cast(date_add(date'2024-01-01', int(id % 40)) as timestamp) ts", "1.0D ret")
+    w = spark.range(64 * 30).selectExpr("id div 30 portfolio", "concat('s', id % 30) symbol", "0.5D weight")
+    right, left = align._met(r, w.withColumn("_p", (F.col("portfolio") % 4).cast("int")), 3)
+    assert right.selectExpr("sum(size(entries)) n", "sum(size(days)) d").first() == (4 * 30 * 40, 4 * 30 * 40) and left.count() == 3 * 64 * 30
+    dealt = w.repartitionByRange(32, "portfolio").withColumn("_p", F.spark_partition_id())
+    ranges = dealt.select("_p").distinct().count()
+    assert align._layout(r, dealt, 32, 1 << 22, 40, 4096, 2) == (16, 1)  # 32 ranges of the same symbols: two blocks are enough
+    assert ranges >= 16 and align._layout(r, dealt, 32, 100, 40, 4096, 2) == (32, 12)  # twelve blocks of dates give tasks enough
+    got = align.portfolio_returns(r, w)
+    assert got.schema["ts"].dataType.simpleString() == "timestamp" and got.count() == 64 * 40 and got.where("ret != 15").count() == 0
+    assert got.agg(F.min("ts"), F.max("ts")).first() == r.agg(F.min("ts"), F.max("ts")).first()
+
+    def kept() -> int:
+        blocks = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(blocks.apply(i).getName().startswith("shuffle_") for i in range(blocks.size()))
+
+    before = kept()
+    rows = session.stored(spark.range(1000).repartition(5, "id").withColumn("k", F.col("id") % 7))
+    for _ in range(100):  # files go a moment after the write
+        if kept() > before:
+            time.sleep(0.1)
+    assert kept() <= before
+    assert rows.count() == 1000 and rows.columns == ["id", "k"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_filtered_volatility_equals_the_rule(spark):
     from tidemark.streaming.rules import VolatilityFilter
     from tidemark.streaming.ticks import filtered_volatility

@@ -7,10 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType, TimestampNTZType, TimestampType
 
 from tidemark.plans.ordered import row_index, running
-from tidemark.plans.session import materialized
+from tidemark.plans.session import stored
 
 
 def align_complete(rets: DataFrame) -> DataFrame:
@@ -100,15 +100,17 @@ _TERMS = 1 << 21
 
 
 class _Returns:
-    """Returns of one block: the entries of a symbol lie side by side, dates are codes."""
+    """Returns of one block: the entries of a symbol lie side by side, dates are codes. Entries are pairs (ts, ret), or returns
+    with their `days` in a list of their own, which takes half the room."""
 
     def __init__(self, parts: list[pa.RecordBatch]):
         rows = pa.Table.from_batches(parts).combine_chunks()
         self.symbols, lists = rows["symbol"].combine_chunks(), rows["entries"].combine_chunks()
+        apart = "days" in rows.column_names
         stop = np.cumsum(lists.value_lengths().to_numpy())
         self.size = np.diff(stop, prepend=0)
         self.start = stop - self.size
-        ts, ret = lists.flatten().flatten()
+        ts, ret = (rows["days"].combine_chunks().flatten(), lists.flatten()) if apart else lists.flatten().flatten()
         coded = ts.dictionary_encode(null_encoding="encode")
         self.days, self.day, self.ret = coded.dictionary, coded.indices.to_numpy().astype(np.int64), ret.to_numpy()
 
@@ -140,7 +142,7 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield rows(*held)
                 block, parts, rets, held = own, [], None, None
             if mark[2, lo] == 0:
-                parts.append(part.select(["symbol", "entries"]))
+                parts.append(part.select([c for c in ("symbol", "days", "entries") if c in part.schema.names]))
                 continue
             if rets is None:
                 if not parts:  # none of the block's symbols has a return
@@ -172,32 +174,51 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(r: DataFrame, w: DataFrame, down: int) -> tuple[DataFrame, DataFrame]:
     """Returns and weights as rows of blocks (_p, _d): a symbol's returns go to the blocks of portfolios that hold it."""
-    day = F.pmod(F.xxhash64("ts"), F.lit(down)).cast("int")
-    packed = r.groupBy("symbol", day.alias("_d")).agg(F.collect_list(F.struct("ts", "ret")).alias("entries"))
-    kind = packed.schema["entries"].dataType.simpleString()
-    left = w.select("_p", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_d"), F.lit(1).alias("_side"), "portfolio", "symbol", "weight", F.lit(None).cast(kind).alias("entries"))
-    right = w.select("_p", "symbol").distinct().join(packed, "symbol").select(
-        "_p", "_d", F.lit(0).alias("_side"), F.lit(None).cast(w.schema["portfolio"].dataType).alias("portfolio"), "symbol", F.lit(None).cast("double").alias("weight"), "entries")
+    day, every = F.pmod(F.xxhash64("ts"), F.lit(down)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(down - 1)))
+    packed = r.groupBy("symbol", day.alias("_d")).agg(F.collect_list(F.struct("ts", "ret")).alias("_e")).select("symbol", "_d", F.col("_e.ts").alias("days"), F.col("_e.ret").alias("entries"))
+    held = w.select("_p", "symbol").distinct().withColumn("_d", every)
+    none = {c: F.array().cast(packed.schema[c].dataType).alias(c) for c in ("days", "entries")}  # empty: a null list makes Arrow's writer fill a whole batch anew for each row
+    left = w.select("_p", every.alias("_d"), F.lit(1).alias("_side"), "portfolio", "symbol", "weight", none["days"], none["entries"])
+    right = held.join(packed, ["symbol", "_d"]).select(  # on both, as `packed` is dealt: it is not shuffled again
+        "_p", "_d", F.lit(0).alias("_side"), F.lit(None).cast(w.schema["portfolio"].dataType).alias("portfolio"), "symbol", F.lit(None).cast("double").alias("weight"), "days", "entries")
     return right, left
 
 
+def _layout(r: DataFrame, w: DataFrame, across: int, cells: int, n_dates: int, dates: int, tasks: int) -> tuple[int, int]:
+    """How many neighbouring ranges of portfolios become one, and into how many blocks of dates: the least rows to send
+    (returns once per range that holds them, weights once per block of dates) with as many blocks as tasks, where there are so many."""
+    steps = [1 << k for k in range(max(across - 1, 0).bit_length() + 1)]
+    counts = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    held = w.groupBy("_p", "symbol").agg(F.count(F.lit(1)).alias("k")).join(counts, "symbol")
+    g = held.select(F.explode(F.array(*map(F.lit, steps))).alias("g"), "_p", "symbol", "n", "k").withColumn("_p", F.floor(F.col("_p") / F.col("g")))
+    each = g.groupBy("g", "_p", "symbol").agg(F.first("n").alias("n"), F.sum("k").alias("k")).groupBy("g", "_p").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    found = each.groupBy("g").agg(F.sum("n").alias("sent"), F.max("n").alias("most"), F.sum("k").alias("weights"), F.count(F.lit(1)).alias("ranges")).collect()
+    options = []
+    for x in found:
+        down = max(1, min(n_dates, max(-(-x["most"] // cells), -(-n_dates // dates))))
+        options.append((max(0, tasks - x["ranges"] * down), x["sent"] + x["weights"] * down, x["g"], down))
+    return min(options)[2:] if options else (1, 1)
+
+
 def portfolio_returns(rets: DataFrame, weights: DataFrame, cells: int = 1 << 22, portfolios: int = 16_384, dates: int = 4096) -> DataFrame:
     """Weighted sum of aligned returns: (portfolio, ts, ret), for dates on which a held symbol has a return.
 
     A product of two sparse matrices, portfolio x symbol and symbol x date. Ranges of at most about `portfolios` portfolios
     meet blocks of at most about `dates` dates, fewer where a range's symbols have more than `cells` returns. A task holds the
     returns of a block, some tens of megabytes whatever the data; the weights stream past, portfolio by portfolio. The returns
-    of a symbol are sent once per range of portfolios that holds it and a weight once per block of dates; no (weight, return)
+    of a symbol are sent once per range of portfolios that holds it and a weight once per block of dates; where ranges hold
+    much the same symbols, neighbours become one, as far as there are blocks enough for all cores. No (weight, return)
     pair ever becomes a row, and each result row is made in one place. Null weights and returns are absent ones, as are null
-    symbols; repeated rows add up. The two inputs are written once and counted when the plan is built.
+    symbols; repeated rows add up. The two inputs are written once, as Parquet, and counted when the plan is built.
     """
     spark = rets.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    r = materialized(rets.where("ret is not null and symbol is not null").groupBy("symbol", "ts").agg(F.sum(F.col("ret").cast("double")).alias("ret")))
+    cores = spark.sparkContext.defaultParallelism
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    r = stored(rets.where("ret is not null and symbol is not null").groupBy("symbol", "ts").agg(F.sum(F.col("ret").cast("double")).alias("ret")))
     known = weights.where("weight is not null and symbol is not null").select("portfolio", "symbol", F.col("weight").cast("double").alias("weight"))
 
     def ranged(rows: DataFrame, across: int) -> DataFrame:
-        return materialized(rows.repartitionByRange(across, "portfolio").withColumn("_p", F.spark_partition_id()))
+        return stored(rows.repartitionByRange(across, "portfolio").withColumn("_p", F.spark_partition_id()).sortWithinPartitions("portfolio", "symbol"))
 
     across = n
     w = ranged(known, across)
@@ -205,10 +226,15 @@ def portfolio_returns(rets: DataFrame, weights: DataFrame, cells: int = 1 << 22,
     if n_portfolios > across * portfolios:
         across = -(-n_portfolios // portfolios)
         w = ranged(w.drop("_p"), across)
-    counts = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    most = w.select("_p", "symbol").distinct().join(counts, "symbol").groupBy("_p").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-    n_dates = r.agg(F.approx_count_distinct("ts")).first()[0]
-    down = max(1, min(n_dates, max(-(-most // cells), -(-n_dates // dates))))
-    right, left = _met(r, w, down)
+    kind = r.schema["ts"].dataType
+    timed = isinstance(kind, (TimestampType, TimestampNTZType))
+    midnights = F.every(F.col("ts").eqNullSafe(F.col("ts").cast("date").cast(kind))) if timed else F.lit(False)
+    n_dates, daily = r.agg(F.approx_count_distinct("ts"), midnights).first()
+    if daily:  # dates travel in half the room
+        r = r.withColumn("ts", F.col("ts").cast("date"))
+    g, down = _layout(r, w, across, cells, n_dates, dates, 2 * cores)
+    w = w.withColumn("_p", F.floor(F.col("_p") / g).cast("int"))
     schema = StructType([w.schema["portfolio"], r.schema["ts"], StructField("ret", DoubleType())])
-    return (right.union(left).repartition(max(n, min(across * down, 10_000)), "_p", "_d").sortWithinPartitions("_p", "_d", "_side", "portfolio").mapInArrow(_products, schema))
+    right, left = _met(r, w, down)
+    blocks = right.union(left).repartition(max(n, min(-(-across // g) * down, 10_000)), "_p", "_d").sortWithinPartitions("_p", "_d", "_side", "portfolio")
+    return blocks.mapInArrow(_products, schema).withColumn("ts", F.col("ts").cast(kind))
