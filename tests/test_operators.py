@@ -96,6 +96,45 @@ def test_covariance_blocks(spark):
         assert abs(cov - want) < 1e-10
 
 
+@pytest.mark.parametrize("tile,dates,cells", [(4, 3, 1 << 21), (8, 5, 20), (3, 2, 4)])
+def test_pair_sums_by_tiles(spark, monkeypatch, tile, dates, cells):
+    """More symbols than a tile and more dates than a product: sums of tiles, and those folded on the way, equal a plain sum."""
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(17, 20)) * 3
+    m[rng.random(m.shape) < 0.4] = np.nan
+    m[3] = np.nan
+    names = [f"S{i:02}" for i in rng.permutation(20)]
+    for k, x in (("_TILE", tile), ("_DATES", dates), ("_BLOCK_CELLS", cells)):
+        monkeypatch.setattr(G, k, x)
+    kinds = [("bi", pa.int32()), ("bj", pa.int32()), ("ts", pa.timestamp("us")), ("side", pa.int32()), ("s", pa.list_(pa.string())), ("v", pa.list_(pa.float64()))]
+    for sides in ([range(20)], [range(0, 20, 2), range(1, 20, 2)]):
+        rows = [(0, len(sides) - 1, t, k, [names[i] for i in own if m[t, i] == m[t, i]], [m[t, i] for i in own if m[t, i] == m[t, i]]) for t in range(17) for k, own in enumerate(sides)]
+        rows = [r for r in rows if r[4]]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows[i:i + 3]), kinds)], names=[k for k, _ in kinds]) for i in range(0, len(rows), 3)]
+        got = {(r["sym_i"], r["sym_j"]): [r[k] for k in G._PairBlock.SUMS] for b in G._gram(iter(batches)) for r in b.to_pylist()}
+        want = {}
+        for i in sides[0]:
+            for j in sides[-1]:
+                a, b = sorted((i, j), key=lambda c: names[c])
+                both = m[:, [a, b]][~np.isnan(m[:, [a, b]]).any(axis=1)]
+                if len(both):
+                    x, y = both.T
+                    want[(names[a], names[b])] = [len(x), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_many_symbols_shuffle_no_pair(spark, monkeypatch):
+    """Fewer pairs of blocks than tasks: pairs of symbols, far more than returns, stay where they are summed."""
+    monkeypatch.setattr(G, "_TILE", 16)
+    long = spark.range(60 * 5).selectExpr("concat('S', id div 5) symbol", "timestamp_seconds(id % 5) ts", "double(id * id % 7) ret")
+    sums = G.pair_sums(long)
+    assert "sum(" not in sums._jdf.queryExecution().executedPlan().toString()
+    assert sums.count() == 60 * 61 // 2 and sums.where("n != 5").count() == 0
+    few = G.pair_sums(spark.range(2000).selectExpr("concat('S', id % 20) symbol", "timestamp_seconds(id div 20) ts", "1.0D ret"))
+    assert few.count() == 210 and few.where("n != 100 or sxy != 100").count() == 0
+
+
 def test_pair_blocks_are_whole_and_bounded(spark):
     rng = np.random.default_rng(4)
     m = pd.DataFrame(rng.normal(size=(9, 60)), columns=[f"S{i}" for i in range(60)]).mask(rng.random((9, 60)) < 0.5)
