@@ -426,6 +426,37 @@ def test_rows_of_a_key_are_held_compact():
     np.testing.assert_array_equal(got["prev"].to_numpy(dtype=float), want["price"].shift().to_numpy())
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_many_rows_of_a_key_wait_outside_memory(monkeypatch, shuffled):
+    """Far more rows than a run: merged from a file in order, alike rows as they came, in memory that does not grow with them."""
+    import tracemalloc
+    monkeypatch.setattr(T, "_RUN", 10_000)
+    monkeypatch.setattr(T, "_PIECE", 500)
+    rng, n = np.random.default_rng(5), 100_000
+    order = rng.permutation(n) if shuffled else np.arange(n)
+
+    def frames():
+        for lo in range(0, n, 10_000):
+            i = order[lo:lo + 10_000]
+            f = pd.DataFrame({"k": "a", "ts": DAY + pd.to_timedelta(i // 3, unit="s"), "bucket": [None if x % 7 == 3 else f"hour {x % 5}" for x in i], "price": np.where(i == 9, np.nan, i + 0.5)})
+            f.loc[i == 11, "ts"] = pd.NaT
+            yield f
+
+    want = pd.concat(list(frames())).sort_values(["bucket", "ts"], kind="stable")["price"].to_numpy()
+    proc = T._RuleProcessor(["k"], {}, ["bucket", "ts"], rules.PreviousPrice(), ["price"], ["prev"], None)
+    proc.state = type("State", (), {"exists": lambda self: False, "update": lambda self, v: None})()
+    tracemalloc.start()
+    got = np.full(n, -1.0)
+    at = 0
+    for piece in proc.handleInputRows(("a",), frames(), None):
+        got[at:at + len(piece)] = piece["price"]
+        at += len(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and peak < 6e6, peak
+    np.testing.assert_array_equal(got, want)
+
+
 def test_registry_contract():
     import __spark_entry__ as e
     q, o = e.queries(), e.oracle_sql()

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import os
 import pickle
+import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,12 +59,19 @@ def batch_rule(df: DataFrame, keys: list[str], order: list[str], rule, keep: lis
     return stepwise(df, keys, order, rule.init, rule.advance, rule.inputs, keep, rule.outputs)
 
 
+#: Rows of a key sorted at once, and rows of a sorted run that are read back at once.
+_RUN, _PIECE = 200_000, 5_000
+
+
 class _Rows:
     """Rows of one key in a micro-batch, column by column: numbers and times as arrays, other values as codes of a dictionary.
-    Only a piece of them at a time becomes Python values."""
+    Only a piece of them at a time becomes Python values. More than `_RUN` rows wait as sorted runs in a local temp file and
+    are merged piece by piece, so memory holds a run, then pieces that overlap in the order, and the different values of a
+    dictionary. Rows are sorted by `order`, nulls last; rows alike in it stay as they came."""
 
-    def __init__(self, columns: list[str]):
-        self.columns, self.parts, self.words, self.whole = columns, {c: [] for c in columns}, {}, set()
+    def __init__(self, columns: list[str], order: list[str]):
+        self.columns, self.order, self.words, self.whole = columns, order, {}, set()
+        self.parts, self.held, self.seen, self.file, self.index = {c: [] for c in columns}, 0, 0, None, []
 
     def add(self, f: pd.DataFrame) -> None:
         for c in self.columns:
@@ -79,29 +88,85 @@ class _Rows:
                 except TypeError:  # lists and structs have no hash
                     self.whole.add(c)
             self.parts[c].append(x.to_numpy(dtype=object))
-
-    def _values(self, c: str, x: np.ndarray) -> np.ndarray:
-        if c not in self.words:
-            return x
-        words = np.empty(len(self.words[c]) + 1, dtype=object)
-        words[:-1] = list(self.words[c])
-        return words[x]
+        self.held += len(f)
+        if self.held >= _RUN:
+            self._spill()
+
+    def _lists(self) -> dict[str, np.ndarray]:
+        """Words by code; the last is the null."""
+        lists = {}
+        for c, known in self.words.items():
+            lists[c] = np.empty(len(known) + 1, dtype=object)
+            lists[c][:-1] = list(known)
+        return lists
 
     def _rank(self, c: str, x: np.ndarray) -> np.ndarray:
         if c not in self.words:
             return x
-        place = {w: i for i, w in enumerate(sorted(self.words[c]))}
-        return np.array([*[place[w] for w in self.words[c]], len(place)])[x]
-
-    def pieces(self, order: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
-        """The rows sorted by `order`, nulls last; ends with the rows given up."""
-        if not self.parts[self.columns[0]]:
-            return
-        columns = {c: np.concatenate(self.parts.pop(c)) for c in self.columns}
-        at = np.lexsort([self._rank(c, columns[c]) for c in reversed(order)])
-        for lo in range(0, len(at), size):
-            i = at[lo:lo + size]
-            yield pd.DataFrame({c: self._values(c, columns[c][i]) for c in self.columns})
+        words, code = self._lists()[c], np.unique(x)
+        place = np.full(len(words), len(words))
+        place[sorted((i for i in code.tolist() if i >= 0), key=lambda i: words[i])] = np.arange((code >= 0).sum())
+        return place[x]
+
+    def _sorted(self, columns: dict) -> dict:
+        at = np.lexsort([columns[None], *[self._rank(c, columns[c]) for c in reversed(self.order)]])
+        return {c: x[at] for c, x in columns.items()}
+
+    def _rows(self) -> dict:
+        """The rows held, sorted, with their places in the order of arrival under None."""
+        columns = {c: np.concatenate(x) if x else np.zeros(0) for c, x in self.parts.items()}
+        columns[None] = np.arange(self.seen, self.seen + self.held)
+        self.parts, self.seen, self.held = {c: [] for c in self.columns}, self.seen + self.held, 0
+        return self._sorted(columns)
+
+    def _key(self, columns: dict, i: int, words: dict[str, np.ndarray]) -> tuple:
+        def part(c: str) -> tuple:
+            v = columns[c][i]
+            if c in words:
+                return (0, words[c][v]) if v >= 0 else (1, 0)
+            return (0, v) if v == v else (1, 0)
+
+        return (*[part(c) for c in self.order], int(columns[None][i]))
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile(prefix="tidemark-rows-")
+        rows, words = self._rows(), self._lists()
+        for lo in range(0, len(rows[None]), _PIECE):
+            part = {c: x[lo:lo + _PIECE] for c, x in rows.items()}
+            self.index.append((self._key(part, 0, words), self.file.tell()))
+            pickle.dump(part, self.file, 5)
+
+    def _merged(self) -> Iterator[dict]:
+        """The sorted runs as one; a piece is read when the rows before its first have gone."""
+        words, pool, left = self._lists(), [], 0
+        self.index.sort()
+        for k, (_, at) in enumerate(self.index):
+            self.file.seek(at)
+            pool.append(pickle.load(self.file))
+            last = k + 1 == len(self.index)
+            if last or sum(len(x[None]) for x in pool) > max(3 * _PIECE, 2 * left):
+                rows = self._sorted({c: np.concatenate([x[c] for x in pool]) for c in pool[0]})
+                n = len(rows[None])
+                cut = n if last else bisect_left(range(n), self.index[k + 1][0], key=lambda i: self._key(rows, i, words))
+                yield {c: x[:cut] for c, x in rows.items()}
+                left, pool = n - cut, [{c: x[cut:].copy() for c, x in rows.items()}]
+        self.file.close()
+
+    def pieces(self, size: int = 10_000) -> Iterator[pd.DataFrame]:
+        """The rows in order; ends with the rows given up."""
+        if self.file is None:
+            if not self.held:
+                return
+            runs = iter((self._rows(),))
+        else:
+            if self.held:
+                self._spill()
+            runs = self._merged()
+        words = self._lists()
+        for rows in runs:
+            for lo in range(0, len(rows[None]), size):
+                part = {c: rows[c][lo:lo + size] for c in self.columns}
+                yield pd.DataFrame({c: words[c][x] if c in words else x for c, x in part.items()})
 
 
 class _RuleProcessor(StatefulProcessor):
@@ -115,11 +180,11 @@ class _RuleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         held = dict(zip(self.keys, key))  # the same in every row
-        got_rows = _Rows([c for c in dict.fromkeys([*self.order, *self.rule.inputs, *self.keep]) if c not in held or c in self.order])
+        got_rows = _Rows([c for c in dict.fromkeys([*self.order, *self.rule.inputs, *self.keep]) if c not in held or c in self.order], self.order)
         for f in rows:
             got_rows.add(f)
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.rule.init()
-        for f in got_rows.pieces(self.order):
+        for f in got_rows.pieces():
             f = f.assign(**{c: v for c, v in held.items() if c not in f and (c in self.keep or c in self.rule.inputs)})
             out = []
             for row in zip(*[f[c].tolist() for c in self.rule.inputs]):
