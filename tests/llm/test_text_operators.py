@@ -152,6 +152,42 @@ def test_fitted_reach_needs_links_between_different_vectors(spark):
     assert fitted[1] < 0.1 <= fitted[0] < 0.1001
 
 
+@pytest.mark.parametrize("sides", [(0, 3), (0, 0), (2, 3)])
+def test_units_of_a_cell_meet_in_tiles(monkeypatch, sides):
+    """A unit of more vectors than a tile: links and groups equal a plain product, and no tile is larger than allowed."""
+    import pyarrow as pa
+    monkeypatch.setattr(multiindex, "TILE", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9, 8))[rng.integers(0, 9, 60)] + rng.normal(size=(60, 8)) * 0.1
+    side, n = np.where(np.arange(60) < 40, *sides).astype(np.int32), rng.integers(1, 4, 60)
+    table = pa.table({"unit": np.zeros(60, np.int64), "side": side, "cid": np.arange(60) + 100, "n": n, "embedding": pa.array(x.tolist())})
+    batches = list(multiindex._meet(0.95)(iter(table.to_batches(max_chunksize=13))))
+    assert max(b.num_rows for b in batches) <= 14
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    a, b = side % 2 == 0, side % 2 == 1
+    linked = (u @ u.T >= 0.95) & ~np.eye(60, dtype=bool) & ((a[:, None] & b[None]) | (b[:, None] & a[None]) | ((side == 0)[:, None] & (side == 0)[None]))
+    links, group = np.zeros(60, int), np.arange(60)
+    for batch in batches:
+        for cid, k, to in zip(*(batch.column(c).to_numpy() for c in range(3))):
+            links[cid - 100] += k
+            one, two = group[cid - 100], group[to - 100]
+            group[group == max(one, two)] = min(one, two)
+    want = np.arange(60)
+    for i, j in zip(*np.nonzero(linked)):
+        want[want == max(want[i], want[j])] = min(want[i], want[j])
+    assert links.tolist() == (linked @ n).tolist() and linked.any()
+    assert [group[i] == group[j] for i in range(60) for j in range(i)] == [want[i] == want[j] for i in range(60) for j in range(i)]
+
+
+def test_vectors_go_to_few_cells(spark):
+    """Cells hold many vectors, so that a vector is sent to few of them: 40,000 spread ones have 16 cells, not 36."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    classes = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "cid long, embedding array<double>")
+    one, two = multiindex.fit(classes, 40_000).books.get(16) or multiindex.fit(classes, 600).books[16]
+    assert len(one) * len(two) <= 16
+
+
 def test_multi_index_of_nothing(spark):
     table = spark.createDataFrame([(1, None), (None, [0.0])], "vec_id long, embedding array<float>")
     got = multiindex.near_vectors(table).collect()

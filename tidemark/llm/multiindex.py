@@ -17,7 +17,10 @@ SAMPLE = 8192
 SAMPLE_BYTES = 16 << 20
 QUERIES = 256
 STEPS = 256
-PART = 1024
+#: Vectors of a cell, and of a part of a larger cell: a vector is sent once per cell that it visits.
+PART = 16_384
+#: Vectors on a side of one product of cosines.
+TILE = 1024
 #: A reach below the sure bound is fitted only if so many of the sampled vectors have a link to another vector.
 LEAST_LINKED = 64
 #: Rows that a task sends on at once.
@@ -223,6 +226,25 @@ def _meet(cosine: float):
         keep = links > 0
         return pa.RecordBatch.from_arrays([pa.array(cid[keep]), pa.array(links[keep]), pa.array(cid[label[keep]])], names=["cid", "links", "to"])
 
+    def tiles(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """A unit's sides meet tile by tile, so that neither cosines nor links of a whole unit are held."""
+        side = table["side"].to_numpy()
+        a, b = ([table.take(pa.array(rows[lo:lo + TILE])) for lo in range(0, len(rows), TILE)] for rows in (np.flatnonzero(side % 2 == 0), np.flatnonzero(side % 2 == 1)))
+        if len(a) <= 1 and len(b) <= 1:
+            yield solve(table)
+            return
+
+        def as_side(part: pa.Table, k: int) -> pa.Table:
+            return part.set_column(part.column_names.index("side"), "side", pa.array(np.full(part.num_rows, k, np.int32)))
+
+        for i, one in enumerate(a):
+            if (side == 0).any():
+                yield solve(as_side(one, 0))
+                for two in a[i + 1:]:
+                    yield solve(pa.concat_tables([as_side(one, 2), as_side(two, 3)]))
+            for two in b:
+                yield solve(pa.concat_tables([as_side(one, 2), as_side(two, 3)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -232,10 +254,10 @@ def _meet(cosine: float):
             cuts = np.concatenate(([0], np.flatnonzero(unit[1:] != unit[:-1]) + 1))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if hi - lo > 1:
-                    yield solve(rest.slice(lo, hi - lo))
+                    yield from tiles(rest.slice(lo, hi - lo))
             rest = rest.slice(int(cuts[-1]))
         if rest is not None and rest.num_rows > 1:
-            yield solve(rest)
+            yield from tiles(rest)
 
     return run
 
@@ -246,7 +268,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Vectors that are null, zero or hold null or non-finite components link with nothing; neither do vectors of unequal
     dimension. Equal vectors are one class, linked with each other and counted, not paired. Classes live in the cell of
     their two nearest codes; a class visits cells beyond its own, nearest first, up to the index's reach, and every
-    cell that two classes share computes their cosine in double precision. Of two cells only the smaller one's classes
+    cell that two classes share computes their cosine in double precision, in tiles of `TILE`. Of two cells only the smaller one's classes
     visit, so no pair meets twice. Cells of more than `part` classes are dealt out as pairs of parts. Tasks send on
     link counts and a representative, never pairs. Null ids stay null and are no smallest id; repeated ids are rows.
     """
