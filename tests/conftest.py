@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     s = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
+         .config("spark.ui.showConsoleProgress", "false").config("spark.ui.retainedJobs", "100000").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
